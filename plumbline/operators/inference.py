@@ -15,6 +15,10 @@ from plumbline.functions.tails import normal_two_sided, t_multiplier
 # no test below 5 units.
 EXACT_ALWAYS, EXACT_UNTIED, LEAST_UNITS = 25, 50, 5
 
+#: Differences are compared at this many digits: the order in which a distributed average
+#: is summed must not decide whether two magnitudes are tied.
+TIE_DIGITS = 12
+
 
 def is_finite(c: Column | str) -> Column:
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
@@ -82,8 +86,9 @@ def wilcoxon(units: DataFrame, by: Sequence[str], value: str, bucketed: bool = T
     correction.  Magnitudes are counted before they are ranked, and ranked in buckets.
     """
     by = list(by)
-    signed = units.where(is_finite(value) & (F.col(value) != 0)).select(
-        *by, F.abs(value).alias("_size"), (F.col(value) > 0).cast("long").alias("_up")
+    finite = units.where(is_finite(value)).select(*by, F.round(F.col(value).cast("double"), TIE_DIGITS).alias("_d"))
+    signed = finite.where(F.col("_d") != 0).select(
+        *by, F.abs("_d").alias("_size"), (F.col("_d") > 0).cast("long").alias("_up")
     )
     sizes = signed.groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_n"), F.sum("_up").alias("_pos"))
     bucket = magnitude_bucket(F.col("_size")) if bucketed else None

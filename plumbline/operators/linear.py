@@ -269,7 +269,7 @@ def fit_multinomial(
     ready = ready.join(counts.select("_y", weight.alias("_w")), "_y", "left").withColumn("_v", array_to_vector("_x"))
     model = LogisticRegression(
         featuresCol="_v", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / n_train,
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-7, predictionCol="_pred",
+        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6, predictionCol="_pred",
     ).fit(ready.where(F.col(side) == "train").select("_v", "_y", "_w"))
     name = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("_pred").cast("int") + 1)
     predicted = model.transform(ready.where(F.col(side) == "test").select("row_index", label, "_v")).select(
@@ -281,6 +281,7 @@ def fit_multinomial(
 def _fit_predict_multinomial(assignments, features, classes, unit, label, test_label, balanced, on) -> DataFrame:
     """One softmax fit per unit; the units are few (folds) and each fit is distributed."""
     units = sorted(tuple(r) for r in assignments.select(*unit).distinct().collect())
+    assignments = settle(assignments.where(F.col("split").isin("train", on)))
     out = None
     for u in units:
         here = assignments

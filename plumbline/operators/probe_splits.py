@@ -76,37 +76,33 @@ def by_subject_split(meta: DataFrame, query: ProbeQuery) -> DataFrame:
     return pairs.join(shared, query.label).select("subject_key", query.label, side.alias("side"))
 
 
-def probe_split(meta: DataFrame, query: ProbeQuery) -> DataFrame:
+def probe_sides(meta: DataFrame, query: ProbeQuery) -> DataFrame:
+    """Which side every (group or subject, label) pair is on; null for unusable classes."""
+    return settle(by_subject_split(meta, query) if query.split == BY_SUBJECT else within_class_split(meta, query))
+
+
+def _unit(query: ProbeQuery) -> str:
+    return "subject_key" if query.split == BY_SUBJECT else query.group
+
+
+def probe_rows(meta: DataFrame, sides: DataFrame, query: ProbeQuery) -> DataFrame:
     """Rows of ``meta`` with ``side`` (train or test); rows of unusable classes are left out."""
-    if query.split == BY_SUBJECT:
-        sides, on = by_subject_split(meta, query), ["subject_key", query.label]
-    else:
-        sides, on = within_class_split(meta, query), [query.group, query.label]
-    return meta.join(sides.where(F.col("side").isNotNull()), on)
+    return meta.join(sides.where(F.col("side").isNotNull()), [_unit(query), query.label])
 
 
-def split_report(meta: DataFrame, query: ProbeQuery) -> DataFrame:
+def split_report(sides: DataFrame, query: ProbeQuery) -> DataFrame:
     """One row: eligible and skipped classes, groups per side, status."""
-    if query.split == BY_SUBJECT:
-        sides, unit = by_subject_split(meta, query), "subject_key"
-    else:
-        sides, unit = within_class_split(meta, query), query.group
-    sides = settle(sides)
-    classes = sides.groupBy(query.label).agg(F.max(F.col("side").isNotNull().cast("int")).alias("_ok"))
-    groups = sides.groupBy(unit).agg(
-        F.max((F.col("side") == "train").cast("int")).alias("_train"),
-        F.max((F.col("side") == "test").cast("int")).alias("_test"),
+    usable, unit = F.col("side").isNotNull(), F.col(_unit(query))
+    counted = sides.agg(
+        F.count_distinct(F.when(usable, F.col(query.label))).alias("n_eligible_classes"),
+        (F.count_distinct(query.label) - F.count_distinct(F.when(usable, F.col(query.label)))).alias("n_skipped_classes"),
+        F.count_distinct(F.when(F.col("side") == "train", unit)).alias("n_train_groups"),
+        F.count_distinct(F.when(F.col("side") == "test", unit)).alias("n_test_groups"),
     )
-    counted = classes.agg(
-        F.sum("_ok").alias("n_eligible_classes"), F.sum(1 - F.col("_ok")).alias("n_skipped_classes")
-    ).withColumn("_g", groups.agg(F.struct(F.sum("_train").alias("train"), F.sum("_test").alias("test"))).scalar())
-    ok = (F.col("n_eligible_classes") >= 2) & (F.col("_g.test") >= 1)
+    ok = (F.col("n_eligible_classes") >= 2) & (F.col("n_test_groups") >= 1)
     return counted.select(
         F.lit(query.label).alias("probe_query"),
         F.lit(query.split).alias("probe_split"),
-        "n_eligible_classes",
-        "n_skipped_classes",
-        F.coalesce("_g.train", F.lit(0)).alias("n_train_groups"),
-        F.coalesce("_g.test", F.lit(0)).alias("n_test_groups"),
+        "*",
         F.when(ok, "OK").otherwise(NOT_ESTIMABLE).alias("status"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.settle import settle
 from plumbline.operators import linear, metrics, sampling
-from plumbline.operators.probe_splits import NOT_ESTIMABLE, ProbeQuery, default_query, probe_split, spanning_groups, split_report
+from plumbline.operators.probe_splits import NOT_ESTIMABLE, ProbeQuery, default_query, probe_rows, probe_sides, spanning_groups, split_report
 
 PROBE_ROW = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("probe_query", "probe_split", "group_col", "status")]
@@ -42,7 +42,8 @@ def probe(features: DataFrame, meta: DataFrame, query: ProbeQuery) -> dict:
     meta = settle(meta)
     if query.split != "subject_holdout" and spanning_groups(meta, query).limit(1).count():
         raise ProbeError(f"{query.group} groups span several {query.label} classes")
-    row = split_report(meta, query).first().asDict()
+    split = probe_sides(meta, query)
+    row = split_report(split, query).first().asDict()
     row["group_col"] = query.group
     sizes = meta.groupBy("subject_key", "trial_key").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(
@@ -53,7 +54,7 @@ def probe(features: DataFrame, meta: DataFrame, query: ProbeQuery) -> dict:
     row.update(total.asDict())
     if row["status"] != "OK":
         return row
-    rows = settle(probe_split(meta, query).select("row_index", F.col(query.label).cast("string").alias("label"), "side"))
+    rows = settle(probe_rows(meta, split, query).select("row_index", F.col(query.label).cast("string").alias("label"), "side"))
     sides = rows.groupBy("label").agg(
         F.bool_or(F.col("side") == "train").alias("fit"), F.bool_or(F.col("side") == "test").alias("test")
     ).collect()

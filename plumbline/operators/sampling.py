@@ -33,30 +33,25 @@ def balanced_cap(
     Tables within the cap are returned whole.  ``floor`` is the least share of a class.
     """
     sizes = settle(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
-    share = F.greatest(F.lit(floor), F.floor(F.lit(cap) / F.count(F.lit(1))))
-    plan = sizes.agg(
-        F.sum("n").alias("all"), F.when(F.sum("n") <= cap, F.sum("n")).otherwise(share).cast("long").alias("share")
-    )
-    quotas = sizes.withColumn("_share", plan.select("share").scalar())
-    have = quotas.agg(F.sum(F.least("n", "_share")).alias("_have"))
-    first = rows.withColumn("_h", seeded_md5(seed, key))
-    marked = mark_first(
-        first, [label], ["_h", key], F.col("_share"), hash_bucket("_h"), "_taken", quotas.select(label, "_share")
-    )
-    chosen = marked.where("_taken").drop("_taken", "_h")
-    if floor > 1:
-        chosen = _top(chosen, F.lit(cap), seed + 2, key)
-    missing = F.greatest(F.lit(0).cast("long"), F.lit(cap) - F.col("_have"))
-    rest = _top(marked.where(~F.col("_taken")).drop("_taken", "_h"), missing, seed + 1, key, have)
-    return chosen.unionByName(rest)
-
-
-def _top(df: DataFrame, quota: Column, seed: int, key: str, totals: DataFrame | None = None) -> DataFrame:
-    """The first ``quota`` rows in seeded order; ``totals`` is one row the quota may refer to."""
-    hashed = df.withColumn("_h", seeded_md5(seed, key)).withColumn("_all", F.lit(1))
-    quotas = None if totals is None else totals.withColumn("_all", F.lit(1))
-    marked = mark_first(hashed, ["_all"], ["_h", key], quota, hash_bucket("_h"), "_top", quotas)
-    return marked.where("_top").drop("_top", "_h", "_all")
+    total, n_classes = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not total or total <= cap:
+        return rows
+    share = max(floor, cap // n_classes)
+    have = sizes.agg(F.sum(F.least("n", F.lit(share)))).first()[0]
+    hashed = rows.withColumn("_h", seeded_md5(seed, key))
+    marked = mark_first(hashed, [label], ["_h", key], F.lit(share), hash_bucket("_h"), "_taken").drop("_h")
+    chosen = marked.where("_taken").drop("_taken")
+    if have > cap:
+        return _top(chosen, cap, seed + 2, key)
+    if have == cap:
+        return chosen
+    return chosen.unionByName(_top(marked.where(~F.col("_taken")).drop("_taken"), cap - have, seed + 1, key))
+
+
+def _top(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """The first ``n`` rows in seeded order."""
+    hashed = df.withColumn("_h", seeded_md5(seed, key))
+    return mark_first(hashed, [], ["_h", key], F.lit(n), hash_bucket("_h"), "_top").where("_top").drop("_top", "_h")
 
 
 def probe_sample(rows: DataFrame, label: str, cap: int, seed: int, min_class_count: int, key: str = "row_index") -> DataFrame:

@@ -44,7 +44,8 @@ def normal_tail_sql(z: str) -> str:
 
 def wilcoxon_sql(source: str, by: str, value: str) -> str:
     """CTEs ending in ``tested(by, n_used, w_plus, p_wilcoxon)``."""
-    return f"""signed AS (SELECT {by}, abs({value}) AS size, {value} > 0 AS up FROM {source} WHERE {value} <> 0 AND isfinite({value})),
+    return f"""signed AS (
+  SELECT {by}, abs(round({value}, 12)) AS size, {value} > 0 AS up FROM {source} WHERE isfinite({value}) AND round({value}, 12) <> 0),
 midranks AS (
   SELECT *, 2 * rank() OVER (PARTITION BY {by} ORDER BY size) + count(*) OVER (PARTITION BY {by}, size) - 1 AS rank2,
          count(*) OVER (PARTITION BY {by}, size) AS ties FROM signed),

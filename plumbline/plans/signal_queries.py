@@ -31,12 +31,12 @@ def long_signal(df: DataFrame) -> DataFrame:
     """``row_index, channel, i, v`` with values rounded."""
     channels = df.select("row_index", F.posexplode("signal").alias("channel", "c"))
     return channels.select("row_index", "channel", F.posexplode("c").alias("i", "v")).select(
-        "row_index", "channel", "i", F.round("v", 5).alias("v")
+        "row_index", "channel", "i", (F.round("v", 5) + 0.0).alias("v")
     )
 
 
 def long_features(df: DataFrame, key: str = "row_index", name: str = "features", digits: int = 5) -> DataFrame:
-    return df.select(key, F.posexplode(name).alias("i", "v")).select(key, "i", F.round("v", digits).alias("v"))
+    return df.select(key, F.posexplode(name).alias("i", "v")).select(key, "i", (F.round("v", digits) + 0.0).alias("v"))
 
 
 WINDOWS_SQL = """wide AS (SELECT vec_id AS row_index, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -91,7 +91,7 @@ def _overlapping(spark, sf):
 # -- transforms -------------------------------------------------------------------------------
 
 
-@query("time_reverse", f"WITH {WINDOWS_SQL} SELECT row_index, channel, 15 - i AS i, round(v, 5) AS v FROM long")
+@query("time_reverse", f"WITH {WINDOWS_SQL} SELECT row_index, channel, 15 - i AS i, round(v, 5) + 0.0 AS v FROM long")
 def _reverse(spark, sf):
     return long_signal(signal_windows(spark, sf).withColumn("signal", signals.time_reverse("signal")))
 
@@ -100,7 +100,7 @@ def _reverse(spark, sf):
     "time_shuffle",
     f"""WITH {WINDOWS_SQL}
 SELECT row_index, channel, CAST(row_number() OVER (PARTITION BY row_index, channel ORDER BY md5(({SEED} + row_index) || ':' || i), i) - 1 AS INTEGER) AS i,
-       round(v, 5) AS v FROM long""",
+       round(v, 5) + 0.0 AS v FROM long""",
 )
 def _shuffle(spark, sf):
     return long_signal(signal_windows(spark, sf).withColumn("signal", signals.time_shuffle("signal", SEED)))
@@ -150,7 +150,7 @@ def _phase(spark, sf):
 @query(
     "injected_signal",
     f"""WITH {WINDOWS_SQL}, sd AS (SELECT row_index, channel, stddev_pop(v) AS sd FROM long GROUP BY ALL)
-SELECT row_index, channel, i, round(v + CASE WHEN label = 0 THEN 0.5 * sd * sin(2 * pi() * 10 * i / 128) ELSE 0 END, 5) AS v
+SELECT row_index, channel, i, round(v + CASE WHEN label = 0 THEN 0.5 * sd * sin(2 * pi() * 10 * i / 128) ELSE 0 END, 5) + 0.0 AS v
 FROM long JOIN sd USING (row_index, channel)""",
 )
 def _inject(spark, sf):
@@ -160,7 +160,7 @@ def _inject(spark, sf):
 @query(
     "window_zscore",
     f"""WITH {WINDOWS_SQL}, m AS (SELECT row_index, channel, avg(v) AS m, stddev_pop(v) AS sd FROM long GROUP BY ALL)
-SELECT row_index, channel, i, round((v - m) / (sd + 1e-6), 5) AS v FROM long JOIN m USING (row_index, channel)""",
+SELECT row_index, channel, i, round((v - m) / (sd + 1e-6), 5) + 0.0 AS v FROM long JOIN m USING (row_index, channel)""",
 )
 def _zscore(spark, sf):
     return long_signal(signal_windows(spark, sf).withColumn("signal", signals.zscore("signal")))
@@ -185,7 +185,7 @@ powers AS (
 
 @query(
     "band_power",
-    f"WITH {BAND_SQL} SELECT row_index, CAST(band * 4 + channel AS INTEGER) AS i, round(p, 6) AS v FROM powers",
+    f"WITH {BAND_SQL} SELECT row_index, CAST(band * 4 + channel AS INTEGER) AS i, round(p, 6) + 0.0 AS v FROM powers",
 )
 def _band_power(spark, sf):
     rows = signal_windows(spark, sf).withColumn("features", spectra.band_power("signal", 4.0, TEST_BANDS))
@@ -195,7 +195,7 @@ def _band_power(spark, sf):
 @query(
     "spectral_features",
     f"""WITH {BAND_SQL}
-SELECT row_index, 'spectral' AS feature_set, CAST(band * 4 + channel AS INTEGER) AS i, round(ln(1 + p), 4) AS v FROM powers
+SELECT row_index, 'spectral' AS feature_set, CAST(band * 4 + channel AS INTEGER) AS i, round(ln(1 + p), 4) + 0.0 AS v FROM powers
 UNION ALL SELECT row_index, 'alpha', channel, round(ln(1 + p), 4) FROM powers WHERE name = 'alpha'""",
 )
 def _spectral(spark, sf):
@@ -218,7 +218,7 @@ def _shared_sql() -> str:
 
 @query(
     "shared_montage",
-    f"""WITH {WINDOWS_SQL}, {_shared_sql()} SELECT row_index, i, round(e[p + 1], 5) AS v FROM wide, shared""",
+    f"""WITH {WINDOWS_SQL}, {_shared_sql()} SELECT row_index, i, round(e[p + 1], 5) + 0.0 AS v FROM wide, shared""",
 )
 def _montage(spark, sf):
     """64 features as 2 bands x 32 channels, reduced to the 14 shared channels."""
@@ -230,8 +230,8 @@ def _montage(spark, sf):
     "channel_pooling",
     f"""WITH {WINDOWS_SQL},
 stats AS (SELECT row_index, channel AS b, avg(v) AS s0, stddev_pop(v) AS s1, min(v) AS s2, max(v) AS s3 FROM long GROUP BY ALL)
-SELECT row_index, CAST(b AS INTEGER) AS i, round(s0, 5) AS v FROM stats UNION ALL SELECT row_index, 4 + b, round(s1, 5) FROM stats
-UNION ALL SELECT row_index, 8 + b, round(s2, 5) FROM stats UNION ALL SELECT row_index, 12 + b, round(s3, 5) FROM stats""",
+SELECT row_index, CAST(b AS INTEGER) AS i, round(s0, 5) + 0.0 AS v FROM stats UNION ALL SELECT row_index, 4 + b, round(s1, 5) + 0.0 FROM stats
+UNION ALL SELECT row_index, 8 + b, round(s2, 5) + 0.0 FROM stats UNION ALL SELECT row_index, 12 + b, round(s3, 5) + 0.0 FROM stats""",
 )
 def _pooling(spark, sf):
     rows = vectors(spark, sf)
@@ -241,7 +241,7 @@ def _pooling(spark, sf):
 @query(
     "trial_mean_features",
     """WITH wide AS (SELECT label || '_' || (vec_id % 7) AS trial, vec_id, embedding FROM embeddings)
-SELECT trial, CAST(p AS INTEGER) AS i, round(avg(CAST(embedding[p + 1] AS DOUBLE)), 5) AS v FROM wide, range(0, 64) r(p) GROUP BY trial, p""",
+SELECT trial, CAST(p AS INTEGER) AS i, round(avg(CAST(embedding[p + 1] AS DOUBLE)), 5) + 0.0 AS v FROM wide, range(0, 64) r(p) GROUP BY trial, p""",
 )
 def _trial_means(spark, sf):
     rows = vectors(spark, sf).withColumn("trial", F.concat_ws("_", "label", F.pmod("row_index", F.lit(7))))
@@ -253,7 +253,7 @@ def _trial_means(spark, sf):
     f"""WITH {WINDOWS_SQL},
 flat AS (SELECT row_index, label < 5 AS d, channel * 16 + i AS i, v FROM long),
 stats AS (SELECT d, i, avg(v) AS m, stddev_pop(v) AS sd FROM flat GROUP BY ALL)
-SELECT row_index, i, round((v - m) / (sd + 1e-6), 5) AS v FROM flat JOIN stats USING (d, i)""",
+SELECT row_index, i, round((v - m) / (sd + 1e-6), 5) + 0.0 AS v FROM flat JOIN stats USING (d, i)""",
 )
 def _znorm(spark, sf):
     rows = vectors(spark, sf).withColumn("domain", F.col("label") < 5)
@@ -265,7 +265,7 @@ def _znorm(spark, sf):
     f"""WITH {WINDOWS_SQL},
 flat AS (SELECT row_index, channel * 16 + i AS i, v FROM long),
 stats AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM flat WHERE row_index % 3 <> 0 GROUP BY ALL)
-SELECT row_index, i, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) AS v FROM flat JOIN stats USING (i)""",
+SELECT row_index, i, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) + 0.0 AS v FROM flat JOIN stats USING (i)""",
 )
 def _standardize(spark, sf):
     return long_features(features.standardize_on_train(vectors(spark, sf), "features", F.col("row_index") % 3 != 0))

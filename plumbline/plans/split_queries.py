@@ -453,12 +453,11 @@ UNION ALL (WITH {RATING_SQL}, {within_class_sql("'all'")} {_report_sql('everythi
 def _reports(spark, sf):
     rows, codes = rated(spark, sf), coded(spark, sf)
     constant = rows.withColumn("everything", F.lit("all"))
-    reports = [
-        probe_splits.split_report(rows, probe_splits.default_query("subject_key", SEED)),
-        probe_splits.split_report(rows, probe_splits.default_query("stimulus_key", SEED)),
-        probe_splits.split_report(codes, probe_splits.default_query("session_key", SEED)),
-        probe_splits.split_report(constant, probe_splits.default_query("everything", SEED)),
-    ]
+    asked = [(rows, "subject_key"), (rows, "stimulus_key"), (codes, "session_key"), (constant, "everything")]
+    reports = []
+    for meta, label in asked:
+        question = probe_splits.default_query(label, SEED)
+        reports.append(probe_splits.split_report(probe_splits.probe_sides(meta, question), question))
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)
