@@ -25,6 +25,20 @@ def unit_interval(md5_hex: Column) -> Column:
     return F.conv(F.substring(md5_hex, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
+#: Step between the orders of successive folds on the circle of 32-bit positions.
+CIRCLE, CIRCLE_STEP = 2**32, 2654435761
+
+
+def circle_position(md5_hex: Column, turn: Column) -> Column:
+    """A seeded position in [0, 2**32), turned by a fold number.
+
+    One digest per row serves all folds: every fold starts reading the circle elsewhere,
+    so each takes its own uniform sample while the row is hashed once.
+    """
+    base = F.conv(F.substring(md5_hex, 1, 8), 16, 10).cast("long")
+    return F.pmod(base + turn.cast("long") * F.lit(CIRCLE_STEP), F.lit(CIRCLE))
+
+
 def crc_order(seed: int, key: Column | str) -> Column:
     """CRC-32 of ``seed:key``, the order in which probe groups are held out."""
     return F.crc32(F.concat_ws(":", F.lit(str(seed)), _as_column(key).cast("string")).cast("binary"))

@@ -12,7 +12,7 @@ counts per fold follow from running totals instead of S x S comparisons.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -180,7 +180,16 @@ def arc_role(pos: Column, test_pos: Column, n: Column, n_val: Column) -> Column:
     return F.when(ahead == 0, "test").when(ahead <= n_val, "val").otherwise("train")
 
 
-def subject_rules(circle: DataFrame, val_size=loso_val_size, folds: Iterable[int] | None = None) -> DataFrame:
+#: Rule tables up to this many rows may be broadcast; larger ones are joined by sorting.
+BROADCAST_RULES = 1_000_000
+
+
+def _size_checked(rules: DataFrame, n_rows: int) -> DataFrame:
+    """Rule tables grow by exploding, which the optimizer's size estimate does not see."""
+    return rules if n_rows <= BROADCAST_RULES else rules.hint("merge")
+
+
+def subject_rules(circle: DataFrame, val_size=loso_val_size, folds: Sequence[int] | None = None) -> DataFrame:
     """``subject, fold, role, test_subject`` for the named folds.
 
     All folds of S subjects are S x S rows; name folds, or use :func:`fold_composition`,
@@ -192,7 +201,9 @@ def subject_rules(circle: DataFrame, val_size=loso_val_size, folds: Iterable[int
     spread = circle.select(subject, "pos", "n", F.explode(wanted).alias("fold"))
     role = arc_role(F.col("pos"), F.col("_test_pos"), F.col("n"), val_size("n"))
     spread = spread.withColumn("fold", F.col("fold").cast("long"))
-    return spread.join(tests, "fold").select(subject, "fold", role.alias("split"), "test_subject")
+    rules = spread.join(tests, "fold").select(subject, "fold", role.alias("split"), "test_subject")
+    n = circle.count()
+    return _size_checked(rules, n * (n if folds is None else len(folds)))
 
 
 def fold_composition(
@@ -252,7 +263,7 @@ def excluded_group(condition: Column | str, fold: Column | str, groups: int) ->
     return F.when(held, g).otherwise(F.pmod(g + groups // 2, F.lit(groups))).cast("long")
 
 
-def stimulus_rules(circle: DataFrame, groups: int, folds: Iterable[int] | None = None) -> DataFrame:
+def stimulus_rules(circle: DataFrame, groups: int, folds: Sequence[int] | None = None) -> DataFrame:
     """``subject, stimulus_group, fold, protocol, split`` of both conditions.
 
     Test: the fold's subject and stimulus group.  Training pool: the other subjects
@@ -267,7 +278,9 @@ def stimulus_rules(circle: DataFrame, groups: int, folds: Iterable[int] | None =
     tested = F.col("stimulus_group") == held_group("fold", groups)
     excluded = F.col("stimulus_group") == excluded_group("protocol", "fold", groups)
     keep = F.when(F.col("split") == "test", tested).otherwise(~excluded)
-    return spread.where(keep).select(subject, "stimulus_group", "fold", "protocol", "split")
+    n = circle.count()
+    kept = spread.where(keep).select(subject, "stimulus_group", "fold", "protocol", "split")
+    return _size_checked(kept, n * (n if folds is None else len(folds)) * len(CONDITIONS) * groups)
 
 
 def stimulus_composition(rows: DataFrame, circle: DataFrame, groups: int, label: str = "target_label") -> DataFrame:

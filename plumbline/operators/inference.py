@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.ranking import bucketed_running_sum, magnitude_bucket
+from plumbline.functions.settle import settle
 from plumbline.functions.tails import normal_two_sided, t_multiplier
 
 # Exact tests up to 25 units, and up to 50 where no magnitudes are tied;
@@ -86,11 +87,13 @@ def wilcoxon(units: DataFrame, by: Sequence[str], value: str, bucketed: bool = T
     correction.  Magnitudes are counted before they are ranked, and ranked in buckets.
     """
     by = list(by)
+    if not by:
+        return wilcoxon(units.withColumn("_all", F.lit(1)), ["_all"], value, bucketed).drop("_all")
     finite = units.where(is_finite(value)).select(*by, F.round(F.col(value).cast("double"), TIE_DIGITS).alias("_d"))
     signed = finite.where(F.col("_d") != 0).select(
         *by, F.abs("_d").alias("_size"), (F.col("_d") > 0).cast("long").alias("_up")
     )
-    sizes = signed.groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_n"), F.sum("_up").alias("_pos"))
+    sizes = settle(signed.groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_n"), F.sum("_up").alias("_pos")))
     bucket = magnitude_bucket(F.col("_size")) if bucketed else None
     ranked = bucketed_running_sum(sizes, by, "_size", bucket, "_n", "_upto").withColumn(
         "_rank2", 2 * F.col("_upto") - F.col("_n") + 1
@@ -99,7 +102,7 @@ def wilcoxon(units: DataFrame, by: Sequence[str], value: str, bucketed: bool = T
     exact = (F.col("n_used") <= EXACT_ALWAYS) | ((F.col("n_used") <= EXACT_UNTIED) & (F.col("_ties") == 1))
     ranks = F.array_repeat(F.col("_rank2").cast("int"), F.col("_n").cast("int"))
     per_group = (
-        (ranked.join(totals, by) if by else ranked.withColumn("n_used", totals.select("n_used").scalar()).withColumn("_ties", totals.select("_ties").scalar()))
+        ranked.join(totals, by)
         .withColumn("_exact", exact & (F.col("n_used") >= LEAST_UNITS))
         .groupBy(*by)
         .agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import seeded_md5
+from plumbline.functions.hashing import CIRCLE, circle_position, seeded_md5
 from plumbline.functions.ranking import SMALL_ROWS, hash_bucket, mark_first
 from plumbline.functions.settle import settle
 from plumbline.operators.folds import VAL_FRACTION, largest_remainder
@@ -117,20 +117,32 @@ def matching_quotas(counts: DataFrame, label: str = "target_label", n: str = "_t
     )
 
 
+def with_sample_hash(rows: DataFrame, seed: int, key: str = "row_index") -> DataFrame:
+    """One digest per row, for :func:`match_conditions`; add it before joining folds."""
+    return rows.withColumn("sample_hash", F.substring(seeded_md5(seed, key), 1, 8))
+
+
 def match_conditions(
     assignments: DataFrame, seed: int, label: str = "target_label", condition: str = "protocol", key: str = "row_index"
 ) -> DataFrame:
-    """Subsample train and val of every condition to equal class counts; test rows stay."""
-    fit = assignments.where(F.col("split") != "test").withColumn("_h", seeded_md5(F.lit(seed) + F.col("fold"), key))
+    """Subsample train and val of every condition to equal class counts; test rows stay.
+
+    ``assignments`` may carry ``sample_hash`` (see :func:`with_sample_hash`), computed per
+    row before rows were spread over folds; otherwise it is computed here.
+    """
+    if "sample_hash" not in assignments.columns:
+        assignments = with_sample_hash(assignments, seed, key)
+    fit = assignments.where(F.col("split") != "test").withColumn("_h", circle_position(F.col("sample_hash"), F.col("fold")))
 
     def quotas(sizes: DataFrame) -> DataFrame:
         keys = sizes.select(condition, "fold", "split", label)
         return keys.join(matching_quotas(sizes, label), ["fold", "split", label])
 
     groups = [condition, "fold", "split", label]
-    kept = mark_first(fit, groups, ["_h", key], F.col("quota"), hash_bucket("_h", 2), "_kept", quotas)
+    bucket = F.floor(F.col("_h") / (CIRCLE // 256))
+    kept = mark_first(fit, groups, ["_h", key], F.col("quota"), bucket, "_kept", quotas)
     kept = kept.where("_kept").drop("_kept", "_h")
-    return kept.unionByName(assignments.where(F.col("split") == "test"))
+    return kept.unionByName(assignments.where(F.col("split") == "test")).drop("sample_hash")
 
 
 def class_histograms(counts: DataFrame, groups: Sequence[str], label: str = "target_label", n: str = "_total") -> DataFrame:

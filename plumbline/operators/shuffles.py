@@ -8,42 +8,53 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_md5
 from plumbline.functions.ranking import HASH_DIGITS, bucketed_rank, hash_bucket
+from plumbline.functions.settle import settle
 
 #: Groups above this many rows are cut into pieces before they are sorted.
 HOT_ROWS = 1_000_000
 
 
-def with_pieces(df: DataFrame, groups: list[str], value: str, hot_rows: int = HOT_ROWS, pieces: int = 256) -> DataFrame:
-    """Add ``_piece``, an order-preserving piece number along ``value``; 0 in groups of ordinary size."""
-    hot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*groups)
+def hot_groups(df: DataFrame, groups: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Groups above ``hot_rows`` rows, or None if there are none (the usual case).
+
+    At most one group per ``hot_rows`` rows can be hot, so the table is small.
+    """
+    hot = settle(
+        df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*groups)
+    )
+    return None if hot.isEmpty() else hot
+
+
+def with_pieces(df: DataFrame, groups: list[str], value: str, hot: DataFrame, pieces: int = 256) -> DataFrame:
+    """Add ``_piece``, an order-preserving piece number along ``value``; 0 outside the hot groups."""
     steps = [i / pieces for i in range(1, pieces)]
-    cuts = df.join(hot, groups, "left_semi").groupBy(*groups).agg(F.percentile_approx(value, steps, 10000).alias("_cuts"))
-    return df.join(cuts, groups, "left").withColumn(
-        "_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
-    ).drop("_cuts")
+    in_hot = df.join(hot, groups, "left_semi")
+    cuts = settle(in_hot.groupBy(*groups).agg(F.percentile_approx(value, steps, 10000).alias("_cuts")))
+    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    return df.join(cuts, groups, "left").withColumn("_piece", piece).drop("_cuts")
 
 
 def shuffle_segments(
     df: DataFrame, groups: list[str], segment: str, seed: int, key: str = "row_index", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Permute ``segment`` among the rows of each group; all other columns stay."""
-    sized = with_pieces(df, groups, segment, hot_rows)
-    ordered = bucketed_rank(sized, groups, [segment, key], F.col("_piece"), "_place").select(
-        *groups, "_place", F.col(segment).alias("_segment")
-    )
-    hot_groups = sized.where(F.col("_piece") > 0).select(*groups).distinct().withColumn("_hot", F.lit(True))
-    hashed = (
-        sized.drop("_piece", segment)
-        .join(hot_groups, groups, "left")
-        .withColumn("_h", seeded_md5(seed, key))
-        .withColumn("_hot_bucket", F.when(F.col("_hot"), hash_bucket("_h")).otherwise(""))
-    )
-    drawn = bucketed_rank(hashed, groups, ["_h", key], F.col("_hot_bucket"), "_place")
-    return (
-        drawn.join(ordered, [*groups, "_place"])
-        .withColumn(segment, F.col("_segment"))
-        .drop("_place", "_segment", "_h", "_hot", "_hot_bucket")
-    )
+    """Permute ``segment`` among the rows of each group; all other columns stay.
+
+    The row at place p of a seeded order receives the segment at place p of the original
+    order.
+    """
+    hot = hot_groups(df, groups, hot_rows)
+    hashed = df.drop(segment).withColumn("_h", seeded_md5(seed, key))
+    if hot is None:
+        ordered = bucketed_rank(df, groups, [segment, key], None, "_place")
+        drawn = bucketed_rank(hashed, groups, ["_h", key], None, "_place")
+    else:
+        ordered = bucketed_rank(with_pieces(df, groups, segment, hot), groups, [segment, key], F.col("_piece"), "_place")
+        marked = hashed.join(hot.withColumn("_hot", F.lit(True)), groups, "left").withColumn(
+            "_part", F.when(F.col("_hot"), hash_bucket("_h")).otherwise("")
+        )
+        drawn = bucketed_rank(marked, groups, ["_h", key], F.col("_part"), "_place").drop("_hot", "_part")
+    ordered = ordered.select(*groups, "_place", segment)
+    return drawn.drop("_h").join(ordered, [*groups, "_place"]).drop("_place")
 
 
 def permute_labels(

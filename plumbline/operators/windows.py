@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.ranking import bucketed_rank
-from plumbline.operators.shuffles import HOT_ROWS, with_pieces
+from plumbline.operators.shuffles import HOT_ROWS, hot_groups, with_pieces
 
 
 def sequence_number(
@@ -19,9 +19,14 @@ def sequence_number(
     Groups above ``hot_rows`` are cut along the numeric column ``coarse`` (which must not
     decrease along ``order``), so no task sorts a whole hot recording.
     """
-    pieces = with_pieces(df, list(groups), coarse, hot_rows)
-    ranked = bucketed_rank(pieces, list(groups), list(order), F.col("_piece"), "_place")
-    return ranked.withColumn(out, F.col("_place") - 1).drop("_place", "_piece")
+    groups = list(groups)
+    hot = hot_groups(df, groups, hot_rows)
+    if hot is None:
+        ranked = bucketed_rank(df, groups, list(order), None, "_place")
+    else:
+        pieces = with_pieces(df, groups, coarse, hot)
+        ranked = bucketed_rank(pieces, groups, list(order), F.col("_piece"), "_place").drop("_piece")
+    return ranked.withColumn(out, F.col("_place") - 1).drop("_place")
 
 
 def window_starts(position: Column, size: int, overlap: int = 0) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.keys import standardize, with_stimulus
+from plumbline.sources.tables import spread
 
 SEED = 20260926
 
@@ -24,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rating_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with 24 trials per subject and ratings on a scale with threshold 3."""
     rating = F.floor(F.col("value") / 10).cast("double")
-    return table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type"))
+    return events.select(
         F.col("event_id").alias("row_index"),
         F.col("user_id").alias("subject_id"),
         F.hour("ts").cast("long").alias("trial_id"),
@@ -84,7 +86,9 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` with the customer's nation as subject, 18 trials, ratings 1 to 5."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"]
+    orders = spread(table(spark, sf_dir, "orders").select(*columns))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("row_index"),
         F.col("c_nationkey").cast("long").alias("subject_id"),
@@ -93,8 +97,6 @@ def orders_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.least(F.floor(F.col("o_totalprice") / 100000), F.lit(4)) + 1).cast("double").alias("valence"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("arousal"),
         "o_orderstatus",
-        "o_totalprice",
-        "c_acctbal",
     )
 
 

@@ -69,17 +69,14 @@ joined AS (SELECT * FROM defs JOIN results USING (run_id) JOIN runs USING (run_i
 def results(spark, sf) -> DataFrame:
     """``run_id, seed, fold`` metrics of the stand-in runs."""
     rows = nation_rated(spark, sf)
-    guesses = None
+    runs = []
     for run, rule in GUESSES.items():
         seed = F.lit(None).cast("long") if run == "D" else F.pmod("row_index", F.lit(3)) + (2 if run == "C" else 1)
-        one = rows.select(
-            F.lit(run).alias("run_id"),
-            seed.alias("seed"),
-            (F.col("subject_id") + 1).alias("fold"),
-            F.col("target_label").alias("y_true"),
-            F.when(F.expr(rule), "high_valence").otherwise("low_valence").alias("y_pred"),
-        )
-        guesses = one if guesses is None else guesses.unionByName(one)
+        guess = F.when(F.expr(rule), "high_valence").otherwise("low_valence")
+        runs.append(F.struct(F.lit(run).alias("run_id"), seed.alias("seed"), guess.alias("y_pred")))
+    guesses = rows.select(
+        (F.col("subject_id") + 1).alias("fold"), F.col("target_label").alias("y_true"), F.explode(F.array(*runs)).alias("_r")
+    ).select("fold", "y_true", "_r.*")
     by = ["run_id", "seed", "fold"]
     return settle(metrics.fold_metrics(metrics.prediction_counts(guesses, by), by))
 
@@ -105,7 +102,7 @@ def estimate_table(spark, rows: DataFrame) -> DataFrame:
 
 def registry_rows(spark, sf) -> DataFrame:
     rows = results(spark, sf)
-    return registry.joined(run_table(spark), rows, estimate_table(spark, rows))
+    return settle(registry.joined(run_table(spark), rows, estimate_table(spark, rows)))
 
 
 @query(
@@ -148,7 +145,7 @@ def _validation(spark, sf):
     ]
     for p in planted:
         estimates = estimates.unionByName(p)
-    found = registry.violations(bad_runs, bad_rows, estimates)
+    found = registry.violations(bad_runs, settle(bad_rows), settle(estimates))
     known = ~(
         F.col("detail").startswith("unknown|") | F.col("detail").startswith("far|") & (F.col("rule") == "estimate without result")
     )

@@ -108,7 +108,7 @@ def nation_loso_rows(spark, sf):
 
 
 def stimulus_rows(spark, sf):
-    rows = nation_rated(spark, sf)
+    rows = sampling.with_sample_hash(nation_rated(spark, sf), SEED)
     rules = folds.stimulus_rules(folds.subject_circle(rows, SEED), 3)
     return folds.assign_rows(rows, rules, ["subject_key", "stimulus_group"])
 
@@ -242,7 +242,8 @@ quotas AS (
   SELECT fold, split, target_label, CASE WHEN count(*) = 2 THEN min(n) ELSE 0 END AS quota FROM counts GROUP BY ALL),
 placed AS (
   SELECT a.*, row_number() OVER (PARTITION BY protocol, fold, split, target_label
-                                 ORDER BY md5(({SEED} + fold) || ':' || row_index), row_index) AS place
+                                 ORDER BY
+         (CAST('0x' || substr(md5('{SEED}:' || row_index), 1, 8) AS BIGINT) + fold * 2654435761) % 4294967296, row_index) AS place
   FROM assigned a WHERE split <> 'test'),
 matched AS (
   SELECT protocol, fold, split, target_label, row_index FROM placed JOIN quotas USING (fold, split, target_label)
@@ -252,7 +253,8 @@ matched AS (
 
 @query("matched_conditions", f"WITH {MATCH_SQL} SELECT protocol, fold, split, row_index FROM matched")
 def _matched(spark, sf):
-    return sampling.match_conditions(stimulus_rows(spark, sf), SEED).select("protocol", "fold", "split", "row_index")
+    rows = stimulus_rows(spark, sf).select("protocol", "fold", "split", "target_label", "row_index", "sample_hash")
+    return sampling.match_conditions(rows, SEED).select("protocol", "fold", "split", "row_index")
 
 
 @query(
@@ -552,7 +554,7 @@ SELECT (SELECT count(*) FROM tests) AS test_rows_differ, (SELECT count(*) FROM u
        (SELECT count(*) FROM matched) AS n_rows""",
 )
 def _condition_audit(spark, sf):
-    rows = stimulus_rows(spark, sf).select("protocol", "fold", "split", "target_label", "row_index")
+    rows = stimulus_rows(spark, sf).select("protocol", "fold", "split", "target_label", "row_index", "sample_hash")
     matched = settle(sampling.match_conditions(rows, SEED))
     count = F.count(F.lit(1))
     return matched.agg(count.alias("n_rows")).select(
