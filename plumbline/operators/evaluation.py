@@ -32,17 +32,13 @@ def loss_of(model: str) -> str:
 
 
 def capped(assignments: DataFrame, seed: int, max_train: int | None, max_test: int | None) -> DataFrame:
-    """Class-balanced row caps per fold (one sample per fold and split)."""
-    if max_train is None and max_test is None:
-        return assignments
-    folds = [r[0] for r in assignments.select("fold").distinct().orderBy("fold").collect()]
+    """Class-balanced row caps of every fold, all folds in the same passes."""
     out = None
-    for fold in folds:
-        mine = assignments.where(F.col("fold") == fold)
-        for split, cap, shift in (("train", max_train, 0), ("test", max_test, 1000)):
-            part = mine.where(F.col("split") == split)
-            part = part if cap is None else sampling.balanced_cap(part, cap, seed + fold + shift)
-            out = part if out is None else out.unionByName(part)
+    for split, cap, shift in (("train", max_train, 0), ("test", max_test, 1000)):
+        part = assignments.where(F.col("split") == split)
+        if cap is not None:
+            part = sampling.balanced_cap(part, cap, F.lit(seed + shift) + F.col("fold"), by=["fold"])
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -26,38 +26,73 @@ def first_folds(assignments: DataFrame, n: int) -> DataFrame:
 
 
 def balanced_cap(
-    rows: DataFrame, cap: int, seed: int, label: str = "target_label", floor: int = 1, key: str = "row_index"
+    rows: DataFrame,
+    cap: int,
+    seed: int | Column,
+    label: str = "target_label",
+    floor: int = 1,
+    key: str = "row_index",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """At most ``cap`` rows: an equal share per class, then filled from the rest (or trimmed).
+    """At most ``cap`` rows per group of ``by``: an equal share per class, then filled from
+    the rest (or trimmed).
 
-    Tables within the cap are returned whole.  ``floor`` is the least share of a class.
+    Groups within the cap are kept whole.  ``floor`` is the least share of a class.  All
+    groups (for example all folds) are sampled in the same passes.
     """
-    sizes = settle(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
-    total, n_classes = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
-    if not total or total <= cap:
-        return rows
-    share = max(floor, cap // n_classes)
-    have = sizes.agg(F.sum(F.least("n", F.lit(share)))).first()[0]
-    hashed = rows.withColumn("_h", seeded_md5(seed, key))
-    marked = mark_first(hashed, [label], ["_h", key], F.lit(share), hash_bucket("_h"), "_taken").drop("_h")
+    columns = rows.columns
+    groups = list(by) or ["_all"]
+    if not by:
+        rows = rows.withColumn("_all", F.lit(1))
+    sizes = settle(rows.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("n")))
+    shares = sizes.groupBy(*groups).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_k")).select(
+        *groups,
+        F.when(F.col("_rows") <= cap, F.col("_rows"))
+        .otherwise(F.greatest(F.lit(floor), F.floor(F.lit(cap) / F.col("_k"))))
+        .cast("long")
+        .alias("_share"),
+    )
+    per_class = sizes.join(shares, groups)
+    have = settle(
+        per_class.groupBy(*groups).agg(F.sum(F.least("n", "_share")).alias("_have"), F.sum("n").alias("_rows"))
+    )
+    found = have.agg(
+        F.max("_rows").alias("most"),
+        F.bool_or((F.col("_rows") > cap) & (F.col("_have") < cap)).alias("fill"),
+        F.bool_or(F.col("_have") > cap).alias("trim"),
+    ).first()
+    if not found["most"] or found["most"] <= cap:
+        return rows.select(*columns)
+    quotas = per_class.select(*groups, label, "_share")
+    hashed = rows.withColumn("_h", seeded_md5(_shifted(seed, 0), key))
+    marked = mark_first(hashed, [*groups, label], ["_h", key], F.col("_share"), hash_bucket("_h"), "_taken", quotas).drop("_h")
     chosen = marked.where("_taken").drop("_taken")
-    if have > cap:
-        return _top(chosen, cap, seed + 2, key)
-    if have == cap:
-        return chosen
-    return chosen.unionByName(_top(marked.where(~F.col("_taken")).drop("_taken"), cap - have, seed + 1, key))
+    if found["trim"]:
+        chosen = _top(chosen, groups, F.lit(cap), _shifted(seed, 2), key)
+    if found["fill"]:
+        need = have.select(*groups, F.greatest(F.lit(0), F.least(F.lit(cap), F.col("_rows")) - F.col("_have")).alias("_need"))
+        rest = marked.where(~F.col("_taken")).drop("_taken")
+        chosen = chosen.unionByName(_top(rest, groups, F.col("_need"), _shifted(seed, 1), key, need))
+    return chosen.select(*columns)
+
 
+def _shifted(seed: int | Column, by: int) -> int | Column:
+    return seed + by if by else seed
 
-def _top(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """The first ``n`` rows in seeded order."""
+
+def _top(
+    df: DataFrame, groups: Sequence[str], n: Column, seed: int | Column, key: str, quotas: DataFrame | None = None
+) -> DataFrame:
+    """The first ``n`` rows of each group in seeded order."""
     hashed = df.withColumn("_h", seeded_md5(seed, key))
-    return mark_first(hashed, [], ["_h", key], F.lit(n), hash_bucket("_h"), "_top").where("_top").drop("_top", "_h")
+    marked = mark_first(hashed, groups, ["_h", key], n, hash_bucket("_h"), "_top", quotas)
+    return marked.where("_top").drop("_top", "_h")
 
 
 def probe_sample(rows: DataFrame, label: str, cap: int, seed: int, min_class_count: int, key: str = "row_index") -> DataFrame:
     """Drop classes below ``min_class_count``, then :func:`balanced_cap` with trimming."""
     big = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_class_count).select(label)
-    return balanced_cap(rows.join(big, label, "left_semi"), cap, seed, label, max(2, min_class_count), key)
+    return balanced_cap(rows.join(big, label, "left_semi"), cap, seed, label, min_class_count, key)
 
 
 def stratified_holdout(

@@ -1,0 +1,4 @@
+"""Nothing here: every input of this work is a finished table that is read whole.
+
+Count-based windowing of recordings is a batch operator (:mod:`plumbline.operators.windows`).
+"""
