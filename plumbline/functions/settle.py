@@ -4,17 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+_private: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _private:
+        _private[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _private[app]
+
+
+def at_once(spark: SparkSession, work: Callable, items: Sequence, threads: int = 4) -> list:
+    """Run independent Spark work for several items side by side, results in order.
+
+    Each item is a set of distributed jobs; running a few together fills the cluster while
+    one of them is at its driver-side step.
+    """
+    with ThreadPool(min(threads, max(1, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.settle import settle
+from plumbline.functions.settle import at_once, settle
 from plumbline.operators.features import position_stats, standardize_on_train
 
 LOGISTIC, SVM = "logistic", "svm"
@@ -282,15 +282,19 @@ def _fit_predict_multinomial(assignments, features, classes, unit, label, test_l
     """One softmax fit per unit; the units are few (folds) and each fit is distributed."""
     units = sorted(tuple(r) for r in assignments.select(*unit).distinct().collect())
     assignments = settle(assignments.where(F.col("split").isin("train", on)))
-    out = None
-    for u in units:
+
+    def one(u: tuple) -> DataFrame:
         here = assignments
         for column, value in zip(unit, u, strict=True):
             here = here.where(F.col(column) == F.lit(value))
-        side = F.when(F.col("split") == "train", "train").when(F.col("split") == on, "test")
+        side = F.when(F.col("split") == "train", "train").otherwise("test")
         name = F.when(F.col("split") == "train", F.col(label)).otherwise(F.col(test_label or label))
-        rows = here.select("row_index", name.alias("label"), side.alias("side")).where("side is not null")
+        rows = here.select("row_index", name.alias("label"), side.alias("side"))
         fitted = fit_multinomial(rows.join(features, "row_index"), classes, balanced=balanced).predictions
-        part = fitted.select(*[F.lit(v).alias(c) for c, v in zip(unit, u, strict=True)], "row_index", "y_true", "y_pred")
-        out = part if out is None else out.unionByName(part)
+        return fitted.select(*[F.lit(v).alias(c) for c, v in zip(unit, u, strict=True)], "row_index", "y_true", "y_pred")
+
+    parts = at_once(assignments.sparkSession, one, units)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.settle import settle
+from plumbline.functions.settle import at_once, settle
 from plumbline.operators import linear, metrics, sampling
 from plumbline.operators.probe_splits import NOT_ESTIMABLE, ProbeQuery, default_query, probe_rows, probe_sides, spanning_groups, split_report
 
@@ -81,13 +81,14 @@ def probe(features: DataFrame, meta: DataFrame, query: ProbeQuery) -> dict:
 
 def probe_suite(features: DataFrame, meta: DataFrame, labels: Sequence[str], max_rows: int, seed: int, min_class_count: int) -> DataFrame:
     """The confound suite over one feature table: one row per asked label, on a balanced sample."""
-    rows = []
-    for label in labels:
+
+    def one(label: str) -> dict | None:
         sampled = settle(sampling.probe_sample(meta, label, max_rows, seed, min_class_count))
         if sampled.select(label).distinct().limit(2).count() < 2:
-            continue
-        rows.append(probe(features, sampled, default_query(label, seed)))
-    return _table(meta, rows, [])
+            return None
+        return probe(features, sampled, default_query(label, seed))
+
+    return _table(meta, [r for r in at_once(meta.sparkSession, one, list(labels)) if r is not None], [])
 
 
 def probe_spaces(spaces: DataFrame, meta: DataFrame, labels: Sequence[str], seed: int, by: Sequence[str]) -> DataFrame:
@@ -97,19 +98,20 @@ def probe_spaces(spaces: DataFrame, meta: DataFrame, labels: Sequence[str], seed
     ``meta`` has the first column of ``by`` and the entity keys.
     """
     units = sorted(tuple(r) for r in spaces.select(*by).distinct().collect())
-    rows = []
-    for unit in units:
+
+    def one(asked: tuple) -> dict | None:
+        unit, label = asked
         mine, info = spaces, meta
         for column, value in zip(by, unit, strict=True):
             mine = mine.where(F.col(column) == value)
             if column in info.columns:
                 info = info.where(F.col(column) == value)
-        for label in labels:
-            if label == "session_key" and info.select(label).distinct().limit(2).count() < 2:
-                continue
-            row = probe(mine, info, default_query(label, seed))
-            rows.append({**dict(zip(by, unit, strict=True)), **row})
-    return _table(meta, rows, by)
+        if label == "session_key" and info.select(label).distinct().limit(2).count() < 2:
+            return None
+        return {**dict(zip(by, unit, strict=True)), **probe(mine, info, default_query(label, seed))}
+
+    rows = at_once(meta.sparkSession, one, [(unit, label) for unit in units for label in labels])
+    return _table(meta, [r for r in rows if r is not None], by)
 
 
 def _table(like: DataFrame, rows: list[dict], by: Sequence[str]) -> DataFrame:
