@@ -89,12 +89,46 @@ def test_wilcoxon_published_form(spark):
     assert p[60] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
 
 
-def test_holm_published_families(spark):
-    """Published p-values and their adjusted values."""
-    rows = [("policy", 0.0009765625, 0.0009765625 * 3), ("policy", 0.25, 0.5), ("policy", 0.3, 0.5), ("policy", None, None), ("other", 0.9, 0.9)]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, family string, p_wilcoxon double, want double")
+# Published p-values and their adjusted values, by family.
+PUBLISHED = {
+    "transforms": [
+        (0.00030517578125, 0.00152587890625),
+        (0.5994873046875, 1.0),
+        (0.803955078125, 1.0),
+        (0.0002148151397705, 0.001288890838623),
+        (0.988100528717041, 1.0),
+        (0.7997725009918213, 1.0),
+    ],
+    "label_policy": [
+        (0.5303222090005875, 1.0),
+        (0.2913762927055359, 1.0),
+        (0.3272097110748291, 1.0),
+        (0.6570012671339999, 1.0),
+        (0.04152512550354, 0.2491507530212402),
+        (0.0111565589904785, 0.0780959129333496),
+        (0.0054144859313964, 0.0433158874511718),
+        (0.2226152420043945, 1.0),
+    ],
+}
+
+# Published (n, mean, sd, low, high) of two interval estimates.
+PUBLISHED_INTERVALS = [
+    (23, 0.5765977974281961, 0.0567456118864599, 0.5520591547254653, 0.6011364401309268),
+    (15, 0.3429452385447819, 0.065339852870241, 0.3067612340966782, 0.3791292429928856),
+]
+
+
+def test_holm_reproduces_published_families(spark):
+    rows = [(f, i, p, want) for f, ps in PUBLISHED.items() for i, (p, want) in enumerate(ps)] + [("label_policy", 99, None, None)]
+    df = spark.createDataFrame(rows, "family string, i int, p_wilcoxon double, want double")
     for r in inference.with_holm(df, ["family"], key=["i"]).collect():
-        assert r["p_holm"] == (None if r["want"] is None else pytest.approx(r["want"]))
+        assert r["p_holm"] == (None if r["want"] is None else pytest.approx(r["want"], rel=1e-9))
+
+
+@pytest.mark.parametrize("n,mean,sd,low,high", PUBLISHED_INTERVALS)
+def test_t_multiplier_reproduces_published_intervals(n, mean, sd, low, high):
+    half = t_quantile(n - 1) * sd / math.sqrt(n)
+    assert mean - half == pytest.approx(low, abs=1e-9) and mean + half == pytest.approx(high, abs=1e-9)
 
 
 def test_pairing(spark):
