@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
@@ -11,18 +10,10 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
-_private: dict[str, str] = {}
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _private:
-        _private[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _private[app]
+    """The shared folder the cluster names; where it names none, a folder of the session's warehouse, which is shared too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
 
 
 def at_once(spark: SparkSession, work: Callable, items: Sequence, threads: int = 4) -> list:
@@ -44,3 +35,11 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, with its partitions and their order kept."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, name: str = "plumbline", memory: str = "8g") -> SparkSession:
-    spark = (
+def local_session(cores: int | str = 8, name: str = "plumbline", memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """``shared``: the folder for settled tables, which on one machine any folder can be."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -19,8 +20,10 @@ def local_session(cores: int | str = 8, name: str = "plumbline", memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -8,10 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from plumbline.session import local_session
 
-    session = local_session(8, "plumbline-tests")
+    session = local_session(8, "plumbline-tests", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
