@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import fm_index, language_id, line_dedup, packing, perplexity, secrets, simhash
+from plumbline.llm import chat, fm_index, html_text, language_id, line_dedup, packing, perplexity, secrets, shards, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,46 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+CONTROLS = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op1_chat_format",
+    r"""
+    WITH messages AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    )
+    SELECT conv_id,
+           count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+           CAST(sum(length(role || text) + 23 + len(regexp_extract_all(role || ' ' || text, '[<\[]\\*(?:\||/?s>|</?SYS>>|/?INST\])'))) AS BIGINT) AS formatted_chars,
+           0::BIGINT AS attachment_tokens
+    FROM messages GROUP BY conv_id
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROLS).alias("text")
+    )
+    done = chat.format_conversations(given.union(own).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    turns = F.array_join(F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(chat.masked(F.col("formatted"), F.col("loss_mask")), "")
+    return done.select(
+        "conv_id",
+        (F.size(F.split("formatted", r"<\|turn\|>", -1)) - 1).cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "attachment_tokens",
+    )
+
+
 @query("op2_secret_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -43,6 +83,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_html_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shards.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op5_language_id")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
