@@ -129,12 +129,13 @@ def format_conversations(messages: DataFrame, how: Expansion = Expansion(), lear
 
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted conversation; placeholders stay in the text."""
-    turns = F.slice(F.split(formatted, r"<\|turn\|>", -1), 2, 2**31 - 1)
+    pieces = F.split(formatted, r"<\|turn\|>", -1)
+    turns = F.filter(pieces, lambda t, i: i > 0)
     return F.transform(
         turns,
         lambda t: F.struct(
             unescape(F.substring_index(t, TEXT, 1)).alias("role"),
-            unescape(F.substring_index(F.substring(t, F.instr(t, TEXT) + len(TEXT), 2**31 - 1), END, 1)).alias("text"),
+            unescape(F.substring_index(F.substring(t, F.instr(t, TEXT) + len(TEXT), F.char_length(t)), END, 1)).alias("text"),
         ),
     )
 
