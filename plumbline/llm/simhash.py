@@ -64,17 +64,23 @@ def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, text_key, fp): the fingerprint as a signed 64-bit number."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = named(batch, "text")
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts]
             fps = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([named(batch, "doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([named(batch, "doc_id"), named(batch, "text_key"), pa.array(fps)], names=["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, fp long")
+    text = F.col(text_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
+    return rows.mapInArrow(hashed, "doc_id long, text_key long, fp long")
+
+
+def text_key(text: Column) -> Column:
+    """Tells the rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 # ---- bit-sliced comparison
@@ -277,14 +283,33 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def roots(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root): the smallest id of every distinct fingerprint, and the name of its group."""
+    distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = components(edges(distinct.select("fp"), radius))
+    return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     fps = settle(fingerprints(docs, id_column, text_column, words))
-    distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(edges(distinct.select("fp"), radius))
-    rooted = distinct.join(groups, distinct.fp == groups.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    named_groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named_groups, "root").select("fp", "component_id")
+    rooted = roots(fps, radius)
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = rooted.join(ids, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group: of the smallest id; null ids come last, and of several rows the smallest text key stays."""
+    fps = settle(fingerprints(docs, id_column, text_column, words))
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "text_key")
+    of_fp = fps.groupBy("fp").agg(F.min(key).alias("key"))
+    picked = of_fp.join(roots(fps, radius), "fp").groupBy("root").agg(F.min("key").alias("key")).select("key.*")
+    marked = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_column).isNull().alias("missing"),
+        F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("doc"),
+        text_key(F.col(text_column)).alias("text_key"),
+    )
+    found = marked.join(picked, ["missing", "doc", "text_key"])
+    return found.dropDuplicates(["missing", "doc", "text_key"]).select("row.*")
