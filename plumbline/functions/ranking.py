@@ -1,12 +1,16 @@
 """Exact ranks, quotas and running totals that never sort a whole group in one task.
 
 A plain ``row_number() over (partition by label order by h)`` sends each label to one
-task, which fails when one label holds a third of all rows.  Here the order is cut into
-buckets that respect it; bucket sizes are summed (map-side combined) and turned into
-offsets, and only rows of the same bucket are ever sorted together.
+task, which fails when one label holds a third of all rows.  Here a group of more than
+``PIECE_ROWS`` rows is cut along its order into as many pieces as its counted size asks
+for; piece sizes are summed (map-side combined) and turned into offsets, and only rows of
+one piece are sorted together.  The table of large groups has at most one row per
+``PIECE_ROWS`` rows and is settled, so joins see its real size.
 
-``bucket=None`` asks for the plain window.  Callers pass it only for tables whose size
-they have checked (see :data:`SMALL_ROWS`).
+Rows whose group columns are null form a group like any other.
+
+A ``Bucket`` says how an order is cut: given the number of pieces of the group it returns a
+piece number that does not decrease along the order.
 """
 
 from __future__ import annotations
@@ -17,142 +21,152 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import unit_interval
 from plumbline.functions.settle import settle
 
-#: Leading hex digits of a digest used as bucket: 3 gives 4,096 buckets per group.
-HASH_DIGITS = 3
+#: Rows that one sort holds on average.
+PIECE_ROWS = 50_000
+
+Bucket = Callable[[Column], Column]
+
+
+def hash_bucket(md5_hex: Column | str) -> Bucket:
+    """Pieces of equal width along a hex digest."""
+    return linear_bucket(unit_interval(F.col(md5_hex) if isinstance(md5_hex, str) else md5_hex), 1)
+
+
+def linear_bucket(x: Column, width: Column | float) -> Bucket:
+    """Pieces of equal width along a number in [0, width)."""
+    return lambda pieces: F.floor(x / width * pieces)
+
 
-#: Entity tables up to this many rows may be sorted by a plain window.
-SMALL_ROWS = 500_000
+def magnitude_bucket(x: Column, per_octave: int = 64) -> Bucket:
+    """Pieces along the logarithm of a positive number; tied numbers share one."""
+    return lambda pieces: F.floor(F.log2(x) * F.lit(per_octave))
 
 
-def hash_bucket(md5_hex: Column | str, digits: int = HASH_DIGITS) -> Column:
-    return F.substring(md5_hex, 1, digits)
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the key columns come from ``left``."""
+    renamed = right.select(*(F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns))
+    condition = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, condition, how).drop(*(f"_right_{k}" for k in keys))
 
 
-def magnitude_bucket(x: Column, per_octave: int = 64) -> Column:
-    """A bucket that does not decrease with a positive number ``x``."""
-    return F.floor(F.log2(x) * F.lit(per_octave))
+def large_groups(df: DataFrame, groups: Sequence[str], piece_rows: int | None) -> DataFrame:
+    """(groups, _pieces) of the groups above ``piece_rows`` rows."""
+    piece_rows = piece_rows or PIECE_ROWS
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
+    pieces = F.ceil(F.col("_rows") / piece_rows).alias("_pieces")
+    return settle(sizes.where(F.col("_rows") > piece_rows).select(*groups, pieces))
 
 
-def _by(groups: Sequence[str]):
-    return W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
+def cut(df: DataFrame, groups: Sequence[str], bucket: Bucket, piece_rows: int | None) -> DataFrame:
+    """``df`` with ``_bucket``: the piece of each row, 0 in groups that are not large."""
+    sized = match(df, large_groups(df, groups, piece_rows), groups, "left")
+    piece = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(bucket(F.col("_pieces")))
+    return sized.withColumn("_bucket", piece.cast("long"))
 
 
 def _offsets(counts: DataFrame, groups: Sequence[str], n: str) -> DataFrame:
-    """Per bucket, how much of the group lies in earlier buckets."""
-    earlier = _by(groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    """Per piece, how much of the group lies in earlier pieces."""
+    earlier = W.partitionBy(*groups).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum(n).over(earlier), F.lit(0)))
 
 
-def bucketed_rank(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], bucket: Column | None, out: str = "rank"
-) -> DataFrame:
-    """``row_number() over (partition by groups order by order)`` as a column ``out``.
+def _grouped(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    return (df, list(groups)) if groups else (df.withColumn("_whole", F.lit(1)), ["_whole"])
 
-    ``bucket`` must not decrease along ``order`` inside a group.
-    """
-    if bucket is None:
-        return df.withColumn(out, F.row_number().over(_by(groups).orderBy(*order)).cast("long"))
+
+def _along_pieces(
+    df: DataFrame, groups: Sequence[str], bucket: Bucket, total: Column, inside: Callable, out: str, piece_rows: int | None
+) -> DataFrame:
+    """A window value inside each piece plus the ``total`` of the earlier pieces of the group."""
+    df, groups = _grouped(df, groups)
+    tagged = cut(df, groups, bucket, piece_rows)
     keys = [*groups, "_bucket"]
-    tagged = df.withColumn("_bucket", bucket)
-    offsets = _offsets(tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), groups, "_n").drop("_n")
-    inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return (
-        tagged.withColumn("_inside", inside)
-        .join(offsets, keys)
-        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("long"))
-        .drop("_bucket", "_before", "_inside")
-    )
+    sums = tagged.where(F.col("_pieces").isNotNull()).groupBy(*keys).agg(total.alias("_sum"))
+    offsets = settle(_offsets(sums, groups, "_sum").drop("_sum"))
+    placed = tagged.withColumn("_inside", inside(W.partitionBy(*keys)))
+    value = F.coalesce("_before", F.lit(0)) + F.col("_inside")
+    return match(placed, offsets, keys, "left").withColumn(out, value).drop("_bucket", "_pieces", "_before", "_inside", "_whole")
+
+
+def bucketed_rank(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], bucket: Bucket, out: str = "rank", piece_rows: int | None = None
+) -> DataFrame:
+    """``row_number() over (partition by groups order by order)`` as a column ``out``."""
+    number = lambda window: F.row_number().over(window.orderBy(*order)).cast("long")
+    return _along_pieces(df, groups, bucket, F.count(F.lit(1)), number, out, piece_rows)
 
 
 def bucketed_running_sum(
-    df: DataFrame, groups: Sequence[str], order: str, bucket: Column | None, value: str, out: str
+    df: DataFrame, groups: Sequence[str], order: str, bucket: Bucket, value: str, out: str, piece_rows: int | None = None
 ) -> DataFrame:
     """Inclusive running total of ``value`` along ``order`` (unique inside a group)."""
-    upto = (W.unboundedPreceding, 0)
-    if bucket is None:
-        return df.withColumn(out, F.sum(value).over(_by(groups).orderBy(order).rowsBetween(*upto)))
-    keys = [*groups, "_bucket"]
-    tagged = df.withColumn("_bucket", bucket)
-    offsets = _offsets(tagged.groupBy(*keys).agg(F.sum(value).alias("_s")), groups, "_s").drop("_s")
-    inside = F.sum(value).over(W.partitionBy(*keys).orderBy(order).rowsBetween(*upto))
-    return (
-        tagged.withColumn("_inside", inside)
-        .join(offsets, keys)
-        .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_before", "_inside")
-    )
+    upto = lambda window: F.sum(value).over(window.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return _along_pieces(df, groups, bucket, F.sum(value), upto, out, piece_rows)
 
 
-def sorted_rank(df: DataFrame, order: Sequence[str], out: str = "rank", splitters: int = 256) -> DataFrame:
+def value_bucket(df: DataFrame, groups: Sequence[str], value: str, piece_rows: int | None = None) -> tuple[DataFrame, Bucket]:
+    """``df`` with ``_cuts``, and pieces along ``value``: approximate quantiles of every large group."""
+    large = large_groups(df, groups, piece_rows)
+    most = large.agg(F.max("_pieces")).first()[0] or 1
+    steps = [i / most for i in range(1, most)] or [0.5]
+    cuts = match(df, large, groups).groupBy(*groups).agg(F.percentile_approx(value, steps, 10_000).alias("_cuts"))
+    return match(df, settle(cuts), groups, "left"), lambda pieces: F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+
+
+def sorted_rank(df: DataFrame, order: Sequence[str], out: str = "rank", piece_rows: int | None = None) -> DataFrame:
     """Global 1-based rank of distinct, non-null ``order`` tuples without one global sort.
 
-    The cut points are the ``splitters`` keys with the smallest digests, a uniform and
-    repeatable sample whose size does not grow with the data.
+    The cut points are the keys with the smallest digests, a uniform and repeatable
+    sample of one key per ``piece_rows`` rows.
     """
     key = F.struct(*order)
-    sample = (
-        df.select(*order)
-        .orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), *order)
-        .limit(splitters)
-        .agg(F.array_sort(F.collect_list(key)).alias("cuts"))
-    )
-    cut = df.withColumn("_cuts", sample.scalar())
-    bucket = F.size(F.filter("_cuts", lambda c: c <= key))
-    return bucketed_rank(cut.withColumn("_range", bucket).drop("_cuts"), [], order, F.col("_range"), out).drop("_range")
+    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order]))
+    sample = df.select(*order).orderBy(digest, *order).limit(df.count() // (piece_rows or PIECE_ROWS)).agg(F.array_sort(F.collect_list(key)).alias("cuts"))
+    ranged = df.withColumn("_cuts", sample.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
+    return bucketed_rank(ranged, [], order, lambda pieces: F.col("_range"), out, piece_rows).drop("_range")
 
 
 def mark_first(
     df: DataFrame,
     groups: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[str],
     quota: Column,
-    bucket: Column | None,
+    bucket: Bucket,
     out: str = "taken",
     quotas: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    piece_rows: int | None = None,
 ) -> DataFrame:
-    """Flag the first ``quota`` rows of every group along ``order``.
+    """Flag the first ``quota`` rows of every group along the non-null columns ``order``.
 
     ``quota`` is an expression over the group columns, ``_total`` (group size) and the
     columns of ``quotas``: a table keyed by the groups, or a function that makes one from
-    the group sizes (groups, ``_total``).  Only the rows of the single bucket in which the
-    quota is reached are sorted; all others are decided by comparing buckets, so the rows
-    themselves are not shuffled.
+    the group sizes (groups, ``_total``).  The last row taken is looked up in the one piece of its group in
+    which the quota is reached; every other row is compared with it, so the rows
+    themselves are neither sorted nor shuffled.
     """
-    groups = list(groups)
-    if bucket is None:
-        sized = df.withColumn("_total", F.count(F.lit(1)).over(_by(groups)))
-        if callable(quotas):
-            quotas = quotas(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total")))
-        if quotas is not None:
-            sized = sized.join(quotas, groups, "left")
-        extra = [c for c in sized.columns if c not in df.columns]
-        place = F.row_number().over(_by(groups).orderBy(*order))
-        return sized.withColumn(out, F.coalesce(place <= quota, F.lit(False))).drop(*extra)
-    whole = not groups
-    if whole:
-        groups, df = ["_whole"], df.withColumn("_whole", F.lit(1))
-    tagged = df.withColumn("_bucket", bucket)
+    columns = df.columns
+    df, groups = _grouped(df, groups)
+    tagged = cut(df, groups, bucket, piece_rows)
     counts = settle(tagged.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if callable(quotas):
         quotas = quotas(totals)
     if quotas is not None:
-        totals = totals.join(quotas, groups, "left")
-    wanted = totals.select(*groups, F.least(quota.cast("long"), F.col("_total")).alias("_quota"))
-    edges = settle(
-        _offsets(counts, groups, "_n")
-        .join(wanted, groups)
+        totals = match(totals, quotas, groups, "left")
+    wanted = settle(totals.select(*groups, "_total", F.coalesce(quota.cast("long"), F.lit(0)).alias("_quota")))
+    partly = wanted.where((F.col("_quota") > 0) & (F.col("_quota") < F.col("_total")))
+    edges = (
+        match(_offsets(counts, groups, "_n"), partly, groups)
         .where((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
-        .select(*groups, F.col("_bucket").alias("_edge"), (F.col("_quota") - F.col("_before")).alias("_need"))
+        .select(*groups, "_bucket", (F.col("_quota") - F.col("_before")).alias("_need"))
     )
-    joined = tagged.join(edges, groups, "left")
-    decided = joined.where(F.col("_edge").isNull() | (F.col("_bucket") != F.col("_edge"))).withColumn(
-        out, F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False))
-    )
-    at_edge = joined.where(F.col("_bucket") == F.col("_edge")).withColumn(
-        out, F.row_number().over(_by(groups).orderBy(*order)) <= F.col("_need")
-    )
-    marked = decided.unionByName(at_edge).drop("_bucket", "_edge", "_need")
-    return marked.drop("_whole") if whole else marked
+    keys = [*groups, "_bucket"]
+    place = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
+    at_edge = match(tagged, settle(edges), keys).withColumn("_place", place)
+    last = at_edge.where(F.col("_place") == F.col("_need")).select(*groups, F.struct(*order).alias("_last"))
+    limits = settle(match(wanted, last, groups, "left"))
+    taken = F.when(F.col("_quota") >= F.col("_total"), True).otherwise(F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False)))
+    return match(df, limits, groups, "left").select(*columns, taken.alias(out))

@@ -127,11 +127,16 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str = "row_index") -> Dat
     return left.join(right, key)
 
 
+def _ends(label: str | None, out: str) -> list[Column]:
+    """Lowest and highest label of a key, so that repeated keys cannot decide by their order."""
+    return [F.min(label).alias(out), F.max(label).alias(f"{out}_top")] if label else [F.lit(None).alias(out), F.lit(None).alias(f"{out}_top")]
+
+
 def keyed_join_audit(left: DataFrame, right: DataFrame, key: str = "row_index", label_pair: tuple[str, str] | None = None) -> DataFrame:
     """One row: duplicates on each side, keys missing on each side, label ids that disagree."""
     a, b = label_pair or (None, None)
-    lhs = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"), (F.first(a) if a else F.lit(None)).alias("_a"))
-    rhs = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"), (F.first(b) if b else F.lit(None)).alias("_b"))
+    lhs = left.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"), *_ends(a, "_a"))
+    rhs = right.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"), *_ends(b, "_b"))
     both = lhs.join(rhs, key, "full_outer")
     present = F.col("_nl").isNotNull() & F.col("_nr").isNotNull()
     return both.agg(
@@ -139,6 +144,6 @@ def keyed_join_audit(left: DataFrame, right: DataFrame, key: str = "row_index",
         F.count_if(F.col("_nr") > 1).alias("n_duplicate_right"),
         F.count_if(F.col("_nl").isNull()).alias("n_missing_left"),
         F.count_if(F.col("_nr").isNull()).alias("n_missing_right"),
-        F.count_if(present & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("n_label_mismatch"),
+        F.count_if(present & ~(F.col("_a").eqNullSafe(F.col("_b")) & F.col("_a_top").eqNullSafe(F.col("_b_top")))).alias("n_label_mismatch"),
         F.count_if(present).alias("n_joined"),
     )

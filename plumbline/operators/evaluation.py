@@ -11,30 +11,24 @@ from plumbline.functions.settle import settle
 from plumbline.operators import audits, baselines, features, linear, metrics, sampling, shuffles
 from plumbline.sources.tables import covered_rows
 
-FEATURE_SETS = ("alpha", "spectral")
+# Names of the models, with the feature column and the loss of each.
+MODELS = {
+    "majority": (None, None),
+    "random_prior": (None, None),
+    "alpha_logistic": ("alpha", linear.LOGISTIC),
+    "alpha_svm": ("alpha", linear.SVM),
+    "spectral_logistic": ("spectral", linear.LOGISTIC),
+    "spectral_svm": ("spectral", linear.SVM),
+}
 
-
-def feature_set_of(model: str) -> str | None:
-    """The feature set a model name asks for; None for models without features."""
-    if model in ("majority", "random_prior"):
-        return None
-    prefix = model.split("_", 1)[0]
-    if prefix not in FEATURE_SETS:
-        raise ValueError(f"unknown model {model!r}")
-    return prefix
-
-
-def loss_of(model: str) -> str:
-    loss = model.rsplit("_", 1)[-1]
-    if loss not in (linear.LOGISTIC, linear.SVM):
-        raise ValueError(f"unknown model {model!r}")
-    return loss
+#: Added to the seed of the test caps, so they draw another order than the training caps.
+TEST_DRAW = 7
 
 
 def capped(assignments: DataFrame, seed: int, max_train: int | None, max_test: int | None) -> DataFrame:
     """Class-balanced row caps of every fold, all folds in the same passes."""
     out = None
-    for split, cap, shift in (("train", max_train, 0), ("test", max_test, 1000)):
+    for split, cap, shift in (("train", max_train, 0), ("test", max_test, TEST_DRAW)):
         part = assignments.where(F.col("split") == split)
         if cap is not None:
             part = sampling.balanced_cap(part, cap, F.lit(seed + shift) + F.col("fold"), by=["fold"])
@@ -57,7 +51,9 @@ def predictions_of(
     label: str = "target_label", test_label: str = "target_label",
 ) -> DataFrame:
     """``unit, row_index, y_true, y_pred`` of one model over all folds."""
-    which = feature_set_of(model)
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; known: {sorted(MODELS)}")
+    which, loss = MODELS[model]
     if which is None:
         train = assignments.where(F.col("split") == "train").groupBy(*unit, label).agg(F.count(F.lit(1)).alias("train"))
         test = assignments.where(F.col("split") == "test").withColumn("y_true", F.col(test_label))
@@ -67,7 +63,7 @@ def predictions_of(
         drawn = baselines.prior_predictions(test, baselines.prior_blocks(train, unit, label), seed)
         return drawn.select(*unit, "row_index", "y_true", "y_pred")
     columns = feature_table.select("row_index", F.col(which).alias("features"))
-    return linear.fit_predict(assignments, columns, classes, loss_of(model), unit, label, test_label)
+    return linear.fit_predict(assignments, columns, classes, loss, unit, label, test_label)
 
 
 def run_baselines(

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_md5
 from plumbline.functions.ranking import (
-    HASH_DIGITS,
-    SMALL_ROWS,
     bucketed_rank,
     bucketed_running_sum,
     hash_bucket,
+    linear_bucket,
     mark_first,
+    match,
     sorted_rank,
 )
 from plumbline.functions.settle import settle
@@ -62,7 +62,7 @@ def largest_remainder(counts: DataFrame, groups: Sequence[str], n: str, wanted:
 
 
 def segment_random(
-    rows: DataFrame, k: int, seed: int, label: str = "target_label", digits: int = HASH_DIGITS
+    rows: DataFrame, k: int, seed: int, label: str = "target_label", piece_rows: int | None = None
 ) -> DataFrame:
     """Stratified k-fold over rows with a stratified validation part: ``row_index, fold, split``.
 
@@ -78,7 +78,7 @@ def segment_random(
         F.when(F.col("_ok"), F.col("_label")).otherwise(F.lit("")).alias("stratum"),
         seeded_md5(seed, "row_index").alias("_h"),
     )
-    ranked = bucketed_rank(hashed, ["stratum"], ["_h", "row_index"], hash_bucket("_h", digits), "_rank").select(
+    ranked = bucketed_rank(hashed, ["stratum"], ["_h", "row_index"], hash_bucket("_h"), "_rank", piece_rows).select(
         "row_index", "stratum", (F.col("_rank") - 1).alias("r")
     )
     per_fold = (
@@ -100,7 +100,7 @@ def segment_random(
         .when(F.pmod(in_pool - start, F.col("pool")) < F.col("n_val"), "val")
         .otherwise("train")
     )
-    return ranked.join(quotas, "stratum").select("row_index", "fold", split.alias("split"))
+    return match(ranked, quotas, ["stratum"]).select("row_index", "fold", split.alias("split"))
 
 
 # -- groups to k folds ------------------------------------------------------------------
@@ -119,7 +119,6 @@ def trial_grouped_rules(rows: DataFrame, k: int, seed: int, group: str = "trial_
         .select(group, (-F.col("size")).alias("_small_first"))
     )
     n_groups = sizes.count()
-    small = n_groups <= SMALL_ROWS
     if n_groups < k:
         n_folds = 1
         seeded = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(seeded_md5(seed, group), group))
@@ -127,7 +126,7 @@ def trial_grouped_rules(rows: DataFrame, k: int, seed: int, group: str = "trial_
     else:
         n_folds = k
         order = ["_small_first", group]
-        ranked = bucketed_rank(sizes, [], order, None, "_rank") if small else sorted_rank(sizes, order, "_rank")
+        ranked = sorted_rank(sizes, order, "_rank")
         place = F.pmod(F.col("_rank") - 1, F.lit(k))
         back = F.pmod(F.floor((F.col("_rank") - 1) / k), F.lit(2)) == 1
         dealt = ranked.withColumn("_test_fold", F.when(back, k - place).otherwise(place + 1).cast("int"))
@@ -139,7 +138,7 @@ def trial_grouped_rules(rows: DataFrame, k: int, seed: int, group: str = "trial_
     )
     # A pool of a single group is not split.
     quota = F.when(F.col("_total") > 1, F.ceil(F.col("_total") * VAL_FRACTION)).otherwise(F.lit(0))
-    carved = mark_first(pool, ["fold"], ["_h", group], quota, None if small else hash_bucket("_h"), "_val").select(
+    carved = mark_first(pool, ["fold"], ["_h", group], quota, hash_bucket("_h"), "_val").select(
         group, "fold", F.when(F.col("_val"), "val").otherwise("train").alias("split")
     )
     test = spread.where(F.col("_test_fold") == F.col("fold")).select(group, "fold", F.lit("test").alias("split"))
@@ -153,10 +152,9 @@ def subject_circle(rows: DataFrame, seed: int, subject: str = "subject_key") ->
     """One row per subject: ``subject, fold`` (rank of the key), ``pos`` (0-based seeded position), ``n``."""
     subjects = settle(rows.select(subject).distinct())
     n = subjects.count()
-    small = n <= SMALL_ROWS
-    folds = bucketed_rank(subjects, [], [subject], None, "fold") if small else sorted_rank(subjects, [subject], "fold")
+    folds = sorted_rank(subjects, [subject], "fold")
     hashed = folds.withColumn("_h", seeded_md5(seed, subject))
-    placed = bucketed_rank(hashed, [], ["_h", subject], None if small else hash_bucket("_h"), "_place")
+    placed = bucketed_rank(hashed, [], ["_h", subject], hash_bucket("_h"), "_place")
     return settle(
         placed.select(subject, "fold", (F.col("_place") - 1).alias("pos"), F.lit(n).cast("long").alias("n"))
     )
@@ -180,15 +178,6 @@ def arc_role(pos: Column, test_pos: Column, n: Column, n_val: Column) -> Column:
     return F.when(ahead == 0, "test").when(ahead <= n_val, "val").otherwise("train")
 
 
-#: Rule tables up to this many rows may be broadcast; larger ones are joined by sorting.
-BROADCAST_RULES = 1_000_000
-
-
-def _size_checked(rules: DataFrame, n_rows: int) -> DataFrame:
-    """Rule tables grow by exploding, which the optimizer's size estimate does not see."""
-    return rules if n_rows <= BROADCAST_RULES else rules.hint("merge")
-
-
 def subject_rules(circle: DataFrame, val_size=loso_val_size, folds: Sequence[int] | None = None) -> DataFrame:
     """``subject, fold, role, test_subject`` for the named folds.
 
@@ -201,13 +190,12 @@ def subject_rules(circle: DataFrame, val_size=loso_val_size, folds: Sequence[int
     spread = circle.select(subject, "pos", "n", F.explode(wanted).alias("fold"))
     role = arc_role(F.col("pos"), F.col("_test_pos"), F.col("n"), val_size("n"))
     spread = spread.withColumn("fold", F.col("fold").cast("long"))
-    rules = spread.join(tests, "fold").select(subject, "fold", role.alias("split"), "test_subject")
-    n = circle.count()
-    return _size_checked(rules, n * (n if folds is None else len(folds)))
+    # Written first: rules grow by exploding, which only the size of the written table shows.
+    return settle(spread.join(tests, "fold").select(subject, "fold", role.alias("split"), "test_subject"))
 
 
 def fold_composition(
-    rows: DataFrame, circle: DataFrame, cells: Sequence[str], val_size=loso_val_size, bucket_width: int = 1024
+    rows: DataFrame, circle: DataFrame, cells: Sequence[str], val_size=loso_val_size
 ) -> DataFrame:
     """Rows per (fold, cell) and role for every fold, without pairing subjects.
 
@@ -217,14 +205,13 @@ def fold_composition(
     """
     subject = circle.columns[0]
     counts = settle(rows.groupBy(subject, *cells).agg(F.count(F.lit(1)).alias("_n")))
-    small = circle.count() <= SMALL_ROWS
     kinds = counts.select(*cells).distinct().agg(F.collect_list(F.struct(*cells))).scalar()
     grid = circle.withColumn("_kinds", kinds).select(
         subject, "fold", "pos", "n", F.explode("_kinds").alias("_c")
     ).select(subject, "fold", "pos", "n", "_c.*")
     filled = grid.join(counts, [subject, *cells], "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
-    bucket = None if small else F.floor(F.col("pos") / bucket_width)
-    running = settle(bucketed_running_sum(filled, list(cells), "pos", bucket, "_n", "_upto"))
+    along = linear_bucket(F.col("pos"), F.col("n"))
+    running = settle(bucketed_running_sum(filled, list(cells), "pos", along, "_n", "_upto"))
     totals = counts.groupBy(*cells).agg(F.sum("_n").alias("_all"))
     arc_end = running.select(*cells, F.col("pos").alias("_end"), F.col("_upto").alias("_upto_end"))
     joined = (
@@ -278,9 +265,7 @@ def stimulus_rules(circle: DataFrame, groups: int, folds: Sequence[int] | None =
     tested = F.col("stimulus_group") == held_group("fold", groups)
     excluded = F.col("stimulus_group") == excluded_group("protocol", "fold", groups)
     keep = F.when(F.col("split") == "test", tested).otherwise(~excluded)
-    n = circle.count()
-    kept = spread.where(keep).select(subject, "stimulus_group", "fold", "protocol", "split")
-    return _size_checked(kept, n * (n if folds is None else len(folds)) * len(CONDITIONS) * groups)
+    return settle(spread.where(keep).select(subject, "stimulus_group", "fold", "protocol", "split"))
 
 
 def stimulus_composition(rows: DataFrame, circle: DataFrame, groups: int, label: str = "target_label") -> DataFrame:

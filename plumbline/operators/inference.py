@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.ranking import bucketed_running_sum, magnitude_bucket
+from plumbline.functions.ranking import bucketed_running_sum, magnitude_bucket, match
 from plumbline.functions.settle import settle
 from plumbline.functions.tails import normal_two_sided, t_multiplier
 
@@ -78,7 +78,7 @@ def cohens_dz(diff: str = "diff") -> Column:
     return F.when((F.count(diff) >= 2) & (sd > 0), F.avg(diff) / sd)
 
 
-def wilcoxon(units: DataFrame, by: Sequence[str], value: str, bucketed: bool = True) -> DataFrame:
+def wilcoxon(units: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Two-sided signed-rank test per group: ``n_used, w_plus, p_wilcoxon``.
 
     Zeros and non-finite values are dropped and tied magnitudes share their mean rank.
@@ -88,14 +88,16 @@ def wilcoxon(units: DataFrame, by: Sequence[str], value: str, bucketed: bool = T
     """
     by = list(by)
     if not by:
-        return wilcoxon(units.withColumn("_all", F.lit(1)), ["_all"], value, bucketed).drop("_all")
-    finite = units.where(is_finite(value)).select(*by, F.round(F.col(value).cast("double"), TIE_DIGITS).alias("_d"))
+        return wilcoxon(units.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
+    finite = units.where(is_finite(value)).select(*by, F.col(value).cast("double").alias("_raw"))
+    largest = finite.groupBy(*by).agg(F.max(F.abs("_raw")).alias("_most"))
+    # Ties are found at TIE_DIGITS digits of the largest magnitude, whatever the unit of the value.
+    finite = match(finite, largest, by).select(*by, F.round(F.try_divide("_raw", "_most"), TIE_DIGITS).alias("_d"))
     signed = finite.where(F.col("_d") != 0).select(
         *by, F.abs("_d").alias("_size"), (F.col("_d") > 0).cast("long").alias("_up")
     )
     sizes = settle(signed.groupBy(*by, "_size").agg(F.count(F.lit(1)).alias("_n"), F.sum("_up").alias("_pos")))
-    bucket = magnitude_bucket(F.col("_size")) if bucketed else None
-    ranked = bucketed_running_sum(sizes, by, "_size", bucket, "_n", "_upto").withColumn(
+    ranked = bucketed_running_sum(sizes, by, "_size", magnitude_bucket(F.col("_size")), "_n", "_upto").withColumn(
         "_rank2", 2 * F.col("_upto") - F.col("_n") + 1
     )
     totals = sizes.groupBy(*by).agg(F.sum("_n").alias("n_used"), F.max("_n").alias("_ties"))

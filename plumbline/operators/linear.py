@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -26,7 +27,10 @@ LOGISTIC, SVM = "logistic", "svm"
 
 #: Problems solved in one pass; more are solved in several passes.
 BATCH = 64
-MAX_STEPS, GRADIENT_TOLERANCE = 40, 1e-8
+#: Partial sums of a problem meet in this many tasks first.
+BRANCHES = 16
+#: Newton steps before a problem is reported as not converged, and the gradient that counts as zero.
+MAX_STEPS, GRADIENT_TOLERANCE = 100, 1e-8
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,7 @@ class Solution:
 
     coefficients: np.ndarray
     gradient: np.ndarray
+    converged: np.ndarray
     steps: int
 
 
@@ -93,19 +98,24 @@ def _pass(table: DataFrame, loss: str, points: np.ndarray, mean: np.ndarray, sd:
                 acc[a, 0] += value.sum()
                 acc[a, 1 : 1 + d] += z.T @ (slope * y[rows, p])
                 acc[a, 1 + d :] += (z.T @ (z * bend[:, None])).ravel()
-        yield pd.DataFrame({"problem": active, "sums": list(acc)})
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame({"problem": active, "branch": part % BRANCHES, "sums": list(acc)})
 
-    partial = table.mapInPandas(sums, "problem int, sums array<double>")
-    total = partial.groupBy("problem").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    def added(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+
+    partial = table.mapInPandas(sums, "problem int, branch int, sums array<double>")
+    total = added(added(partial, "problem", "branch"), "problem")  # no task adds up all partitions of a problem
     found = {r["problem"]: np.asarray(r["sums"]) for r in total.collect()}
     return {p: (s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)) for p, s in found.items()}
 
 
-def solve(table: DataFrame, n_problems: int, loss: str, c: float = 1.0) -> Solution:
+def solve(table: DataFrame, n_problems: int, loss: str, c: float = 1.0, max_steps: int = MAX_STEPS) -> Solution:
     """Minimise ``0.5 |w|^2 + C * sum(weight * loss)`` on features standardised per problem.
 
     Logistic: log loss, free intercept.  SVM: squared hinge, the intercept is penalised
-    like a weight.  Newton steps with halving, until the gradient vanishes.
+    like a weight.  Newton steps with halving, until the gradient vanishes; a problem
+    whose gradient does not vanish within ``max_steps`` is marked, never passed as solved.
     """
     mean, sd = _scales(table, n_problems)
     d = mean.shape[1] + 1
@@ -116,8 +126,9 @@ def solve(table: DataFrame, n_problems: int, loss: str, c: float = 1.0) -> Solut
     step = np.zeros((n_problems, d))
     value = np.full(n_problems, np.inf)
     gradient = np.full(n_problems, np.inf)
+    converged = np.zeros(n_problems, bool)
     active, steps = list(range(n_problems)), 0
-    while active and steps < MAX_STEPS:
+    while active and steps < max_steps:
         steps += 1
         at = _pass(table, loss, here + step, mean, sd, active)
         for p in list(active):
@@ -126,7 +137,8 @@ def solve(table: DataFrame, n_problems: int, loss: str, c: float = 1.0) -> Solut
             f = c * data_loss + 0.5 * (ridge * point) @ point
             if f > value[p] + 1e-12 * abs(value[p]):
                 step[p] *= 0.5
-                if np.abs(step[p]).max() < 1e-14:
+                if np.abs(step[p]).max() < 1e-14:  # rounding decides here: solved if the slope is small for the size of the loss
+                    converged[p] = gradient[p] <= 1e-5 * max(1.0, abs(value[p]))
                     active.remove(p)
                 continue
             g = c * data_gradient + ridge * point
@@ -135,11 +147,12 @@ def solve(table: DataFrame, n_problems: int, loss: str, c: float = 1.0) -> Solut
             step[p] = -np.linalg.lstsq(h, g, rcond=None)[0]
             if gradient[p] <= GRADIENT_TOLERANCE * max(1.0, abs(f)):
                 step[p] = 0.0
+                converged[p] = True
                 active.remove(p)
     raw = here.copy()
     raw[:, :-1] /= sd
     raw[:, -1] -= (raw[:, :-1] * mean).sum(axis=1)
-    return Solution(raw, gradient, steps)
+    return Solution(raw, gradient, converged, steps)
 
 
 # -- designs ------------------------------------------------------------------------------
@@ -192,7 +205,7 @@ def fit_predict(
     balanced: bool = True,
     on: str = "test",
 ) -> DataFrame:
-    """``unit, row_index, y_true, y_pred`` of a linear model per unit (fold, or fold and permutation).
+    """``unit, row_index, y_true, y_pred, converged`` of a linear model per unit (fold, or fold and permutation).
 
     ``assignments`` has ``unit, row_index, split, label``; models see rows with split
     ``train`` and predict rows with split ``on``.
@@ -225,18 +238,23 @@ def _predict(test: DataFrame, features: DataFrame, design: Design, solution: Sol
     place = {u: i for i, u in enumerate(design.units)}
     k = 1 if design.one_per_unit else len(names)
     weights = solution.coefficients.reshape(len(place), k, -1)
+    solved = solution.converged.reshape(len(place), k).all(axis=1)
+    codes = test.sparkSession.createDataFrame(
+        [(*u, i, bool(solved[i])) for u, i in place.items()],
+        ", ".join(f"{c} {t}" for c, t in test.select(*unit).dtypes) + ", _unit int, converged boolean",
+    )
 
     @F.pandas_udf("string")
-    def predict(units: pd.DataFrame, x: pd.Series) -> pd.Series:
+    def predict(index: pd.Series, x: pd.Series) -> pd.Series:
         z = np.column_stack([np.stack(x.to_numpy()).astype(float), np.ones(len(x))])
-        index = np.asarray([place[tuple(u)] for u in units.itertuples(index=False)])
-        scores = np.einsum("nkd,nd->nk", weights[index], z)
+        scores = np.einsum("nkd,nd->nk", weights[index.to_numpy()], z)
         chosen = (scores[:, 0] > 0).astype(int) if k == 1 else scores.argmax(axis=1)
         return pd.Series(names[chosen])
 
-    joined = test.join(features.select("row_index", F.col("features").cast("array<double>").alias("_x")), "row_index")
+    vectors = features.select("row_index", F.col("features").cast("array<double>").alias("_x"))
+    joined = test.join(F.broadcast(codes), unit).join(vectors, "row_index")  # one code per unit of the batch
     return joined.select(
-        *unit, "row_index", F.col(label).alias("y_true"), predict(F.struct(*unit), F.col("_x")).alias("y_pred")
+        *unit, "row_index", F.col(label).alias("y_true"), predict("_unit", "_x").alias("y_pred"), "converged"
     )
 
 
@@ -290,8 +308,9 @@ def _fit_predict_multinomial(assignments, features, classes, unit, label, test_l
         side = F.when(F.col("split") == "train", "train").otherwise("test")
         name = F.when(F.col("split") == "train", F.col(label)).otherwise(F.col(test_label or label))
         rows = here.select("row_index", name.alias("label"), side.alias("side"))
-        fitted = fit_multinomial(rows.join(features, "row_index"), classes, balanced=balanced).predictions
-        return fitted.select(*[F.lit(v).alias(c) for c, v in zip(unit, u, strict=True)], "row_index", "y_true", "y_pred")
+        fitted = fit_multinomial(rows.join(features, "row_index"), classes, balanced=balanced)
+        named = [F.lit(v).alias(c) for c, v in zip(unit, u, strict=True)]
+        return fitted.predictions.select(*named, "row_index", "y_true", "y_pred", F.lit(fitted.converged).alias("converged"))
 
     parts = at_once(assignments.sparkSession, one, units)
     out = parts[0]

@@ -1,108 +1,98 @@
-"""Closed-set probe splits: whole groups, held out inside each class or by subject."""
+"""Closed-set probe splits: what is held out follows from the label that is asked for."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import crc_order
-from plumbline.functions.ranking import SMALL_ROWS, mark_first
+from plumbline.functions.ranking import linear_bucket, mark_first, match
 from plumbline.functions.settle import settle
 
+# Names of the status and of the two kinds of split in results.
 NOT_ESTIMABLE = "NOT_ESTIMABLE"
 WITHIN_CLASS, BY_SUBJECT = "within_class_groups", "subject_holdout"
 
+TRIALS, SUBJECTS = "trial_key", "subject_key"
 
-@dataclass(frozen=True)
-class ProbeQuery:
-    """Which label is asked for, and what is held out to ask it."""
+#: The unit that is held out to ask for a label.  A stimulus is asked of unseen subjects, for a
+#: known subject's other trials would give it away; anything else is asked of unseen trials of known classes.
+HELD_OUT = {"stimulus_key": SUBJECTS}
 
-    label: str
-    group: str = "trial_key"
-    test_fraction: float = 0.3
-    seed: int = 20260926
-    min_groups: int = 2
-    split: str = WITHIN_CLASS
+#: Share of the units that tests, and units that a class needs to be asked for.
+TEST_SHARE, LEAST_UNITS = 0.3, 2
 
 
-def default_query(label: str, seed: int = 20260926) -> ProbeQuery:
-    """Stimulus questions hold out subjects (otherwise a subject's other trials sit in
-    training); every other question holds out trials inside each class."""
-    if label == "stimulus_key":
-        return ProbeQuery(label, group="subject_key", seed=seed, split=BY_SUBJECT)
-    return ProbeQuery(label, seed=seed)
+def unit_of(label: str) -> str:
+    return HELD_OUT.get(label, TRIALS)
 
 
-def _test_size(n: Column, fraction: float) -> Column:
-    return F.greatest(F.lit(1), F.least(F.bround(n * fraction), n - 1))
+def kind_of(label: str) -> str:
+    return BY_SUBJECT if unit_of(label) == SUBJECTS else WITHIN_CLASS
 
 
-def _crc_bucket(entities: DataFrame) -> Column | None:
-    """4,096 buckets along the CRC; none where the entity table is small."""
-    return None if entities.count() <= SMALL_ROWS else F.floor(F.col("_crc") / 2**20)
+def _tested(units: DataFrame, classes: list[str], unit: str, least: int, seed: int) -> DataFrame:
+    """``units`` with ``_test``: the first share of each class along a seeded CRC order; none in a class below ``least``."""
+    n = F.col("_total")
+    size = F.greatest(F.lit(1), F.least(F.bround(n * TEST_SHARE), n - 1))
+    quota = F.when(n >= least, size).otherwise(F.lit(0))
+    ordered = units.withColumn("_crc", crc_order(seed, unit))
+    return mark_first(ordered, classes, ["_crc", unit], quota, linear_bucket(F.col("_crc"), 2**32), "_test").drop("_crc")
 
 
-def spanning_groups(meta: DataFrame, query: ProbeQuery) -> DataFrame:
-    """Groups that carry several classes; such a query is ill-defined."""
-    return (
-        meta.groupBy(query.group)
-        .agg(F.min(query.label).alias("lowest"), F.max(query.label).alias("highest"))
-        .where(F.col("lowest") != F.col("highest"))
-    )
+def spanning_groups(meta: DataFrame, label: str, unit: str = TRIALS) -> DataFrame:
+    """Units that carry several classes; such a question is ill-defined."""
+    ends = meta.groupBy(unit).agg(F.min(label).alias("lowest"), F.max(label).alias("highest"))
+    return ends.where(F.col("lowest") != F.col("highest"))
 
 
-def within_class_split(meta: DataFrame, query: ProbeQuery) -> DataFrame:
-    """``group, label, side``; ``side`` is null where the class has too few groups."""
-    pairs = settle(meta.select(query.group, query.label).distinct()).withColumn("_crc", crc_order(query.seed, query.group))
-    enough = F.col("_total") >= query.min_groups
-    quota = F.when(enough, _test_size(F.col("_total"), query.test_fraction)).otherwise(F.lit(0))
-    marked = mark_first(pairs, [query.label], ["_crc", query.group], quota, _crc_bucket(pairs), "_test")
-    classes = pairs.groupBy(query.label).agg((F.count(F.lit(1)) >= query.min_groups).alias("_enough"))
-    side = F.when(~F.col("_enough"), None).when(F.col("_test"), "test").otherwise("train")
-    return marked.join(classes, query.label).select(query.group, query.label, side.alias("side"))
+def _sided(tested: DataFrame, usable: DataFrame, unit: str, label: str) -> DataFrame:
+    side = F.when(F.col("_usable"), F.when(F.col("_test"), "test").otherwise("train"))
+    return match(tested, usable, [label]).select(unit, label, side.alias("side"))
 
 
-def by_subject_split(meta: DataFrame, query: ProbeQuery) -> DataFrame:
-    """``subject, label, side``; ``side`` is null for classes missing on one side."""
-    pairs = settle(meta.select("subject_key", query.label).distinct())
-    subjects = pairs.select("subject_key").distinct().withColumn("_crc", crc_order(query.seed, "subject_key"))
-    quota = F.when(F.col("_total") > 1, _test_size(F.col("_total"), query.test_fraction)).otherwise(F.lit(0))
-    marked = mark_first(subjects, [], ["_crc", "subject_key"], quota, _crc_bucket(subjects), "_test")
-    pairs = pairs.join(marked.drop("_crc"), "subject_key")
-    shared = pairs.groupBy(query.label).agg((F.min("_test") != F.max("_test")).alias("_shared"))
-    side = F.when(~F.col("_shared"), None).when(F.col("_test"), "test").otherwise("train")
-    return pairs.join(shared, query.label).select("subject_key", query.label, side.alias("side"))
+def within_class_split(meta: DataFrame, label: str, seed: int, unit: str = TRIALS) -> DataFrame:
+    """``unit, label, side``; ``side`` is null where the class has too few units."""
+    pairs = settle(meta.select(unit, label).distinct())
+    enough = pairs.groupBy(label).agg((F.count(F.lit(1)) >= LEAST_UNITS).alias("_usable"))
+    return _sided(_tested(pairs, [label], unit, LEAST_UNITS, seed), enough, unit, label)
 
 
-def probe_sides(meta: DataFrame, query: ProbeQuery) -> DataFrame:
-    """Which side every (group or subject, label) pair is on; null for unusable classes."""
-    return settle(by_subject_split(meta, query) if query.split == BY_SUBJECT else within_class_split(meta, query))
+def by_subject_split(meta: DataFrame, label: str, seed: int) -> DataFrame:
+    """``subject, label, side``; ``side`` is null for classes missing on one side."""
+    pairs = settle(meta.select(SUBJECTS, label).distinct())
+    tested = match(pairs, _tested(pairs.select(SUBJECTS).distinct(), [], SUBJECTS, 2, seed), [SUBJECTS])
+    on_both = tested.groupBy(label).agg((F.min("_test") != F.max("_test")).alias("_usable"))
+    return _sided(tested, on_both, SUBJECTS, label)
 
 
-def _unit(query: ProbeQuery) -> str:
-    return "subject_key" if query.split == BY_SUBJECT else query.group
+def probe_sides(meta: DataFrame, label: str, seed: int) -> DataFrame:
+    """Which side every (held-out unit, label) pair is on; null for unusable classes."""
+    return settle(by_subject_split(meta, label, seed) if unit_of(label) == SUBJECTS else within_class_split(meta, label, seed))
 
 
-def probe_rows(meta: DataFrame, sides: DataFrame, query: ProbeQuery) -> DataFrame:
+def probe_rows(meta: DataFrame, sides: DataFrame, label: str) -> DataFrame:
     """Rows of ``meta`` with ``side`` (train or test); rows of unusable classes are left out."""
-    return meta.join(sides.where(F.col("side").isNotNull()), [_unit(query), query.label])
+    return meta.join(sides.where(F.col("side").isNotNull()), [unit_of(label), label])
+
+
+def _distinct_where(condition: Column, value: Column) -> Column:
+    return F.count_distinct(F.when(condition, value))
 
 
-def split_report(sides: DataFrame, query: ProbeQuery) -> DataFrame:
-    """One row: eligible and skipped classes, groups per side, status."""
-    usable, unit = F.col("side").isNotNull(), F.col(_unit(query))
+def split_report(sides: DataFrame, label: str) -> DataFrame:
+    """One row: eligible and skipped classes, units per side, status."""
+    usable, unit, asked = F.col("side").isNotNull(), F.col(unit_of(label)), F.col(label)
     counted = sides.agg(
-        F.count_distinct(F.when(usable, F.col(query.label))).alias("n_eligible_classes"),
-        (F.count_distinct(query.label) - F.count_distinct(F.when(usable, F.col(query.label)))).alias("n_skipped_classes"),
-        F.count_distinct(F.when(F.col("side") == "train", unit)).alias("n_train_groups"),
-        F.count_distinct(F.when(F.col("side") == "test", unit)).alias("n_test_groups"),
+        _distinct_where(usable, asked).alias("n_eligible_classes"),
+        (F.count_distinct(asked) - _distinct_where(usable, asked)).alias("n_skipped_classes"),
+        _distinct_where(F.col("side") == "train", unit).alias("n_train_groups"),
+        _distinct_where(F.col("side") == "test", unit).alias("n_test_groups"),
     )
     ok = (F.col("n_eligible_classes") >= 2) & (F.col("n_test_groups") >= 1)
     return counted.select(
-        F.lit(query.label).alias("probe_query"),
-        F.lit(query.split).alias("probe_split"),
+        F.lit(label).alias("probe_query"),
+        F.lit(kind_of(label)).alias("probe_split"),
         "*",
         F.when(ok, "OK").otherwise(NOT_ESTIMABLE).alias("status"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.settle import at_once, settle
 from plumbline.operators import linear, metrics, sampling
-from plumbline.operators.probe_splits import NOT_ESTIMABLE, ProbeQuery, default_query, probe_rows, probe_sides, spanning_groups, split_report
+from plumbline.operators.probe_splits import NOT_ESTIMABLE, TRIALS, probe_rows, probe_sides, spanning_groups, split_report, unit_of
 
 PROBE_ROW = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("probe_query", "probe_split", "group_col", "status")]
@@ -33,18 +33,19 @@ class ProbeError(ValueError):
     """The probe question is ill-defined for the data."""
 
 
-def probe(features: DataFrame, meta: DataFrame, query: ProbeQuery) -> dict:
+def probe(features: DataFrame, meta: DataFrame, label: str, seed: int) -> dict:
     """One probe of one feature space: a row of counts and scores, or NOT_ESTIMABLE.
 
     ``meta`` has ``row_index, subject_key, trial_key`` and the asked label; ``features``
     has ``row_index, features``.
     """
     meta = settle(meta)
-    if query.split != "subject_holdout" and spanning_groups(meta, query).limit(1).count():
-        raise ProbeError(f"{query.group} groups span several {query.label} classes")
-    split = probe_sides(meta, query)
-    row = split_report(split, query).first().asDict()
-    row["group_col"] = query.group
+    unit = unit_of(label)
+    if unit == TRIALS and spanning_groups(meta, label).limit(1).count():
+        raise ProbeError(f"a trial carries several values of {label}")
+    split = probe_sides(meta, label, seed)
+    row = split_report(split, label).first().asDict()
+    row["group_col"] = unit
     sizes = meta.groupBy("subject_key", "trial_key").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(
         F.sum("n").alias("n_chunks"),
@@ -54,7 +55,7 @@ def probe(features: DataFrame, meta: DataFrame, query: ProbeQuery) -> dict:
     row.update(total.asDict())
     if row["status"] != "OK":
         return row
-    rows = settle(probe_rows(meta, split, query).select("row_index", F.col(query.label).cast("string").alias("label"), "side"))
+    rows = settle(probe_rows(meta, split, label).select("row_index", F.col(label).cast("string").alias("label"), "side"))
     sides = rows.groupBy("label").agg(
         F.bool_or(F.col("side") == "train").alias("fit"), F.bool_or(F.col("side") == "test").alias("test")
     ).collect()
@@ -68,7 +69,8 @@ def probe(features: DataFrame, meta: DataFrame, query: ProbeQuery) -> dict:
     names = [r["label"] for r in sides]
     if len(names) == 2:
         assigned = rows.select(F.lit(1).alias("fold"), "row_index", F.col("side").alias("split"), "label")
-        predicted, converged = linear.fit_predict(assigned, features, names, linear.LOGISTIC, label="label", balanced=False), True
+        predicted = linear.fit_predict(assigned, features, names, linear.LOGISTIC, label="label", balanced=False)
+        converged = predicted.agg(F.bool_and("converged")).first()[0]
     else:
         fitted = linear.fit_multinomial(fit, names)
         predicted, converged = fitted.predictions, fitted.converged
@@ -86,7 +88,7 @@ def probe_suite(features: DataFrame, meta: DataFrame, labels: Sequence[str], max
         sampled = settle(sampling.probe_sample(meta, label, max_rows, seed, min_class_count))
         if sampled.select(label).distinct().limit(2).count() < 2:
             return None
-        return probe(features, sampled, default_query(label, seed))
+        return probe(features, sampled, label, seed)
 
     return _table(meta, [r for r in at_once(meta.sparkSession, one, list(labels)) if r is not None], [])
 
@@ -108,7 +110,7 @@ def probe_spaces(spaces: DataFrame, meta: DataFrame, labels: Sequence[str], seed
                 info = info.where(F.col(column) == value)
         if label == "session_key" and info.select(label).distinct().limit(2).count() < 2:
             return None
-        return {**dict(zip(by, unit, strict=True)), **probe(mine, info, default_query(label, seed))}
+        return {**dict(zip(by, unit, strict=True)), **probe(mine, info, label, seed)}
 
     rows = at_once(meta.sparkSession, one, [(unit, label) for unit in units for label in labels])
     return _table(meta, [r for r in rows if r is not None], by)

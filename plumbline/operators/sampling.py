@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import CIRCLE, circle_position, seeded_md5
-from plumbline.functions.ranking import SMALL_ROWS, hash_bucket, mark_first
+from plumbline.functions.ranking import hash_bucket, linear_bucket, mark_first
 from plumbline.functions.settle import settle
 from plumbline.operators.folds import VAL_FRACTION, largest_remainder
 
@@ -122,19 +122,17 @@ def resplit_subjects(assignments: DataFrame, seed: int, n_val: int = 2, subject:
     sides = settle(
         assignments.groupBy("fold", subject).agg(F.max((F.col("split") == "test").cast("int")).alias("_test"))
     )
-    bucket = None if sides.count() <= SMALL_ROWS else hash_bucket("_h", 2)
     pool = sides.where(F.col("_test") == 0).withColumn("_h", seeded_md5(F.lit(seed) + F.col("fold"), subject))
     quota = F.least(F.lit(max(1, n_val)), F.col("_total") - 1)
-    marked = mark_first(pool, ["fold"], ["_h", subject], quota, bucket, "_val")
+    marked = mark_first(pool, ["fold"], ["_h", subject], quota, hash_bucket("_h"), "_val")
     return marked.select("fold", subject, F.when(F.col("_val"), "val").otherwise("train").alias("split"))
 
 
 def subject_holdout(rows: DataFrame, seed: int, fraction: float, subject: str = "subject_key") -> DataFrame:
     """Hold out a fraction of the subjects, at least one and never all: ``subject, split``."""
     subjects = settle(rows.select(subject).distinct()).withColumn("_h", seeded_md5(seed, subject))
-    bucket = None if subjects.count() <= SMALL_ROWS else hash_bucket("_h")
     quota = F.greatest(F.lit(1), F.least(F.bround(F.col("_total") * fraction), F.col("_total") - 1))
-    marked = mark_first(subjects, [], ["_h", subject], quota, bucket, "_val")
+    marked = mark_first(subjects, [], ["_h", subject], quota, hash_bucket("_h"), "_val")
     return marked.select(subject, F.when(F.col("_val"), "val").otherwise("train").alias("split"))
 
 
@@ -174,7 +172,7 @@ def match_conditions(
         return keys.join(matching_quotas(sizes, label), ["fold", "split", label])
 
     groups = [condition, "fold", "split", label]
-    bucket = F.floor(F.col("_h") / (CIRCLE // 256))
+    bucket = linear_bucket(F.col("_h"), CIRCLE)
     kept = mark_first(fit, groups, ["_h", key], F.col("quota"), bucket, "_kept", quotas)
     kept = kept.where("_kept").drop("_kept", "_h")
     return kept.unionByName(assignments.where(F.col("split") == "test")).drop("sample_hash")

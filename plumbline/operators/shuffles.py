@@ -7,58 +7,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_md5
-from plumbline.functions.ranking import HASH_DIGITS, bucketed_rank, hash_bucket
-from plumbline.functions.settle import settle
-
-#: Groups above this many rows are cut into pieces before they are sorted.
-HOT_ROWS = 1_000_000
-
-
-def hot_groups(df: DataFrame, groups: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Groups above ``hot_rows`` rows, or None if there are none (the usual case).
-
-    At most one group per ``hot_rows`` rows can be hot, so the table is small.
-    """
-    hot = settle(
-        df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*groups)
-    )
-    return None if hot.isEmpty() else hot
-
-
-def with_pieces(df: DataFrame, groups: list[str], value: str, hot: DataFrame, pieces: int = 256) -> DataFrame:
-    """Add ``_piece``, an order-preserving piece number along ``value``; 0 outside the hot groups."""
-    steps = [i / pieces for i in range(1, pieces)]
-    in_hot = df.join(hot, groups, "left_semi")
-    cuts = settle(in_hot.groupBy(*groups).agg(F.percentile_approx(value, steps, 10000).alias("_cuts")))
-    piece = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
-    return df.join(cuts, groups, "left").withColumn("_piece", piece).drop("_cuts")
+from plumbline.functions.ranking import bucketed_rank, hash_bucket, match, value_bucket
 
 
 def shuffle_segments(
-    df: DataFrame, groups: list[str], segment: str, seed: int, key: str = "row_index", hot_rows: int = HOT_ROWS
+    df: DataFrame, groups: list[str], segment: str, seed: int, key: str = "row_index", piece_rows: int | None = None
 ) -> DataFrame:
     """Permute ``segment`` among the rows of each group; all other columns stay.
 
     The row at place p of a seeded order receives the segment at place p of the original
-    order.
+    order.  Rows with null groups are permuted among themselves.
     """
-    hot = hot_groups(df, groups, hot_rows)
+    cut, along = value_bucket(df, groups, segment, piece_rows)
+    ordered = bucketed_rank(cut, groups, [segment, key], along, "_place", piece_rows).select(*groups, "_place", segment)
     hashed = df.drop(segment).withColumn("_h", seeded_md5(seed, key))
-    if hot is None:
-        ordered = bucketed_rank(df, groups, [segment, key], None, "_place")
-        drawn = bucketed_rank(hashed, groups, ["_h", key], None, "_place")
-    else:
-        ordered = bucketed_rank(with_pieces(df, groups, segment, hot), groups, [segment, key], F.col("_piece"), "_place")
-        marked = hashed.join(hot.withColumn("_hot", F.lit(True)), groups, "left").withColumn(
-            "_part", F.when(F.col("_hot"), hash_bucket("_h")).otherwise("")
-        )
-        drawn = bucketed_rank(marked, groups, ["_h", key], F.col("_part"), "_place").drop("_hot", "_part")
-    ordered = ordered.select(*groups, "_place", segment)
-    return drawn.drop("_h").join(ordered, [*groups, "_place"]).drop("_place")
+    drawn = bucketed_rank(hashed, groups, ["_h", key], hash_bucket("_h"), "_place", piece_rows).drop("_h")
+    return match(drawn, ordered, [*groups, "_place"]).drop("_place")
 
 
 def permute_labels(
-    train: DataFrame, n_permutations: int, seed: int, label: str = "target_label", key: str = "row_index", digits: int = HASH_DIGITS
+    train: DataFrame, n_permutations: int, seed: int, label: str = "target_label", key: str = "row_index"
 ) -> DataFrame:
     """``n_permutations`` permutations of the training labels of each fold.
 
@@ -77,9 +45,9 @@ def permute_labels(
         "fold", key, label, F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("permutation")
     )
     hashed = spread.withColumn(
-        "_h", seeded_md5(F.lit(seed) + 100000 * (F.col("permutation") + 1) + F.col("fold"), key)
+        "_h", seeded_md5(F.concat_ws("/", F.lit(str(seed)), "fold", "permutation"), key)
     )
-    ranked = bucketed_rank(hashed, ["fold", "permutation"], ["_h", key], hash_bucket("_h", digits), "_place")
+    ranked = bucketed_rank(hashed, ["fold", "permutation"], ["_h", key], hash_bucket("_h"), "_place")
     block = F.element_at(F.filter("_blocks", lambda b: F.col("_place") <= b["_upto"]), 1)
     return ranked.join(blocks, "fold").select(
         "fold", "permutation", key, label, block["_name"].alias("permuted_label")

@@ -7,26 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ranking import bucketed_rank
-from plumbline.operators.shuffles import HOT_ROWS, hot_groups, with_pieces
+from plumbline.functions.ranking import bucketed_rank, value_bucket
 
 
 def sequence_number(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], coarse: str, out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], coarse: str, out: str, piece_rows: int | None = None
 ) -> DataFrame:
     """0-based position along ``order`` inside each group.
 
-    Groups above ``hot_rows`` are cut along the numeric column ``coarse`` (which must not
-    decrease along ``order``), so no task sorts a whole hot recording.
+    Large groups are cut along the numeric column ``coarse`` (which must not decrease
+    along ``order`` and should tell rows apart), so no task sorts a whole recording.
     """
-    groups = list(groups)
-    hot = hot_groups(df, groups, hot_rows)
-    if hot is None:
-        ranked = bucketed_rank(df, groups, list(order), None, "_place")
-    else:
-        pieces = with_pieces(df, groups, coarse, hot)
-        ranked = bucketed_rank(pieces, groups, list(order), F.col("_piece"), "_place").drop("_piece")
-    return ranked.withColumn(out, F.col("_place") - 1).drop("_place")
+    cut, along = value_bucket(df, list(groups), coarse, piece_rows)
+    ranked = bucketed_rank(cut, list(groups), list(order), along, "_place", piece_rows)
+    return ranked.withColumn(out, F.col("_place") - 1).drop("_place", "_cuts")
 
 
 def window_starts(position: Column, size: int, overlap: int = 0) -> Column:

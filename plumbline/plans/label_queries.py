@@ -208,11 +208,29 @@ def _categorical(spark, sf):
     """SELECT count(*) AS n_rows, count(*) FILTER (l_quantity IS NULL) AS n_missing,
        count(*) FILTER (l_quantity / 4 <> floor(l_quantity / 4)) AS n_non_integer,
        count(*) FILTER (l_quantity / 4 <> floor(l_quantity / 4) OR l_quantity / 4 > 3) AS n_unknown_code,
-       0 AS n_unverified_source FROM lineitem""",
+       CAST(0 AS BIGINT) AS n_unverified_source FROM lineitem""",
 )
 def _unknown(spark, sf):
     codes = table(spark, sf, "lineitem").select((F.col("l_quantity") / 4).alias("emotion"))
-    return labels.source_audit(codes, "seed_iv", "emotion").withColumn("n_unverified_source", F.lit(0))
+    return labels.source_audit(codes, "seed_iv", "emotion")
+
+
+@query(
+    "labels_of_missing_ratings",
+    """WITH planted AS (SELECT doc_id AS row_index, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN 'NaN'::DOUBLE ELSE CAST(doc_id % 7 AS DOUBLE) END AS valence FROM documents)
+SELECT row_index,
+       CASE WHEN valence IS NULL OR isnan(valence) THEN NULL WHEN valence > 3 THEN 'high_valence' ELSE 'low_valence' END AS primary_label,
+       CASE WHEN valence IS NULL OR isnan(valence) THEN NULL WHEN valence >= 3 THEN 'high_valence' ELSE 'low_valence' END AS tie_high_label,
+       CASE WHEN valence IS NULL OR isnan(valence) OR valence = 3 THEN NULL WHEN valence > 3 THEN 'high_valence' ELSE 'low_valence' END AS exclude_ties_label
+FROM planted""",
+)
+def _missing_ratings(spark, sf):
+    """Planted null and NaN ratings have no label in any variant."""
+    k = F.pmod("doc_id", F.lit(7))
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_index"), F.when(k == 0, None).when(k == 1, F.lit("NaN").cast("double")).otherwise(k.cast("double")).alias("valence")
+    )
+    return rows.select("row_index", *[labels.label_column(labels.policy("dreamer", "valence", v)).alias(f"{v}_label") for v in labels.VARIANTS])
 
 
 @query(
@@ -242,7 +260,7 @@ def _policies(spark, sf):
 
 @query(
     "source_guard",
-    """SELECT count(*) AS n_rows, count(*) FILTER (l.quality IS NULL) AS n_missing, 0 AS n_non_integer, 0 AS n_unknown_code,
+    """SELECT count(*) AS n_rows, count(*) FILTER (l.quality IS NULL) AS n_missing, CAST(0 AS BIGINT) AS n_non_integer, CAST(0 AS BIGINT) AS n_unknown_code,
        count(*) FILTER (d.source <> 'src0') AS n_unverified_source
 FROM documents d LEFT JOIN labels l USING (doc_id)""",
 )
@@ -255,8 +273,7 @@ def _guard(spark, sf):
             F.when(F.col("source") == "src0", labels.VERIFIED_SOURCE["deap"]).otherwise("other").alias("rating_source"),
         )
     )
-    out = labels.source_audit(rows, "deap", "valence")
-    return out.withColumn("n_non_integer", F.lit(0)).withColumn("n_unknown_code", F.lit(0))
+    return labels.source_audit(rows, "deap", "valence")
 
 
 @query(

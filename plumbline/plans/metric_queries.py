@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
-from plumbline.functions.tails import t_quantile
 from plumbline.operators import baselines, folds, inference, label_stats, metrics
 from plumbline.operators.keys import distinct_trials
 from plumbline.plans.bindings import CODED_SQL, ORDERS_SQL, RATING_SQL, SEED, coded, nation_rated, orders_manifest, rated, table
@@ -27,10 +29,41 @@ def rounded(df, digits: int = 6):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def t_table_sql(limit: int = 400) -> str:
-    """Student-t multipliers by number of units, for SQL engines without a t quantile."""
-    rows = ", ".join(f"({n}, {t_quantile(n - 1)!r}::DOUBLE)" for n in range(2, limit + 1))
-    return f"t(n, multiplier) AS (VALUES {rows})"
+def t_table_sql(limit: int = 400, most: int = 1_000_000) -> str:
+    """97.5 % points of Student's t by number of units, computed apart from the engine.
+
+    Up to ``limit`` units by bisection of the closed sums of the distribution function;
+    beyond, in SQL, by the expansion in powers of 1 / df around the normal point, whose error is
+    below 1e-11 there.
+    """
+
+    def below(t: float, df: int) -> float:
+        """P(|T| < t) as a finite sum over the angle whose tangent is t / sqrt(df)."""
+        angle = math.atan(t / math.sqrt(df))
+        term = total = 1.0 if df % 2 == 0 else (math.cos(angle) if df > 1 else 0.0)
+        for k in range(2 + df % 2, df - 1, 2):
+            term *= math.cos(angle) ** 2 * (k - 1) / k
+            total += term
+        return math.sin(angle) * total if df % 2 == 0 else 2 / math.pi * (angle + math.sin(angle) * total)
+
+    def point(df: int) -> float:
+        low, high = 0.0, 20.0
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if below(middle, df) < 0.95 else (low, middle)
+        return low
+
+    rows = ", ".join(f"({n}, {point(n - 1)!r}::DOUBLE)" for n in range(2, limit + 1))
+    z = NormalDist().inv_cdf(0.975)
+    terms = [
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    series = " + ".join(f"{a!r} / pow(n - 1, {k})" for k, a in enumerate(terms))
+    return f"t(n, multiplier) AS (SELECT * FROM (VALUES {rows}) UNION ALL SELECT n, {series} FROM range({limit + 1}, {most}) r(n))"
 
 
 def normal_tail_sql(z: str) -> str:
@@ -45,7 +78,9 @@ def normal_tail_sql(z: str) -> str:
 def wilcoxon_sql(source: str, by: str, value: str) -> str:
     """CTEs ending in ``tested(by, n_used, w_plus, p_wilcoxon)``."""
     return f"""signed AS (
-  SELECT {by}, abs(round({value}, 12)) AS size, {value} > 0 AS up FROM {source} WHERE isfinite({value}) AND round({value}, 12) <> 0),
+  SELECT {by}, abs(round(raw / most, 12)) AS size, raw > 0 AS up FROM (
+    SELECT {by}, CAST({value} AS DOUBLE) AS raw, max(abs(CAST({value} AS DOUBLE))) OVER (PARTITION BY {by}) AS most FROM {source} WHERE isfinite({value}))
+  WHERE most > 0 AND round(raw / most, 12) <> 0),
 midranks AS (
   SELECT *, 2 * rank() OVER (PARTITION BY {by} ORDER BY size) + count(*) OVER (PARTITION BY {by}, size) - 1 AS rank2,
          count(*) OVER (PARTITION BY {by}, size) AS ties FROM signed),
@@ -258,7 +293,8 @@ def _prior(spark, sf):
 
 
 LEVELS_SQL = f"""scored AS (
-  SELECT label || '_' || (vec_id % 7) AS trial_key, CAST(label AS BIGINT) AS y_true, embedding[1:10] AS score FROM embeddings),
+  SELECT label || '_' || (vec_id % 7) AS trial_key, CAST(label AS BIGINT) AS y_true,
+         list_transform(range(10), lambda c: list_sum(list_transform(range(c, len(embedding), 10), lambda i: embedding[i + 1]::DOUBLE))) AS score FROM embeddings),
 windows AS (
   SELECT y_true, CAST(list_position(score, list_max(score)) - 1 AS BIGINT) AS y_pred FROM scored),
 means AS (
@@ -270,7 +306,12 @@ def _scored_windows(spark, sf):
     return table(spark, sf, "embeddings").select(
         F.concat_ws("_", "label", F.pmod("vec_id", F.lit(7))).alias("trial_key"),
         F.col("label").cast("long").alias("label"),
-        F.slice("embedding", 1, 10).alias("score"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(9)),
+            lambda c: F.aggregate(
+                F.filter("embedding", lambda x, i: F.pmod(i, F.lit(10)) == c), F.lit(0.0), lambda total, x: total + x.cast("double")
+            ),
+        ).alias("score"),  # class c: the sum of components c, c + 10, ... of the whole vector
     )
 
 

@@ -428,12 +428,12 @@ def _group_order(spark, sf):
 
 @query("probe_within_class_split", f"WITH {RATING_SQL}, {within_class_sql('subject_key')} SELECT trial_key, label AS subject_key, side FROM sides")
 def _within_class(spark, sf):
-    return probe_splits.within_class_split(rated(spark, sf), probe_splits.default_query("subject_key", SEED))
+    return probe_splits.within_class_split(rated(spark, sf), "subject_key", SEED)
 
 
 @query("probe_subject_holdout_split", f"WITH {RATING_SQL}, {BY_SUBJECT_SQL} SELECT subject_key, label AS stimulus_key, side FROM sides")
 def _by_subject(spark, sf):
-    return probe_splits.by_subject_split(rated(spark, sf), probe_splits.default_query("stimulus_key", SEED))
+    return probe_splits.by_subject_split(rated(spark, sf), "stimulus_key", SEED)
 
 
 def _report_sql(query_name: str, split: str, unit: str) -> str:
@@ -458,8 +458,7 @@ def _reports(spark, sf):
     asked = [(rows, "subject_key"), (rows, "stimulus_key"), (codes, "session_key"), (constant, "everything")]
     reports = []
     for meta, label in asked:
-        question = probe_splits.default_query(label, SEED)
-        reports.append(probe_splits.split_report(probe_splits.probe_sides(meta, question), question))
+        reports.append(probe_splits.split_report(probe_splits.probe_sides(meta, label, SEED), label))
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)
@@ -627,7 +626,7 @@ def _segment_shuffle(spark, sf):
 train AS (SELECT fold, row_index, target_label FROM assigned JOIN manifest USING (row_index) WHERE split = 'train'),
 placed AS (
   SELECT fold, row_index, target_label, p AS permutation,
-         row_number() OVER (PARTITION BY fold, p ORDER BY md5(({SEED} + 100000 * (p + 1) + fold) || ':' || row_index), row_index) AS place
+         row_number() OVER (PARTITION BY fold, p ORDER BY md5('{SEED}/' || fold || '/' || p || ':' || row_index), row_index) AS place
   FROM train, range(0, 2) r(p)),
 blocks AS (
   SELECT fold, target_label AS permuted_label, sum(count(*)) OVER (PARTITION BY fold ORDER BY target_label) AS upto,

@@ -1,4 +1,4 @@
-"""Order-independent digests of label vectors and partitions, and file digests."""
+"""Digests of label vectors and partitions by one definition at every size, and file digests."""
 
 from __future__ import annotations
 
@@ -7,12 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to this many lines the single-text digest is allowed; it needs them all in one place.
-EXACT_LINES = 2_000_000
-
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of every file under ``path``."""
+    """``path, length, sha256`` of every file under ``path``; a file is one value, so files are below 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
@@ -40,6 +37,7 @@ def partition_line() -> Column:
 
 
 def label_digest(df: DataFrame, key: str = "row_index", label: str = "target_label", by: Sequence[str] = ()) -> DataFrame:
+    """Of the lines ``key TAB label``; :func:`duplicate_keys` says whether the vector has repeated keys."""
     return multiset_digest(df, label_line(key, label), by)
 
 
@@ -50,33 +48,3 @@ def partition_digest(assignments: DataFrame, by: Sequence[str] = ()) -> DataFram
 def duplicate_keys(df: DataFrame, key: str = "row_index") -> DataFrame:
     """Keys that occur more than once; a label vector must not have any."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
-
-
-def _checked(df: DataFrame) -> DataFrame:
-    n = df.limit(EXACT_LINES + 1).count()
-    if n > EXACT_LINES:
-        raise ValueError(f"more than {EXACT_LINES} lines: use the multiset digest")
-    return df
-
-
-def exact_label_sha256(df: DataFrame, key: str = "row_index", label: str = "target_label") -> str:
-    """SHA-256 of the lines ``key TAB label`` sorted by key as text, joined by newlines.
-
-    The text is one value, so this is for vectors of checked size only.
-    """
-    lines = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), label_line(key, label).alias("line"))))
-    text = F.array_join(F.transform(lines, lambda s: s["line"]), "\n")
-    if duplicate_keys(df, key).limit(1).count():
-        raise ValueError(f"{key} is not unique")
-    return _checked(df).agg(F.sha2(text, 256)).first()[0]
-
-
-def exact_partition_sha256(assignments: DataFrame) -> str:
-    """SHA-256 of the sorted ``fold,split,row_index`` CSV with its header (checked size only)."""
-    row = F.struct("fold", "split", "row_index")
-    lines = F.transform(
-        F.array_sort(F.collect_list(row)),
-        lambda s: F.concat_ws(",", s["fold"].cast("string"), s["split"], s["row_index"].cast("string")),
-    )
-    text = F.concat(F.lit("fold,split,row_index\n"), F.array_join(lines, "\n"), F.lit("\n"))
-    return _checked(assignments).agg(F.sha2(text, 256)).first()[0]

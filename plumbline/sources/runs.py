@@ -31,23 +31,28 @@ def is_smoke(caps: Sequence[str] = CAPS) -> Column:
     return F.coalesce(*[F.col(c) for c in caps]).isNotNull()
 
 
+def faults(policy: Policy) -> dict[str, Column]:
+    """Name and condition of everything that keeps a run document (see ``RUN_DOCUMENT``) from counting for ``policy``."""
+    run, print_ = F.col("metadata"), F.col("metadata.run_fingerprint")
+    wanted = F.array(*[F.lit(c) for c in policy.classes])
+    scored = F.coalesce(F.size("fold_metrics"), F.lit(0))
+    other = {
+        "data": ~(print_["dataset"].eqNullSafe(F.lit(policy.dataset)) & print_["target"].eqNullSafe(F.lit(policy.target))),
+        "policy": ~print_["label_policy_id"].eqNullSafe(F.lit(policy.policy_id)),
+    }
+    return {
+        "unknown classes": F.exists("fold_metrics", lambda f: F.size(F.array_except(F.coalesce(f["classes"], F.array()), wanted)) > 0),
+        "missing folds": (scored < 1) | ~run["n_folds_completed"].eqNullSafe(run["n_folds_expected"]),
+        "trial run": F.coalesce(run["is_smoke"], F.lit(True)),
+        "no fingerprint": print_.isNull(),
+        "other data": print_.isNotNull() & other["data"],
+        "other policy": print_.isNotNull() & other["policy"],
+    }
+
+
 def incomplete_reasons(policy: Policy) -> Column:
-    """Why a run document (see ``RUN_DOCUMENT``) is not complete for ``policy``; empty if it is."""
-    m, fp = F.col("metadata"), F.col("metadata.run_fingerprint")
-    allowed = F.array(*[F.lit(c) for c in policy.classes])
-    foreign = F.exists("fold_metrics", lambda f: F.size(F.array_except(F.coalesce(f["classes"], F.array()), allowed)) > 0)
-    no_folds = F.coalesce(F.size("fold_metrics"), F.lit(0)) <= 0
-    same = fp["dataset"].eqNullSafe(F.lit(policy.dataset)) & fp["target"].eqNullSafe(F.lit(policy.target))
-    return F.array_compact(
-        F.array(
-            F.when(fp.isNull(), "output without run_fingerprint"),
-            F.when(fp.isNotNull() & ~same, "fingerprint dataset/target differs from request"),
-            F.when(fp.isNotNull() & ~fp["label_policy_id"].eqNullSafe(F.lit(policy.policy_id)), "label policy differs"),
-            F.when(F.coalesce(m["is_smoke"], F.lit(True)), "smoke or unknown run type"),
-            F.when(no_folds | ~m["n_folds_completed"].eqNullSafe(m["n_folds_expected"]), "not all folds completed"),
-            F.when(foreign, "trained on foreign classes"),
-        )
-    )
+    """Names of the faults of a run document; empty if it is complete."""
+    return F.array_compact(F.array(*[F.when(found, name) for name, found in faults(policy).items()]))
 
 
 def completeness_report(docs: DataFrame, policy: Policy) -> DataFrame:

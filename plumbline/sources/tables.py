@@ -73,13 +73,8 @@ RUN_DOCUMENT = T.StructType(
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan that feeds fewer tasks than there are cores, dealt out to all of them.
-
-    For narrow tables about to fan out (rows to folds).  Scans of many files, as on a
-    cluster, are returned unchanged: no shuffle is added there.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    """A narrow table about to fan out (rows to folds), dealt out evenly to as many tasks as its size asks for."""
+    return scan.hint("rebalance")
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST_SCHEMA) -> DataFrame:

@@ -54,6 +54,17 @@ def test_invalid_sources_are_rejected(spark, manifest):
             labels.require_source(spark.sql(f"select {bad} as emotion"), "seed_iv", "emotion")
 
 
+def test_missing_ratings_have_no_label(spark):
+    rows = spark.sql("select * from values (1, cast(null as double)), (2, double('NaN')), (3, 3.0D), (4, 4.0D) t(row_index, valence)")
+    for variant in labels.VARIANTS:
+        got = {r["row_index"]: r["target_label"] for r in labels.with_labels(rows, "dreamer", "valence", variant, strict=False).collect()}
+        assert got[1] is None and got[2] is None and got[4] == "high_valence"
+        with pytest.raises(Exception, match="no label for"):
+            labels.with_labels(rows, "dreamer", "valence", variant).collect()
+    with pytest.raises(labels.ContractError):
+        labels.require_source(rows.where("row_index = 2"), "dreamer", "valence")
+
+
 def test_wrong_target_is_rejected(manifest):
     rows = keys.standardize(manifest, "deap", "valence")
     labels.require_contract(rows, "deap", "valence")

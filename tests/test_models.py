@@ -101,10 +101,10 @@ def test_encoders_are_probed_apart(spark, rng):
 
 def test_noise_is_near_chance_and_one_class_is_not_estimable(spark, rng):
     rows = planted(spark, rng, 0.0)
-    row = probes.probe(rows, rows.drop("features"), probes.default_query("subject_key", 5))
+    row = probes.probe(rows, rows.drop("features"), "subject_key", 5)
     assert abs(row["balanced_accuracy"] - 1 / 6) < 0.12
     one = rows.withColumn("subject_key", F.lit("s00"))
-    assert probes.probe(one, one.drop("features"), probes.default_query("subject_key", 5))["status"] == "NOT_ESTIMABLE"
+    assert probes.probe(one, one.drop("features"), "subject_key", 5)["status"] == "NOT_ESTIMABLE"
 
 
 def labelled_folds(spark, rng, strength):

@@ -73,23 +73,20 @@ def test_registry_faults(spark):
     assert rules(spark, runs_=same) == {"roles have identical conditions"}
     assert rules(spark, runs_=[run_row("A"), run_row("B", target="arousal")]) == {"roles differ in dataset or target"}
     assert "duplicate run" in rules(spark, runs_=[run_row("A"), run_row("A"), run_row("B")])
-    with pytest.raises(registry.RegistryError):
+    with pytest.raises(registry.InconsistentRegistry):
         registry.validated(*tables_for(spark, runs_=same))
-    with pytest.raises(registry.RegistryError):
+    with pytest.raises(registry.InconsistentRegistry):
         r, w, e = tables_for(spark)
         registry.violations(r.drop("epochs"), w, e)
 
 
-def test_exact_digests(spark):
+def test_digest_follows_its_definition(spark):
     df = spark.createDataFrame([(i, f"l{i % 2}") for i in range(101)], "row_index long, target_label string")
-    lines = sorted((str(i), f"{i}\tl{i % 2}") for i in range(101))
-    want = hashlib.sha256("\n".join(line for _, line in lines).encode()).hexdigest()
-    assert digests.exact_label_sha256(df) == want == digests.exact_label_sha256(df.repartition(7))
-    parts = spark.createDataFrame([(f, s, i) for f in (2, 1) for s, i in (("train", 10), ("train", 9), ("test", 1))], "fold long, split string, row_index long")
-    text = "fold,split,row_index\n" + "".join(f"{f},{s},{i}\n" for f in (1, 2) for s, i in (("test", 1), ("train", 9), ("train", 10)))
-    assert digests.exact_partition_sha256(parts) == hashlib.sha256(text.encode()).hexdigest()
-    with pytest.raises(ValueError):
-        digests.exact_label_sha256(df.unionByName(df.limit(1)))
+    hashes = [hashlib.sha256(f"{i}\tl{i % 2}".encode()).hexdigest() for i in range(101)]
+    words = [sum(int(h[4 * k : 4 * k + 4], 16) for h in hashes) for k in range(16)]
+    want = hashlib.sha256(":".join(map(str, [101, *words])).encode()).hexdigest()
+    assert digests.label_digest(df).first()["digest"] == want == digests.label_digest(df.repartition(7)).first()["digest"]
+    assert digests.duplicate_keys(df.unionByName(df.limit(1))).count() == 1 and digests.duplicate_keys(df).count() == 0
 
 
 def test_multiset_digest_ignores_order_only(spark):
@@ -135,10 +132,10 @@ def test_run_documents(spark, tmp_path):
     assert tables.runs_from_documents(read).count() == 5 == tables.fold_rows_from_documents(read).count()
     report = {r["name"]: r["reasons"] for r in runs.completeness_report(read, policy).select(name, "reasons").collect()}
     assert report["good"] == ""
-    assert report["partial"] == report["empty"] == "not all folds completed"
-    assert report["other"] == "fingerprint dataset/target differs from request"
-    assert report["nameless"] == "output without run_fingerprint"
-    assert report["foreign"] == "trained on foreign classes"
+    assert report["partial"] == report["empty"] == "missing folds"
+    assert report["other"] == "other data"
+    assert report["nameless"] == "no fingerprint"
+    assert report["foreign"] == "unknown classes"
 
 
 def test_sinks(spark, tmp_path):

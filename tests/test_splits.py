@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import ranking
 from plumbline.operators import audits, folds, keys, probe_splits, sampling, shuffles
 
 
@@ -59,11 +60,11 @@ def test_few_trials_give_one_fold(spark):
 def test_large_paths_agree_with_small_ones(many, monkeypatch):
     small = folds.trial_grouped_rules(many, 4, 3).collect()
     circle = folds.subject_circle(many, 3)
-    composed = folds.fold_composition(many, circle, ["target_label"], bucket_width=2).collect()
-    monkeypatch.setattr(folds, "SMALL_ROWS", 0)
+    composed = folds.fold_composition(many, circle, ["target_label"]).collect()
+    monkeypatch.setattr(ranking, "PIECE_ROWS", 3)
     assert sorted(map(tuple, small)) == sorted(map(tuple, folds.trial_grouped_rules(many, 4, 3).collect()))
     assert sorted(map(tuple, circle.collect())) == sorted(map(tuple, folds.subject_circle(many, 3).collect()))
-    again = folds.fold_composition(many, circle, ["target_label"], bucket_width=2).collect()
+    again = folds.fold_composition(many, circle, ["target_label"]).collect()
     assert sorted(map(tuple, composed)) == sorted(map(tuple, again))
 
 
@@ -156,21 +157,18 @@ def test_resplit_keeps_a_training_subject(many):
 
 
 def test_probe_splits(many):
-    query = probe_splits.default_query("subject_key")
-    sides = probe_splits.probe_sides(many, query)
-    rows = probe_splits.probe_rows(many, sides, query)
+    sides = probe_splits.probe_sides(many, "subject_key", 3)
+    rows = probe_splits.probe_rows(many, sides, "subject_key")
     assert rows.groupBy("trial_key").agg(F.count_distinct("side").alias("n")).where("n > 1").count() == 0
     per = counts(sides, "subject_key", "side")
     assert all(per[f"s{i:02d}", "test"] == 2 for i in range(9))
-    by_subject = probe_splits.default_query("stimulus_key")
-    sides = probe_splits.probe_sides(many, by_subject)
+    sides = probe_splits.probe_sides(many, "stimulus_key", 3)
     assert {r["subject_key"] for r in sides.where("side = 'test'").collect()}.isdisjoint(
         {r["subject_key"] for r in sides.where("side = 'train'").collect()}
     )
     lonely = many.withColumn("everything", F.lit("x"))
-    question = probe_splits.default_query("everything")
-    assert probe_splits.split_report(probe_splits.probe_sides(lonely, question), question).first()["status"] == "NOT_ESTIMABLE"
-    assert probe_splits.spanning_groups(many, probe_splits.ProbeQuery("row_index")).count() > 0
+    assert probe_splits.split_report(probe_splits.probe_sides(lonely, "everything", 3), "everything").first()["status"] == "NOT_ESTIMABLE"
+    assert probe_splits.spanning_groups(many, "row_index").count() > 0
 
 
 def test_permutation_keeps_histograms(rows):
