@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one vectorised step handles; a longer single text makes a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -35,6 +35,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()  # workers live on, and Arrow would keep what it has freed
 
 
 def named(batch: pa.RecordBatch, name: str) -> pa.Array:

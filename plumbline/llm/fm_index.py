@@ -29,6 +29,8 @@ from plumbline.llm.arrow import blocks, named, utf8
 
 #: Benchmark text that one pass searches: what is sent to every task is bounded by this.
 ITEM_BLOCK_BYTES = 16 << 20
+#: Text bytes of a shard, which has an index of its own.
+SHARD_BYTES = 4 << 20
 SAMPLE_EVERY = 8
 
 _CODES = np.arange(256, dtype=np.uint8)
@@ -296,7 +298,7 @@ def _searched(patterns: Patterns, kept: list[str], again: bool):
     """Adds what the block finds to each document; ``again``: the columns of an earlier block are there."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", SHARD_BYTES):
             data, offsets = utf8(named(batch, "text"))
             first, last, doc_of, hit, pairs = marked(data, offsets, patterns)
             edges = np.searchsorted(doc_of, np.arange(batch.num_rows + 1))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.settle import settle
-from plumbline.llm.arrow import named, words_of
+from plumbline.llm.arrow import blocks, named, words_of
 
 TILE_ROWS = 20_000
 CHUNK_ROWS = 1 << 17
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """(doc_id, text_key, fp): the fingerprint as a signed 64-bit number."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "text"):
             texts = named(batch, "text")
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in texts]
             fps = np.array(fps, np.uint64).view(np.int64)
