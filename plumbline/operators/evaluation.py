@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.settle import settle
-from plumbline.operators import audits, baselines, features, linear, metrics, sampling, shuffles
+from plumbline.operators import audits, baselines, features, labels, linear, metrics, sampling, shuffles
 from plumbline.sources.tables import covered_rows
 
 # Names of the models, with the feature column and the loss of each.
@@ -46,6 +46,15 @@ def audited(assignments: DataFrame, protocol: str) -> DataFrame:
     return assignments
 
 
+def checked(assignments: DataFrame, feature_table: DataFrame, protocol: str, allow_partial: bool, contract: tuple[str, str, str] | None) -> DataFrame:
+    """The assignments, written once: as declared (dataset, target, variant), without leaks, with features for every row."""
+    rows = settle(assignments)
+    if contract is not None:
+        labels.require_contract(rows, *contract)
+    audited(rows, protocol)
+    return covered_rows(rows, feature_table, allow_partial=allow_partial)
+
+
 def predictions_of(
     model: str, assignments: DataFrame, feature_table: DataFrame | None, classes: Sequence[str], seed: int, unit: Sequence[str] = ("fold",),
     label: str = "target_label", test_label: str = "target_label",
@@ -76,10 +85,10 @@ def run_baselines(
     max_train: int | None = None,
     max_test: int | None = None,
     allow_partial: bool = False,
+    contract: tuple[str, str, str] | None = None,
 ) -> DataFrame:
-    """All models on all folds: audit, coverage, caps, fit, score.  ``model, fold`` metrics."""
-    rows = settle(audited(assignments, protocol))
-    rows = covered_rows(rows, feature_table, allow_partial=allow_partial)
+    """All models on all folds: contract, audit, coverage, caps, fit, score.  ``model, fold`` metrics."""
+    rows = checked(assignments, feature_table, protocol, allow_partial, contract)
     rows = capped(rows, seed, max_train, max_test)
     counts = None
     for model in models:
@@ -90,12 +99,24 @@ def run_baselines(
 
 
 def run_permutation_null(
-    assignments: DataFrame, feature_table: DataFrame, models: Sequence[str], classes: Sequence[str], n_permutations: int, seed: int
+    assignments: DataFrame,
+    feature_table: DataFrame,
+    models: Sequence[str],
+    classes: Sequence[str],
+    n_permutations: int,
+    seed: int,
+    protocol: str,
+    max_train: int | None = None,
+    max_test: int | None = None,
+    allow_partial: bool = False,
+    contract: tuple[str, str, str] | None = None,
 ) -> DataFrame:
     """Train labels permuted inside each fold: ``model, fold, permutation`` metrics.
 
-    All folds and permutations of a model are solved together; features are not copied.
+    The same checks and caps as :func:`run_baselines` come first.  All folds and
+    permutations of a model are solved together; features are not copied.
     """
+    assignments = settle(capped(checked(assignments, feature_table, protocol, allow_partial, contract), seed, max_train, max_test))
     train = assignments.where(F.col("split") == "train")
     permuted = shuffles.permute_labels(train, n_permutations, seed).select(
         "fold", "permutation", "row_index", F.lit("train").alias("split"), "target_label", F.col("permuted_label").alias("_label")

@@ -90,7 +90,7 @@ def probe_suite(features: DataFrame, meta: DataFrame, labels: Sequence[str], max
             return None
         return probe(features, sampled, label, seed)
 
-    return _table(meta, [r for r in at_once(meta.sparkSession, one, list(labels)) if r is not None], [])
+    return probe_table(meta, [r for r in at_once(meta.sparkSession, one, list(labels)) if r is not None])
 
 
 def probe_spaces(spaces: DataFrame, meta: DataFrame, labels: Sequence[str], seed: int, by: Sequence[str]) -> DataFrame:
@@ -113,9 +113,10 @@ def probe_spaces(spaces: DataFrame, meta: DataFrame, labels: Sequence[str], seed
         return {**dict(zip(by, unit, strict=True)), **probe(mine, info, label, seed)}
 
     rows = at_once(meta.sparkSession, one, [(unit, label) for unit in units for label in labels])
-    return _table(meta, [r for r in rows if r is not None], by)
+    return probe_table(meta, [r for r in rows if r is not None], by)
 
 
-def _table(like: DataFrame, rows: list[dict], by: Sequence[str]) -> DataFrame:
+def probe_table(like: DataFrame, rows: list[dict], by: Sequence[str] = ()) -> DataFrame:
+    """Probe results (one row per question) as a table."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in by] + PROBE_ROW.fields)
     return like.sparkSession.createDataFrame([[r.get(f.name) for f in schema.fields] for r in rows], schema)

@@ -34,6 +34,7 @@ def load() -> None:
         metric_queries,
         registry_queries,
         signal_queries,
+        solver_queries,
         source_queries,
         split_queries,
     )

@@ -169,7 +169,7 @@ def coverage(rows: DataFrame, features: DataFrame, key: str = "row_index") -> Da
 def covered_rows(rows: DataFrame, features: DataFrame, key: str = "row_index", allow_partial: bool = False) -> DataFrame:
     """``rows`` if all have features; with ``allow_partial`` (smoke tests only) those that have."""
     if not allow_partial:
-        missing = rows.select(key).join(features.select(key), key, "left_anti").limit(3).collect()
+        missing = rows.select(key).distinct().join(features.select(key), key, "left_anti").limit(3).collect()
         if missing:
             raise ValueError(f"features do not cover all rows, e.g. {[r[0] for r in missing]}")
         return rows

@@ -4,7 +4,10 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.functions.tails import t_quantile
+from plumbline.functions import ranking
 from plumbline.operators import inference, label_stats, metrics
 
 
@@ -64,15 +67,18 @@ def brute_force_p(values):
     return min(1.0, 2 * min((sums <= w).mean(), (sums >= w).mean()))
 
 
-def test_wilcoxon_exact(spark, rng):
+def test_wilcoxon_exact(spark, rng, monkeypatch):
     groups = {"untied": rng.normal(0.4, 1, 11), "tied": np.round(rng.normal(0.4, 1, 12), 0), "few": np.array([1.0, 2, 3, 4, 0])}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, d double")
     out = {r["k"]: r["p_wilcoxon"] for r in inference.wilcoxon(df, ["k"], "d").collect()}
     assert out["untied"] == pytest.approx(brute_force_p(groups["untied"]))
     assert out["tied"] == pytest.approx(brute_force_p(groups["tied"]))
     assert out["few"] is None
-    plain = {r["k"]: r["p_wilcoxon"] for r in inference.wilcoxon(df, ["k"], "d", bucketed=False).collect()}
-    assert plain == out
+    tiny = {r["k"]: (r["n_used"], r["p_wilcoxon"]) for r in inference.wilcoxon(df.withColumn("d", F.col("d") * 1e-13), ["k"], "d").collect()}
+    assert tiny["untied"] == (11, pytest.approx(out["untied"])) and tiny["tied"][1] == pytest.approx(out["tied"])
+    monkeypatch.setattr(ranking, "PIECE_ROWS", 3)
+    cut = {r["k"]: r["p_wilcoxon"] for r in inference.wilcoxon(df, ["k"], "d").collect()}
+    assert cut == out
 
 
 def test_wilcoxon_published_form(spark):

@@ -136,7 +136,7 @@ def test_runner_beats_chance_on_signal_only(spark, rng):
 
 def test_permuted_labels_are_near_chance(spark, rng):
     assigned, table = labelled_folds(spark, rng, 1.5)
-    out = evaluation.run_permutation_null(assigned, table, ["spectral_logistic"], ("high_valence", "low_valence"), 4, 3)
+    out = evaluation.run_permutation_null(assigned, table, ["spectral_logistic"], ("high_valence", "low_valence"), 4, 3, "segment_random")
     ba = [r["balanced_accuracy"] for r in out.collect()]
     assert len(ba) == 12 and abs(np.mean(ba) - 0.5) < 0.12
 
