@@ -21,6 +21,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def lower_sql(text: str) -> str:
+    """A-Z in lower case, other letters as they are."""
+    return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,7 +120,36 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op8_benchmark_decontamination")
+def words_sql(table_name: str, number: str) -> str:
+    return (
+        f"SELECT {number}, regexp_extract_all({lower_sql("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table_name}"
+    )
+
+
+@query(
+    "op8_benchmark_decontamination",
+    f"""
+    WITH doc_words AS ({words_sql("documents", "doc_id")}),
+    item_words AS ({words_sql("benchmark", "item_id")}),
+    item_windows AS (
+        SELECT DISTINCT item_id, n, w[i : i + n - 1] AS win
+        FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)
+    ),
+    doc_windows AS (
+        SELECT doc_id, n, i, w[i : i + n - 1] AS win
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)
+    ),
+    found AS (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, win)),
+    hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fm_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -131,7 +165,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_line_dedup")
+@query(
+    "op9_line_dedup",
+    f"""
+    WITH lines AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+    ),
+    keyed AS (SELECT *, {lower_sql("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+    held AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM (SELECT doc_id, line, pos, coalesce(doc_id <> first_doc, false) AS gone FROM keyed LEFT JOIN held USING (key))
+    GROUP BY doc_id
+    """,
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.deduplicated(docs)
