@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,24 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES
             yield batch.slice(start, stop - start)
             start = stop
         del batch
-        pa.default_memory_pool().release_unused()  # workers live on, and Arrow would keep what it has freed
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and allocators keep what they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+        del batch
+        give_back()
 
 
 def named(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.settle import checkpointed
+from plumbline.llm.arrow import pieces
 
 SPACES = " \t\n\u000b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -176,7 +177,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     marked = with_bitmaps(docs, id_column, text_column, least)
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             row, maps = batch.columns
             texts = row.field(text_column).to_pylist()
             done = [kept_text(t or "", m) for t, m in zip(texts, maps.to_pylist(), strict=True)]
