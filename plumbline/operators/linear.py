@@ -8,7 +8,7 @@ combined by a grouped vector sum.  Rows are never repeated per fold and never co
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.settle import at_once, settle
-from plumbline.operators.features import position_stats, standardize_on_train
+from plumbline.operators.features import standardize_on_train
 
 LOGISTIC, SVM = "logistic", "svm"
 
@@ -61,14 +61,38 @@ def training_table(features: DataFrame, members: DataFrame, n_problems: int, key
     )
 
 
+def _summed(table: DataFrame, numbers: Sequence[int], width: int, of_rows: Callable) -> dict[int, np.ndarray]:
+    """``of_rows(problem, x, y, w)`` added up over all rows of each problem: one Spark job, no row is copied.
+
+    Every partition adds up its rows, ``BRANCHES`` tasks add up partitions, then one row per problem is left.
+    """
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((len(numbers), width))
+        for pdf in batches:
+            if len(pdf):
+                x, y, w = (np.stack(pdf[c].to_numpy()) for c in ("features", "y", "w"))
+                for a, p in enumerate(numbers):
+                    rows = w[:, p] > 0
+                    acc[a] += of_rows(p, x[rows], y[rows, p], w[rows, p])
+        yield pd.DataFrame({"problem": numbers, "branch": TaskContext.get().partitionId() % BRANCHES, "sums": list(acc)})
+
+    def added(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+
+    partial = table.mapInPandas(sums, "problem int, branch int, sums array<double>")
+    return {r["problem"]: np.asarray(r["sums"]) for r in added(added(partial, "problem", "branch"), "problem").collect()}
+
+
 def _scales(table: DataFrame, n_problems: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population sd of the training rows of each problem (constant columns: 1)."""
-    spread = table.select(F.posexplode("w").alias("problem", "_w"), "features").where("_w > 0")
-    stats = {r["problem"]: r for r in position_stats(spread, "features", ["problem"]).collect()}
-    d = len(next(iter(stats.values()))["mean"])
-    mean, sd = np.zeros((n_problems, d)), np.ones((n_problems, d))
-    for p, r in stats.items():
-        mean[p], sd[p] = r["mean"], r["sd"]
+    """Mean and population sd of the training rows of each problem (constant columns: 1): two passes."""
+    d = table.select(F.size("features")).first()[0]
+    every = list(range(n_problems))
+    first = _summed(table, every, d + 1, lambda p, x, y, w: np.append(x.sum(axis=0), len(x)))
+    count = np.array([max(1.0, first[p][-1]) for p in every])
+    mean = np.array([first[p][:-1] for p in every]) / count[:, None]
+    second = _summed(table, every, d, lambda p, x, y, w: ((x - mean[p]) ** 2).sum(axis=0))
+    sd = np.sqrt(np.array([second[p] for p in every]) / count[:, None])
     return mean, np.where(sd > 0, sd, 1.0)
 
 
@@ -85,28 +109,12 @@ def _pass(table: DataFrame, loss: str, points: np.ndarray, mean: np.ndarray, sd:
     """Summed loss, gradient and curvature of the active problems at ``points``: one Spark job."""
     d = points.shape[1]
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((len(active), 1 + d + d * d))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, y, w = (np.stack(pdf[c].to_numpy()) for c in ("features", "y", "w"))
-            for a, p in enumerate(active):
-                rows = w[:, p] > 0
-                z = np.column_stack([(x[rows] - mean[p]) / sd[p], np.ones(rows.sum())])
-                value, slope, bend = _pointwise(loss, y[rows, p] * (z @ points[p]), w[rows, p])
-                acc[a, 0] += value.sum()
-                acc[a, 1 : 1 + d] += z.T @ (slope * y[rows, p])
-                acc[a, 1 + d :] += (z.T @ (z * bend[:, None])).ravel()
-        part = TaskContext.get().partitionId()
-        yield pd.DataFrame({"problem": active, "branch": part % BRANCHES, "sums": list(acc)})
+    def of_rows(p: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        z = np.column_stack([(x - mean[p]) / sd[p], np.ones(len(x))])
+        value, slope, bend = _pointwise(loss, y * (z @ points[p]), w)
+        return np.concatenate([[value.sum()], z.T @ (slope * y), (z.T @ (z * bend[:, None])).ravel()])
 
-    def added(df: DataFrame, *by: str) -> DataFrame:
-        return df.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-
-    partial = table.mapInPandas(sums, "problem int, branch int, sums array<double>")
-    total = added(added(partial, "problem", "branch"), "problem")  # no task adds up all partitions of a problem
-    found = {r["problem"]: np.asarray(r["sums"]) for r in total.collect()}
+    found = _summed(table, list(active), 1 + d + d * d, of_rows)
     return {p: (s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)) for p, s in found.items()}
 
 
