@@ -62,24 +62,26 @@ def largest_remainder(counts: DataFrame, groups: Sequence[str], n: str, wanted:
 
 
 def segment_random(
-    rows: DataFrame, k: int, seed: int, label: str = "target_label", piece_rows: int | None = None
+    rows: DataFrame, k: int, seed: int, label: str = "target_label", carry: Sequence[str] = (), piece_rows: int | None = None
 ) -> DataFrame:
-    """Stratified k-fold over rows with a stratified validation part: ``row_index, fold, split``.
+    """Stratified k-fold over rows with a stratified validation part: ``row_index, fold, split`` and the columns ``carry``.
 
     Falls back to unstratified folds if there is one class or a class smaller than ``k``.
     Inside a class rows are ranked once in a seeded order; test fold and validation arc
     are arithmetic on that rank.
     """
-    base = rows.select("row_index", F.col(label).alias("_label"))
+    kept = [c for c in carry if c != "row_index"]
+    base = rows.select("row_index", F.col(label).alias("_label"), *kept)
     sizes = settle(base.groupBy("_label").agg(F.count(F.lit(1)).alias("n")))
     stratify = sizes.agg(((F.count(F.lit(1)) > 1) & (F.min("n") >= k)).alias("ok")).scalar()
     hashed = base.withColumn("_ok", stratify).select(
         "row_index",
         F.when(F.col("_ok"), F.col("_label")).otherwise(F.lit("")).alias("stratum"),
         seeded_md5(seed, "row_index").alias("_h"),
+        *kept,
     )
     ranked = bucketed_rank(hashed, ["stratum"], ["_h", "row_index"], hash_bucket("_h"), "_rank", piece_rows).select(
-        "row_index", "stratum", (F.col("_rank") - 1).alias("r")
+        "row_index", "stratum", (F.col("_rank") - 1).alias("r"), *kept
     )
     per_fold = (
         sizes.withColumn("_ok", stratify)
@@ -100,7 +102,7 @@ def segment_random(
         .when(F.pmod(in_pool - start, F.col("pool")) < F.col("n_val"), "val")
         .otherwise("train")
     )
-    return match(ranked, quotas, ["stratum"]).select("row_index", "fold", split.alias("split"))
+    return match(ranked, quotas, ["stratum"]).select("row_index", "fold", split.alias("split"), *kept)
 
 
 # -- groups to k folds ------------------------------------------------------------------

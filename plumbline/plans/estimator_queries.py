@@ -98,7 +98,7 @@ def _featureless(spark, sf):
 def _svm(spark, sf):
     """Ten classes, one against the rest, five folds: fifty problems in one set of passes."""
     rows = feature_windows(spark, sf).withColumn("name", F.concat(F.lit("c"), F.col("label").cast("string")))
-    assigned = folds.segment_random(rows, 5, SEED, "name").join(rows.select("row_index", "name"), "row_index")
+    assigned = folds.segment_random(rows, 5, SEED, "name", ["name"])
     names = [f"c{i}" for i in range(10)]
     features = rows.select("row_index", F.col("spectral").alias("features"))
     predicted = linear.fit_predict(assigned, features, names, linear.SVM, label="name")
@@ -108,7 +108,7 @@ def _svm(spark, sf):
 @query("multiclass_logistic")
 def _logistic(spark, sf):
     rows = feature_windows(spark, sf).withColumn("name", F.concat(F.lit("c"), F.col("label").cast("string")))
-    split = folds.segment_random(rows, 5, SEED, "name").join(rows.select("row_index", "name"), "row_index")
+    split = folds.segment_random(rows, 5, SEED, "name", ["name"])
     names = [f"c{i}" for i in range(10)]
     features = rows.select("row_index", F.col("spectral").alias("features"))
     predicted = linear.fit_predict(split, features, names, linear.LOGISTIC, label="name")

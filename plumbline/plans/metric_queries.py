@@ -284,7 +284,7 @@ counts AS (SELECT CAST(fold AS BIGINT) AS fold, y_true, y_pred, count(*) AS n FR
 {METRICS_SQL.format(by='fold')} {scores_out('fold')}""",
 )
 def _prior(spark, sf):
-    rows = segment_rows(spark, sf).join(rated(spark, sf).select("row_index", "target_label"), "row_index")
+    rows = segment_rows(spark, sf, "target_label")
     rows = rows.withColumn("fold", F.col("fold").cast("long"))
     train = rows.where(F.col("split") == "train").groupBy("fold", "target_label").agg(F.count(F.lit(1)).alias("train"))
     test = rows.where(F.col("split") == "test").withColumnRenamed("target_label", "y_true")

@@ -238,7 +238,7 @@ FROM assigned JOIN manifest USING (row_index) WHERE split = 'test' GROUP BY fold
 )
 def _predictions(spark, sf):
     path = fresh_path(spark, "predictions")
-    rows = segment_rows(spark, sf).where("split = 'test'").join(rated(spark, sf), "row_index")
+    rows = segment_rows(spark, sf, *rated(spark, sf).columns).where("split = 'test'")
     sinks.write_predictions(
         rows.withColumn("model", F.lit("majority"))
         .withColumn("y_true", F.col("target_label"))

@@ -93,8 +93,8 @@ assigned AS (
 # -- plans used by several queries ------------------------------------------------------
 
 
-def segment_rows(spark, sf):
-    return folds.segment_random(rated(spark, sf), K, SEED)
+def segment_rows(spark, sf, *carry: str):
+    return folds.segment_random(rated(spark, sf), K, SEED, carry=carry)
 
 
 def trial_rules(spark, sf):
@@ -129,8 +129,7 @@ FROM assigned JOIN manifest USING (row_index) GROUP BY ALL""",
 )
 def _segment_counts(spark, sf):
     return (
-        segment_rows(spark, sf)
-        .join(rated(spark, sf).select("row_index", "target_label"), "row_index")
+        segment_rows(spark, sf, "target_label")
         .groupBy(F.col("fold").cast("long").alias("fold"), "split", "target_label")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -496,9 +495,7 @@ SELECT CAST(fold AS BIGINT) AS fold, count(*) FILTER (kind = 'trial_key' AND t A
 FROM places GROUP BY fold""",
 )
 def _leakage(spark, sf):
-    rows = segment_rows(spark, sf).join(
-        rated(spark, sf).select("row_index", "trial_key", "subject_key", "stimulus_key"), "row_index"
-    )
+    rows = segment_rows(spark, sf, "trial_key", "subject_key", "stimulus_key")
     return audits.leak_counts(
         rows.withColumn("fold", F.col("fold").cast("long")), ["trial_key", "subject_key", "stimulus_key"]
     )
@@ -511,7 +508,7 @@ SELECT CAST(fold AS BIGINT) AS fold, trial_key FROM assigned JOIN manifest USING
 GROUP BY fold, trial_key HAVING bool_or(split = 'test') AND bool_or(split <> 'test')""",
 )
 def _trial_leaks(spark, sf):
-    rows = segment_rows(spark, sf).join(rated(spark, sf).select("row_index", "trial_key"), "row_index")
+    rows = segment_rows(spark, sf, "trial_key")
     return audits.leaks(rows, "trial_key").withColumn("fold", F.col("fold").cast("long"))
 
 
@@ -636,8 +633,7 @@ SELECT CAST(placed.fold AS BIGINT) AS fold, permutation, row_index, target_label
 FROM placed JOIN blocks ON placed.fold = blocks.fold AND place > before AND place <= upto""",
 )
 def _permuted(spark, sf):
-    rows = segment_rows(spark, sf).where(F.col("split") == "train")
-    rows = rows.join(rated(spark, sf).select("row_index", "target_label"), "row_index")
+    rows = segment_rows(spark, sf, "target_label").where(F.col("split") == "train")
     out = shuffles.permute_labels(rows, 2, SEED)
     return out.withColumn("fold", F.col("fold").cast("long")).withColumn(
         "permutation", F.col("permutation").cast("long")

@@ -20,7 +20,8 @@ QUICK = (
     "trial_grouped_folds loso_rules loso_fold_composition subject_stimulus_composition window_random_holdout "
     "probe_within_class_split trial_leaks recording_windows time_shuffle window_zscore band_power channel_pooling "
     "trial_mean_features fold_metrics wilcoxon_exact holm_adjustment boundary_statistics stimulus_agreement "
-    "label_vector_digest pending_folds"
+    "label_vector_digest pending_folds registry_validation labels_of_missing_ratings file_digests partition_digest "
+    "two_feature_fold_baselines two_feature_permutation_null two_feature_transfer two_feature_probe"
 ).split()
 NAMES = sorted(entry_points.oracle_sql()) if os.environ.get("PLUMBLINE_ALL_QUERIES") else QUICK
 
