@@ -88,7 +88,7 @@ def test_empty_band_is_an_error():
 
 def test_montage_and_pooling(spark, rng):
     assert len(features.CHANNELS["deap"]) == 32 and features.shared_positions("dreamer") == list(range(14))
-    assert [features.CHANNELS["deap"][p] for p in features.shared_positions("deap")] == features.SHARED
+    assert tuple(features.CHANNELS["deap"][p] for p in features.shared_positions("deap")) == features.SHARED
     v = rng.normal(size=2 * 32)
     df = spark.createDataFrame([(0, list(map(float, v)))], "row_index long, features array<double>")
     picked = df.select(features.select_feature_channels(F.col("features"), 2, 32, features.shared_positions("deap")).alias("f")).first()["f"]
