@@ -30,7 +30,7 @@ from plumbline.llm.arrow import blocks, named
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+)|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-SPACE = re.compile(r"[\s​]+")
+SPACE = re.compile(r"\s+")
 
 # Elements of HTML by how they are read.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
