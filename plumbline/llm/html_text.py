@@ -171,9 +171,6 @@ def article(nodes: list[Node]) -> list[Node]:
     for wanted in ("article", "main"):
         if whole := [n for n in path if n.tag == wanted]:
             return [whole[-1]]
-    if any(n.tag == "article" for n in kept):  # the densest part lies beside the article
-        inside = [n for n in kept if n.tag == "article"]
-        return [max(inside, key=lambda n: (n.total, n.chars))]
     if best.tag in INLINE or best.tag == "p":
         best = path[1] if len(path) > 1 else best
     threshold = min(n.density for n in path)
