@@ -4,7 +4,8 @@ Each element knows its characters, tags, link characters and link tags.  Its den
 characters per tag, adjusted by a logarithm whose base and argument weigh linked text; the
 density sum of an element adds the densities of its children.  Menus, headers, footers,
 asides, forms, scripts and what is named like an advert, notice or comment are left out
-first.  The element of the largest density sum is the article; the lowest density on
+first; a name counts if all words of one whole class, id or role are such, and never takes
+most of the unlinked text unless another article stays.  The element of the largest density sum is the article; the lowest density on
 its path to the body is the threshold at which blocks beside the path belong to it too.  If the element lies in an
 ``article`` or ``main`` element, that whole element is taken.
 
@@ -29,7 +30,7 @@ from pyspark.sql.types import StructType
 from plumbline.llm.arrow import blocks, named
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+)|<""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
 
 # Elements of HTML by how they are read.
@@ -48,7 +49,7 @@ CLOSES = {
 }
 HOLDS = frozenset("ul ol dl table tbody thead tfoot select div section article main body td th blockquote".split())
 
-#: Words of class, id and role names of parts that are not the article.
+#: Words of which the class, id and role names of parts are made that are not the article.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs combx comment comments commentlist complementary consent contentinfo "
     "cookie cookies dialog disclaimer disqus footer gdpr header hidden login masthead menu menus modal nav navbar navigation navigationbar newsletter notice notices "
@@ -63,6 +64,7 @@ class Node:
     tag: str
     parent: Node | None
     left_out: bool = False
+    named: bool = False
     children: list[Node | str] = field(default_factory=list)
     chars: int = 0
     tags: int = 0
@@ -72,18 +74,44 @@ class Node:
     total: float = 0.0
 
 
-def is_left_out(tag: str, attributes: str) -> bool:
+def is_left_out(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element goes for what it is, and whether it is named like a part that goes."""
     if tag in LEFT_OUT:
-        return True
+        return True, False
     if not attributes or tag in ("body", "html", "article", "main") and "omment" not in attributes:
-        return False
+        return False, False
+    gone = named_so = False
     for name, *values in ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id", "role") and any(w.lower() in NOT_ARTICLE for w in NAME_WORD.findall("".join(values))):
-            return True
-        if name == "aria-hidden" and "".join(values) == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in attributes.replace(" ", "")
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            words = (NAME_WORD.findall(token) for token in value.split())
+            named_so |= any(ws and all(w.lower() in NOT_ARTICLE for w in ws) for ws in words)
+        gone |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+    return gone, named_so
+
+
+def leave_out_named(nodes: list[Node]) -> None:
+    """Named elements go, but not with most of the unlinked text unless an article stays outside."""
+    if not any(n.named for n in nodes):
+        return
+    place = {id(n): k for k, n in enumerate(nodes)}
+    up = [place[id(n.parent)] if n.parent is not None else -1 for n in nodes]
+    gone, linked = [n.left_out for n in nodes], [n.tag == "a" for n in nodes]
+    for k, p in enumerate(up):
+        if p >= 0:
+            gone[k], linked[k] = gone[k] or gone[p], linked[k] or linked[p]
+    text = [0 if gone[k] or linked[k] else sum(len(c.strip()) for c in n.children if isinstance(c, str)) for k, n in enumerate(nodes)]
+    # An article counts by itself: one inside another does not stand beside it.
+    articles = [int(n.tag == "article" and not gone[k]) for k, n in enumerate(nodes)]
+    around = [0] * len(nodes)
+    for k, p in enumerate(up):
+        around[k] = around[p] + articles[p] if p >= 0 else 0
+    for k in range(len(nodes) - 1, 0, -1):
+        text[up[k]] += text[k]
+        articles[up[k]] += articles[k]
+    for k, n in enumerate(nodes):
+        if n.named and (2 * text[k] <= text[0] or around[k] or articles[k] < articles[0]):
+            n.left_out = True
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -127,7 +155,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     if tag != "tr":
                         break
                 node = node.parent
-        node = Node(tag, here, is_left_out(tag, attributes))
+        node = Node(tag, here, *is_left_out(tag, attributes))
         here.children.append(node)
         nodes.append(node)
         if tag not in VOID and not attributes.endswith("/"):
@@ -137,6 +165,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
 def score(nodes: list[Node]) -> None:
     """Counts, densities and density sums of what is not left out; children come after their parents in ``nodes``."""
+    leave_out_named(nodes)
     for node in nodes:
         node.left_out = node.left_out or node.parent is not None and node.parent.left_out
     kept = [n for n in nodes if not n.left_out]

@@ -1,5 +1,7 @@
 """Which parts of a page are its main text."""
 
+import pytest
+
 from plumbline.llm import html_text
 
 STORY = [f"Paragraph {k} of the story has a good number of plain words, and it goes on for a while." for k in range(8)]
@@ -10,3 +12,19 @@ def test_story_beside_article_cards():
     cards = "".join(f"<article><h3><a href=x>Card {k}</a></h3><p>Short teaser.</p></article>" for k in range(4))
     text = html_text.main_text(f"<body><div class=page><div class=story>{BODY}</div><div class=cards>{cards}</div></div></body>")
     assert text.split("\n")[: len(STORY)] == STORY
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "content-with-sidebar", "site-content share-enabled", "widget"])
+def test_wrappers_keep_the_article(name):
+    page = f"<body><div class='{name}'><article>{BODY}</article></div><div class='sidebar'><p>Other things</p></div></body>"
+    assert html_text.main_text(page).split("\n") == STORY
+
+
+@pytest.mark.parametrize("attributes", ["class='x ad'", "id=ad-banner", "role='navigation'", "hidden", "class=x hidden=''", "style='display: none'", "aria-hidden=true"])
+def test_parts_that_go(attributes):
+    assert html_text.main_text(f"<article>{BODY}<div {attributes}>Buy this</div></article>").split("\n") == STORY
+
+
+@pytest.mark.parametrize("attributes", ["title='the hidden city'", "data-x='a hidden b'", "title='display:none'", "class='add'"])
+def test_values_are_not_names(attributes):
+    assert html_text.main_text(f"<article>{BODY}<p {attributes}>More text</p></article>").split("\n") == [*STORY, "More text"]
