@@ -1,11 +1,18 @@
 """Exact ranks, quotas and running totals that never sort a whole group in one task.
 
 A plain ``row_number() over (partition by label order by h)`` sends each label to one
-task, which fails when one label holds a third of all rows.  Here a group of more than
-``PIECE_ROWS`` rows is cut along its order into as many pieces as its counted size asks
-for; piece sizes are summed (map-side combined) and turned into offsets, and only rows of
-one piece are sorted together.  The table of large groups has at most one row per
-``PIECE_ROWS`` rows and is settled, so joins see its real size.
+task, which fails when one label holds a third of all rows.  Groups of at most
+``PIECE_ROWS`` rows are ranked in exactly that way; only rows of larger groups are cut:
+
+* along a hash (:func:`bucketed_rank`) by arithmetic on the hash: a group gets as many pieces
+  as its counted size asks for, piece sizes become offsets, and only rows of one
+  piece are sorted together;
+* along any other order (:func:`ranged_rank`, :func:`sorted_rank`) by Spark's range partitioning: rows
+  are laid out in ranges once, their number inside the range is written with them, and
+  the counts of the ranges, one row each, are added in front.  No row is compared with a list of cuts.
+
+The table of large groups has at most one row per ``PIECE_ROWS`` rows and is settled, so
+joins see its real size; where it is empty, nothing is planned for large groups.
 
 Rows whose group columns are null form a group like any other.
 
@@ -27,6 +34,9 @@ from plumbline.functions.settle import settle
 #: Rows that one sort holds on average.
 PIECE_ROWS = 50_000
 
+#: Bits of ``monotonically_increasing_id`` below the partition number (Spark's documented layout).
+ROW_BITS = 33
+
 Bucket = Callable[[Column], Column]
 
 
@@ -49,20 +59,22 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     """Join on equal keys, where null equals null; the key columns come from ``left``."""
     renamed = right.select(*(F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns))
     condition = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
-    return left.join(renamed, condition, how).drop(*(f"_right_{k}" for k in keys))
+    joined = left.join(renamed, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_right_{k}" for k in keys))
 
 
-def large_groups(df: DataFrame, groups: Sequence[str], piece_rows: int | None) -> DataFrame:
-    """(groups, _pieces) of the groups above ``piece_rows`` rows."""
+def large_groups(df: DataFrame, groups: Sequence[str], piece_rows: int | None) -> DataFrame | None:
+    """(groups, _pieces) of the groups above ``piece_rows`` rows; None where there is none."""
     piece_rows = piece_rows or PIECE_ROWS
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
     pieces = F.ceil(F.col("_rows") / piece_rows).alias("_pieces")
-    return settle(sizes.where(F.col("_rows") > piece_rows).select(*groups, pieces))
+    large = settle(sizes.where(F.col("_rows") > piece_rows).select(*groups, pieces))
+    return None if large.isEmpty() else large
 
 
-def cut(df: DataFrame, groups: Sequence[str], bucket: Bucket, piece_rows: int | None) -> DataFrame:
+def cut(df: DataFrame, groups: Sequence[str], bucket: Bucket, large: DataFrame) -> DataFrame:
     """``df`` with ``_bucket``: the piece of each row, 0 in groups that are not large."""
-    sized = match(df, large_groups(df, groups, piece_rows), groups, "left")
+    sized = match(df, large, groups, "left")
     piece = F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(bucket(F.col("_pieces")))
     return sized.withColumn("_bucket", piece.cast("long"))
 
@@ -82,7 +94,10 @@ def _along_pieces(
 ) -> DataFrame:
     """A window value inside each piece plus the ``total`` of the earlier pieces of the group."""
     df, groups = _grouped(df, groups)
-    tagged = cut(df, groups, bucket, piece_rows)
+    large = large_groups(df, groups, piece_rows)
+    if large is None:
+        return df.withColumn(out, inside(W.partitionBy(*groups))).drop("_whole")
+    tagged = cut(df, groups, bucket, large)
     keys = [*groups, "_bucket"]
     sums = tagged.where(F.col("_pieces").isNotNull()).groupBy(*keys).agg(total.alias("_sum"))
     offsets = settle(_offsets(sums, groups, "_sum").drop("_sum"))
@@ -91,12 +106,15 @@ def _along_pieces(
     return match(placed, offsets, keys, "left").withColumn(out, value).drop("_bucket", "_pieces", "_before", "_inside", "_whole")
 
 
+def _row_number(order: Sequence[Column | str]) -> Callable:
+    return lambda window: F.row_number().over(window.orderBy(*order)).cast("long")
+
+
 def bucketed_rank(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], bucket: Bucket, out: str = "rank", piece_rows: int | None = None
 ) -> DataFrame:
     """``row_number() over (partition by groups order by order)`` as a column ``out``."""
-    number = lambda window: F.row_number().over(window.orderBy(*order)).cast("long")
-    return _along_pieces(df, groups, bucket, F.count(F.lit(1)), number, out, piece_rows)
+    return _along_pieces(df, groups, bucket, F.count(F.lit(1)), _row_number(order), out, piece_rows)
 
 
 def bucketed_running_sum(
@@ -107,26 +125,39 @@ def bucketed_running_sum(
     return _along_pieces(df, groups, bucket, F.sum(value), upto, out, piece_rows)
 
 
-def value_bucket(df: DataFrame, groups: Sequence[str], value: str, piece_rows: int | None = None) -> tuple[DataFrame, Bucket]:
-    """``df`` with ``_cuts``, and pieces along ``value``: approximate quantiles of every large group."""
-    large = large_groups(df, groups, piece_rows)
-    most = large.agg(F.max("_pieces")).first()[0] or 1
-    steps = [i / most for i in range(1, most)] or [0.5]
-    cuts = match(df, large, groups).groupBy(*groups).agg(F.percentile_approx(value, steps, 10_000).alias("_cuts"))
-    return match(df, settle(cuts), groups, "left"), lambda pieces: F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+def sorted_rank(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
+    """Global 1-based rank along ``order`` (unique tuples; nulls first), in two passes.
+
+    Rows go to ranges of the order and are sorted inside them; each is written with its
+    range and its number there.  The sizes of the ranges, of which there are as many as
+    shuffle partitions, are added up and broadcast.
+    """
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = settle(numbered).withColumn("_range", F.shiftright("_at", ROW_BITS)).withColumn("_inside", F.col("_at").bitwiseAND(2**ROW_BITS - 1))
+    sizes = laid.groupBy("_range").agg((F.max("_inside") + 1).alias("_n"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_inside") + 1).alias(out)
+    return laid.join(F.broadcast(offsets), "_range").select(*df.columns, place)
 
 
-def sorted_rank(df: DataFrame, order: Sequence[str], out: str = "rank", piece_rows: int | None = None) -> DataFrame:
-    """Global 1-based rank of distinct, non-null ``order`` tuples without one global sort.
+def ranged_rank(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str = "rank", piece_rows: int | None = None) -> DataFrame:
+    """``row_number() over (partition by groups order by order)`` along any order (unique inside a group; nulls first).
 
-    The cut points are the keys with the smallest digests, a uniform and repeatable
-    sample of one key per ``piece_rows`` rows.
+    Rows of large groups are ranked over all of them (:func:`sorted_rank` by group, then
+    order) and counted from the first rank of their group.
     """
-    key = F.struct(*order)
-    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order]))
-    sample = df.select(*order).orderBy(digest, *order).limit(df.count() // (piece_rows or PIECE_ROWS)).agg(F.array_sort(F.collect_list(key)).alias("cuts"))
-    ranged = df.withColumn("_cuts", sample.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
-    return bucketed_rank(ranged, [], order, lambda pieces: F.col("_range"), out, piece_rows).drop("_range")
+    if not groups:
+        return sorted_rank(df, order, out)
+    number = _row_number(order)(W.partitionBy(*groups))
+    large = large_groups(df, groups, piece_rows)
+    if large is None:
+        return df.withColumn(out, number)
+    small = match(df, large, groups, "left_anti").withColumn(out, number)
+    ranked = sorted_rank(match(df, large, groups, "left_semi"), [*groups, *order], "_place")
+    first = settle(ranked.groupBy(*groups).agg(F.min("_place").alias("_first")))
+    rank = (F.col("_place") - F.col("_first") + 1).alias(out)
+    return small.unionByName(match(ranked, first, groups).select(*df.columns, rank))
 
 
 def mark_first(
@@ -143,29 +174,32 @@ def mark_first(
 
     ``quota`` is an expression over the group columns, ``_total`` (group size) and the
     columns of ``quotas``: a table keyed by the groups, or a function that makes one from
-    the group sizes (groups, ``_total``).  The last row taken is looked up in the one piece of its group in
-    which the quota is reached; every other row is compared with it, so the rows
-    themselves are neither sorted nor shuffled.
+    the group sizes (groups, ``_total``).  Without large groups a row number decides.  With
+    them the last row taken is looked up in the one piece of its group in which the quota
+    is reached; every other row is compared with it, so the rows themselves are neither
+    sorted nor shuffled.
     """
     columns = df.columns
     df, groups = _grouped(df, groups)
-    tagged = cut(df, groups, bucket, piece_rows)
+    large = large_groups(df, groups, piece_rows)
+    tagged = df.withColumn("_bucket", F.lit(0).cast("long")) if large is None else cut(df, groups, bucket, large)
     counts = settle(tagged.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if callable(quotas):
         quotas = quotas(totals)
     if quotas is not None:
         totals = match(totals, quotas, groups, "left")
-    wanted = settle(totals.select(*groups, "_total", F.coalesce(quota.cast("long"), F.lit(0)).alias("_quota")))
+    wanted = totals.select(*groups, "_total", F.coalesce(quota.cast("long"), F.lit(0)).alias("_quota"))
+    place = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
+    if large is None:
+        return match(df, settle(wanted), groups, "left").withColumn(out, place <= F.col("_quota")).select(*columns, out)
     partly = wanted.where((F.col("_quota") > 0) & (F.col("_quota") < F.col("_total")))
     edges = (
         match(_offsets(counts, groups, "_n"), partly, groups)
         .where((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
         .select(*groups, "_bucket", (F.col("_quota") - F.col("_before")).alias("_need"))
     )
-    keys = [*groups, "_bucket"]
-    place = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
-    at_edge = match(tagged, settle(edges), keys).withColumn("_place", place)
+    at_edge = match(tagged, settle(edges), [*groups, "_bucket"]).withColumn("_place", place)
     last = at_edge.where(F.col("_place") == F.col("_need")).select(*groups, F.struct(*order).alias("_last"))
     limits = settle(match(wanted, last, groups, "left"))
     taken = F.when(F.col("_quota") >= F.col("_total"), True).otherwise(F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False)))

@@ -11,9 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where it names none, a folder of the session's warehouse, which is shared too."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a folder of the warehouse serves a local session, or a cluster whose
+    warehouse is not a machine's own folder; any other cluster gets an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    own_folder = warehouse.startswith("file:") or "://" not in warehouse
+    if own_folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{warehouse}/_settled"
 
 
 def at_once(spark: SparkSession, work: Callable, items: Sequence, threads: int = 4) -> list:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_md5
-from plumbline.functions.ranking import bucketed_rank, hash_bucket, match, value_bucket
+from plumbline.functions.ranking import bucketed_rank, hash_bucket, match, ranged_rank
 
 
 def shuffle_segments(
@@ -18,8 +18,7 @@ def shuffle_segments(
     The row at place p of a seeded order receives the segment at place p of the original
     order.  Rows with null groups are permuted among themselves.
     """
-    cut, along = value_bucket(df, groups, segment, piece_rows)
-    ordered = bucketed_rank(cut, groups, [segment, key], along, "_place", piece_rows).select(*groups, "_place", segment)
+    ordered = ranged_rank(df, groups, [segment, key], "_place", piece_rows).select(*groups, "_place", segment)
     hashed = df.drop(segment).withColumn("_h", seeded_md5(seed, key))
     drawn = bucketed_rank(hashed, groups, ["_h", key], hash_bucket("_h"), "_place", piece_rows).drop("_h")
     return match(drawn, ordered, [*groups, "_place"]).drop("_place")

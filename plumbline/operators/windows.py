@@ -7,20 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.ranking import bucketed_rank, value_bucket
+from plumbline.functions.ranking import ranged_rank
 
 
-def sequence_number(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], coarse: str, out: str, piece_rows: int | None = None
-) -> DataFrame:
-    """0-based position along ``order`` inside each group.
-
-    Large groups are cut along the numeric column ``coarse`` (which must not decrease
-    along ``order`` and should tell rows apart), so no task sorts a whole recording.
-    """
-    cut, along = value_bucket(df, list(groups), coarse, piece_rows)
-    ranked = bucketed_rank(cut, list(groups), list(order), along, "_place", piece_rows)
-    return ranked.withColumn(out, F.col("_place") - 1).drop("_place", "_cuts")
+def sequence_number(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str, piece_rows: int | None = None) -> DataFrame:
+    """0-based position along ``order`` inside each group; no task sorts a whole recording."""
+    ranked = ranged_rank(df, list(groups), list(order), "_place", piece_rows)
+    return ranked.withColumn(out, F.col("_place") - 1).drop("_place")
 
 
 def window_starts(position: Column, size: int, overlap: int = 0) -> Column:

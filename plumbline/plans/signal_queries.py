@@ -58,7 +58,7 @@ SELECT user_id, w AS "window", total, first_value, last_value FROM cut WHERE n =
 )
 def _recording(spark, sf):
     samples = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    numbered = windows.sequence_number(samples, ["user_id"], ["ts", "event_id"], "at", "i")
+    numbered = windows.sequence_number(samples, ["user_id"], ["ts", "event_id"], "i")
     cut = windows.cut_windows(numbered, "user_id", "i", "value", 16)
     total = F.aggregate("samples", F.lit(0.0), lambda acc, v: acc + v)
     return cut.select(
@@ -82,7 +82,7 @@ SELECT user_id, w AS "window", total FROM cut WHERE n = 8""",
 )
 def _overlapping(spark, sf):
     samples = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    numbered = windows.sequence_number(samples, ["user_id"], ["ts", "event_id"], "at", "i")
+    numbered = windows.sequence_number(samples, ["user_id"], ["ts", "event_id"], "i")
     cut = windows.cut_windows(numbered, "user_id", "i", "value", 8, overlap=2)
     total = F.aggregate("samples", F.lit(0.0), lambda acc, v: acc + v)
     return cut.select("user_id", "window", F.round(total, 4).alias("total"))

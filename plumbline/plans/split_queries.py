@@ -613,7 +613,7 @@ def _segment_shuffle(spark, sf):
     from plumbline.operators.windows import sequence_number
 
     rows = rated(spark, sf).select("row_index", "trial_key")
-    numbered = sequence_number(rows, ["trial_key"], ["row_index"], "row_index", "segment_id")
+    numbered = sequence_number(rows, ["trial_key"], ["row_index"], "segment_id")
     return shuffles.shuffle_segments(numbered, ["trial_key"], "segment_id", SEED)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_md5
-from plumbline.functions.ranking import bucketed_rank, bucketed_running_sum, hash_bucket, linear_bucket, mark_first, sorted_rank
+from plumbline.functions.ranking import bucketed_rank, bucketed_running_sum, hash_bucket, linear_bucket, mark_first, ranged_rank, sorted_rank
 from plumbline.operators.shuffles import shuffle_segments
 from plumbline.operators.windows import cut_windows, sequence_number
 
@@ -31,7 +31,20 @@ def test_bucketed_rank(skewed):
 def test_sorted_rank(skewed):
     keys = skewed.select(F.concat(F.lit("s"), F.col("row_index").cast("string")).alias("k"))
     plain = keys.withColumn("r", F.row_number().over(W.orderBy("k")).cast("long"))
-    same(sorted_rank(keys, ["k"], "r", 200).select("k", "r"), plain.select("k", "r"))
+    same(sorted_rank(keys, ["k"], "r").select("k", "r"), plain.select("k", "r"))
+
+
+@pytest.mark.parametrize("rows", [50, 2000, 50_000])
+def test_ranged_rank(skewed, rows):
+    """Along an order that is no hash, with null groups, null values and a hot group spread over several ranges."""
+    holes = skewed.withColumn("g", F.when(F.col("row_index") % 5 > 0, F.col("g"))).withColumn("v", F.when(F.col("row_index") % 3 > 0, F.col("row_index") % 11))
+    plain = holes.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("v", "row_index")).cast("long"))
+    same(ranged_rank(holes, ["g"], ["v", "row_index"], "r", rows).select("row_index", "r"), plain.select("row_index", "r"))
+
+
+def test_ranks_compare_no_row_with_a_list_of_cuts(skewed):
+    plan = ranged_rank(skewed, ["g"], ["row_index"], "r", 50)._jdf.queryExecution().toString()
+    assert "filter(" not in plan.lower().replace("filter (", "") and "percentile" not in plan
 
 
 def test_running_sum(skewed):
@@ -56,7 +69,7 @@ def test_mark_first_without_groups(skewed):
 @pytest.mark.parametrize("hot_rows", [100, 1_000_000])
 def test_hot_recordings_are_cut_alike(skewed, hot_rows):
     """Windows and permutations do not depend on whether a group counts as hot."""
-    numbered = sequence_number(skewed.drop("h"), ["g"], ["row_index"], "row_index", "i", hot_rows)
+    numbered = sequence_number(skewed.drop("h"), ["g"], ["row_index"], "i", hot_rows)
     plain = skewed.withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("row_index")).cast("long") - 1)
     same(numbered.select("row_index", "i"), plain.select("row_index", "i"))
     shuffled = shuffle_segments(numbered, ["g"], "i", 5, piece_rows=hot_rows)
