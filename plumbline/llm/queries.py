@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fm_index, html_text, language_id, line_dedup, packing, perplexity, secrets, shards, simhash
+from plumbline.functions.settle import settle
+from plumbline.llm import chat, fm_index, html_text, language_id, line_dedup, packing, periodic, perplexity, prefix_trie, secrets, shards, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -189,3 +190,118 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+WHITE = "[\\x20\\x09-\\x0D]+"
+
+
+def repeated_from(words, n, a, p):
+    """Words from number ``a`` on replaced by repetitions of the first ``p`` of them, ``n`` words in all."""
+    unit = F.slice(words, a + 1, p)
+    times = F.ceil((n - a) / p).cast("int")
+    return F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), n - a))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", WHITE), "")
+    n = F.size(words)
+    g = F.floor(h / 10)
+    a = F.pmod(g, F.nullif(n, F.lit(0))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    made = F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(repeated_from(words, n, a, p), " ")).otherwise(F.col("text"))
+    found = periodic.find_runs(docs.select("doc_id", made.alias("text")))
+    # The greatest length / period without division: cross products of whole numbers.
+    better = lambda x, y: (x["length"] * y["period"] > y["length"] * x["period"]) | (
+        (x["length"] * y["period"] == y["length"] * x["period"]) & (F.struct(x["start"], x["period"]) < F.struct(y["start"], y["period"]))
+    )
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda acc, r: F.when(acc.isNull() | better(r, acc), r).otherwise(acc))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    shown = found.select("row.doc_id", "runs", "collapsed", best.alias("best"), listed.alias("listed"))
+    return shown.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Conversations of a family, the bound on the turns of its first one that they share, and turns moved under one key.
+FAMILY, OPENING, TURNS = 20, 4, 4096
+
+
+def reopened(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (digested) and ids of conversations that start with up to three turns of the first of their family."""
+    turns = settle(prefix_trie.digested(prefix_trie.numbered_turns(conversations)))
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string")), F.lit(OPENING))
+    family = F.col("conv_id") - F.col("conv_id") % FAMILY
+    ids = settle(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select("conv_id", "n", h.alias("h"), family.alias("_base")))
+    opening = turns.where((F.col("pos") < OPENING) & (F.col("conv_id") % FAMILY == 0)).groupBy(F.col("conv_id").alias("_base")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "turn_key", "n_words"))).alias("_opening")
+    )
+    none = F.array().cast("array<struct<pos:bigint,turn_key:string,n_words:bigint>>")
+    opened = settle(ids.join(opening, "_base", "left").select("conv_id", "n", "h", F.slice(F.coalesce("_opening", none), F.lit(1), F.col("h").cast("int")).alias("_first")))
+    first = opened.select("conv_id", F.explode("_first").alias("_t")).select("conv_id", "_t.*")
+    # In blocks of turns, so that no conversation is one key.
+    block = F.floor(F.col("pos") / TURNS).cast("long")
+    shifts = opened.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / TURNS).cast("long"))).alias("_block"), "h", F.size("_first").alias("_n"))
+    own = turns.withColumn("_block", block).join(shifts, ["conv_id", "_block"]).where(F.col("pos") > F.col("h"))
+    own = own.select("conv_id", (F.col("pos") - F.col("h") + F.col("_n")).alias("pos"), "turn_key", "n_words")
+    return first.unionByName(own), ids.select("conv_id")
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH crc_table AS (
+        SELECT list(list_reduce([n] || range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t
+        FROM (SELECT unnest(range(256)) AS n)
+    ),
+    ids AS (
+        SELECT conv_id, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_table
+    ),
+    turns AS (
+        SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+    ),
+    opened AS (
+        SELECT i.conv_id, 0 AS own, t.pos, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 20 AND t.pos <= i.h
+        UNION ALL
+        SELECT i.conv_id, 1, t.pos, t.role, t.text FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.pos > i.h
+    ),
+    rebuilt AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, text,
+               string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING) AS prefix
+        FROM opened
+    ),
+    steps AS (
+        SELECT conv_id, 0 AS depth, '' AS prefix, CAST(NULL AS VARCHAR) AS parent, 0 AS words FROM ids
+        UNION ALL
+        SELECT conv_id, depth, prefix, coalesce(lag(prefix) OVER (PARTITION BY conv_id ORDER BY depth), ''), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM rebuilt
+    ),
+    lasts AS (SELECT conv_id, max(depth) AS depth FROM steps GROUP BY conv_id),
+    ends AS (SELECT prefix, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM steps JOIN lasts USING (conv_id, depth) GROUP BY prefix),
+    nodes AS (
+        SELECT prefix, min(depth) AS depth, min(conv_id) AS conv_id, min(parent) AS parent, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM steps GROUP BY prefix
+    ),
+    children AS (SELECT parent AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+    subtrees AS (
+        SELECT s.prefix, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(u.saved) AS saved_tokens
+        FROM nodes u JOIN steps s ON s.conv_id = u.conv_id AND s.depth <= u.depth LEFT JOIN children c ON c.prefix = u.prefix GROUP BY s.prefix
+    )
+    SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+           CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+    FROM nodes n JOIN subtrees t USING (prefix) LEFT JOIN children c USING (prefix) LEFT JOIN ends e USING (prefix)
+    LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.parent
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = reopened(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.build(turns, ids)
