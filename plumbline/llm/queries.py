@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.settle import settle
-from plumbline.llm import chat, fm_index, html_text, language_id, line_dedup, packing, periodic, perplexity, prefix_trie, secrets, shards, simhash
+from plumbline.llm import chat, fm_index, graph_search, html_text, language_id, line_dedup, packing, periodic, perplexity, prefix_trie, secrets, shards, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -305,3 +305,9 @@ def reopened(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, ids = reopened(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return prefix_trie.build(turns, ids)
+
+
+@query("op11_graph_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_search.nearest(vectors, F.col("id") % 20 == 0, 20)

@@ -18,7 +18,7 @@ def rows_of(spark, sf, name):
 
 def test_every_operator_has_a_query():
     numbers = {int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))}
-    assert numbers == set(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_secrets(spark, sf, docs):
