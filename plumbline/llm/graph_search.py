@@ -313,16 +313,15 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> Da
     """
     asked = queries.withColumn("dim", F.size("vector"))
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    shards = index.select("dim", "shard").distinct()
-    spread = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(shards, "dim")
+    shards = index.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard")).distinct()
+    spread = asked.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(shards, F.col("dim") == F.col("_dim"))
     repeated = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
-
     def pair(nodes: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "first": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         return pd.concat(list(_search(nodes, some, k + 1, beam))) if len(nodes) and len(some) else empty
 
-    found = repeated.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(pair, "query_id long, first long, ids array<long>, score double")
+    met = repeated.groupBy("dim", "shard", "block").cogroup(spread.groupBy("_dim", "_shard", "_block"))
+    found = met.applyInPandas(pair, "query_id long, first long, ids array<long>, score double")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "first"))
     vectors = found.withColumn("_place", best).where(F.col("_place") <= k + 1)
     single = vectors.select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
