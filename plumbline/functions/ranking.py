@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import unit_interval
 from plumbline.functions.settle import settle
 
-#: Rows that one sort holds on average.
-PIECE_ROWS = 50_000
+#: Rows that one sort holds on average (some tens of megabytes).
+PIECE_ROWS = 200_000
 
 #: Bits of ``monotonically_increasing_id`` below the partition number (Spark's documented layout).
 ROW_BITS = 33
@@ -90,11 +90,15 @@ def _grouped(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]
 
 
 def _along_pieces(
-    df: DataFrame, groups: Sequence[str], bucket: Bucket, total: Column, inside: Callable, out: str, piece_rows: int | None
+    df: DataFrame, groups: Sequence[str], bucket: Bucket, total: Column, inside: Callable, out: str, piece_rows: int | None, most: int | None = None
 ) -> DataFrame:
-    """A window value inside each piece plus the ``total`` of the earlier pieces of the group."""
+    """A window value inside each piece plus the ``total`` of the earlier pieces of the group.
+
+    ``most``: rows of the largest group, where the caller knows a bound; groups need not be counted then.
+    """
     df, groups = _grouped(df, groups)
-    large = large_groups(df, groups, piece_rows)
+    small = most is not None and most <= (piece_rows or PIECE_ROWS)
+    large = None if small else large_groups(df, groups, piece_rows)
     if large is None:
         return df.withColumn(out, inside(W.partitionBy(*groups))).drop("_whole")
     tagged = cut(df, groups, bucket, large)
@@ -111,27 +115,30 @@ def _row_number(order: Sequence[Column | str]) -> Callable:
 
 
 def bucketed_rank(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], bucket: Bucket, out: str = "rank", piece_rows: int | None = None
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], bucket: Bucket, out: str = "rank", piece_rows: int | None = None, most: int | None = None
 ) -> DataFrame:
     """``row_number() over (partition by groups order by order)`` as a column ``out``."""
-    return _along_pieces(df, groups, bucket, F.count(F.lit(1)), _row_number(order), out, piece_rows)
+    return _along_pieces(df, groups, bucket, F.count(F.lit(1)), _row_number(order), out, piece_rows, most)
 
 
 def bucketed_running_sum(
-    df: DataFrame, groups: Sequence[str], order: str, bucket: Bucket, value: str, out: str, piece_rows: int | None = None
+    df: DataFrame, groups: Sequence[str], order: str, bucket: Bucket, value: str, out: str, piece_rows: int | None = None, most: int | None = None
 ) -> DataFrame:
     """Inclusive running total of ``value`` along ``order`` (unique inside a group)."""
     upto = lambda window: F.sum(value).over(window.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return _along_pieces(df, groups, bucket, F.sum(value), upto, out, piece_rows)
+    return _along_pieces(df, groups, bucket, F.sum(value), upto, out, piece_rows, most)
 
 
-def sorted_rank(df: DataFrame, order: Sequence[str], out: str = "rank") -> DataFrame:
+def sorted_rank(df: DataFrame, order: Sequence[str], out: str = "rank", most: int | None = None) -> DataFrame:
     """Global 1-based rank along ``order`` (unique tuples; nulls first), in two passes.
 
     Rows go to ranges of the order and are sorted inside them; each is written with its
     range and its number there.  The sizes of the ranges, of which there are as many as
-    shuffle partitions, are added up and broadcast.
+    shuffle partitions, are added up and broadcast.  A table known to have at most
+    ``PIECE_ROWS`` rows (``most``) is one sort.
     """
+    if most is not None and most <= PIECE_ROWS:
+        return df.withColumn(out, _row_number(order)(W.partitionBy(F.lit(0))))
     numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     laid = settle(numbered).withColumn("_range", F.shiftright("_at", ROW_BITS)).withColumn("_inside", F.col("_at").bitwiseAND(2**ROW_BITS - 1))
     sizes = laid.groupBy("_range").agg((F.max("_inside") + 1).alias("_n"))

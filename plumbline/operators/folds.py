@@ -73,14 +73,17 @@ def segment_random(
     kept = [c for c in carry if c != "row_index"]
     base = rows.select("row_index", F.col(label).alias("_label"), *kept)
     sizes = settle(base.groupBy("_label").agg(F.count(F.lit(1)).alias("n")))
-    stratify = sizes.agg(((F.count(F.lit(1)) > 1) & (F.min("n") >= k)).alias("ok")).scalar()
+    found = sizes.agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    stratified = found["classes"] > 1 and found["least"] >= k
+    stratify = F.lit(stratified)
+    most = found["most"] if stratified else found["rows"]
     hashed = base.withColumn("_ok", stratify).select(
         "row_index",
         F.when(F.col("_ok"), F.col("_label")).otherwise(F.lit("")).alias("stratum"),
         seeded_md5(seed, "row_index").alias("_h"),
         *kept,
     )
-    ranked = bucketed_rank(hashed, ["stratum"], ["_h", "row_index"], hash_bucket("_h"), "_rank", piece_rows).select(
+    ranked = bucketed_rank(hashed, ["stratum"], ["_h", "row_index"], hash_bucket("_h"), "_rank", piece_rows, most).select(
         "row_index", "stratum", (F.col("_rank") - 1).alias("r"), *kept
     )
     per_fold = (
@@ -128,7 +131,7 @@ def trial_grouped_rules(rows: DataFrame, k: int, seed: int, group: str = "trial_
     else:
         n_folds = k
         order = ["_small_first", group]
-        ranked = sorted_rank(sizes, order, "_rank")
+        ranked = sorted_rank(sizes, order, "_rank", n_groups)
         place = F.pmod(F.col("_rank") - 1, F.lit(k))
         back = F.pmod(F.floor((F.col("_rank") - 1) / k), F.lit(2)) == 1
         dealt = ranked.withColumn("_test_fold", F.when(back, k - place).otherwise(place + 1).cast("int"))
@@ -154,9 +157,9 @@ def subject_circle(rows: DataFrame, seed: int, subject: str = "subject_key") ->
     """One row per subject: ``subject, fold`` (rank of the key), ``pos`` (0-based seeded position), ``n``."""
     subjects = settle(rows.select(subject).distinct())
     n = subjects.count()
-    folds = sorted_rank(subjects, [subject], "fold")
+    folds = sorted_rank(subjects, [subject], "fold", n)
     hashed = folds.withColumn("_h", seeded_md5(seed, subject))
-    placed = bucketed_rank(hashed, [], ["_h", subject], hash_bucket("_h"), "_place")
+    placed = bucketed_rank(hashed, [], ["_h", subject], hash_bucket("_h"), "_place", most=n)
     return settle(
         placed.select(subject, "fold", (F.col("_place") - 1).alias("pos"), F.lit(n).cast("long").alias("n"))
     )
@@ -213,7 +216,7 @@ def fold_composition(
     ).select(subject, "fold", "pos", "n", "_c.*")
     filled = grid.join(counts, [subject, *cells], "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
     along = linear_bucket(F.col("pos"), F.col("n"))
-    running = settle(bucketed_running_sum(filled, list(cells), "pos", along, "_n", "_upto"))
+    running = settle(bucketed_running_sum(filled, list(cells), "pos", along, "_n", "_upto", most=circle.count()))
     totals = counts.groupBy(*cells).agg(F.sum("_n").alias("_all"))
     arc_end = running.select(*cells, F.col("pos").alias("_end"), F.col("_upto").alias("_upto_end"))
     joined = (

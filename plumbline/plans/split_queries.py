@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.settle import settle
-from plumbline.operators import audits, folds, probe_splits, sampling, shuffles
+from plumbline.operators import audits, folds, matching, probe_splits, sampling, shuffles
 from plumbline.plans.bindings import (
     CODED_SQL,
     ORDERS_SQL,
@@ -252,8 +252,8 @@ matched AS (
 
 @query("matched_conditions", f"WITH {MATCH_SQL} SELECT protocol, fold, split, row_index FROM matched")
 def _matched(spark, sf):
-    rows = stimulus_rows(spark, sf).select("protocol", "fold", "split", "target_label", "row_index", "sample_hash")
-    return sampling.match_conditions(rows, SEED).select("protocol", "fold", "split", "row_index")
+    rows = nation_rated(spark, sf)
+    return matching.match_rows(rows, folds.subject_circle(rows, SEED), 3, SEED).select("protocol", "fold", "split", "row_index")
 
 
 @query(
@@ -266,8 +266,8 @@ SELECT protocol, fold, split, CAST(sum(n) AS BIGINT) AS rows_original,
 FROM hist JOIN quotas USING (fold, split, target_label) GROUP BY protocol, fold, split""",
 )
 def _matching_report(spark, sf):
-    fit = stimulus_rows(spark, sf).where(F.col("split") != "test")
-    counts = settle(fit.groupBy("protocol", "fold", "split", "target_label").agg(F.count(F.lit(1)).alias("_total")))
+    rows = nation_rated(spark, sf)
+    counts = settle(matching.matching_counts(rows, folds.subject_circle(rows, SEED), 3))
     original = sampling.class_histograms(counts, ["protocol", "fold", "split"])
     matched = sampling.matching_quotas(counts).groupBy("fold", "split").agg(F.sum("quota").alias("rows_matched"))
     return original.join(matched, ["fold", "split"]).select(
@@ -550,14 +550,8 @@ SELECT (SELECT count(*) FROM tests) AS test_rows_differ, (SELECT count(*) FROM u
        (SELECT count(*) FROM matched) AS n_rows""",
 )
 def _condition_audit(spark, sf):
-    rows = stimulus_rows(spark, sf).select("protocol", "fold", "split", "target_label", "row_index", "sample_hash")
-    matched = settle(sampling.match_conditions(rows, SEED))
-    count = F.count(F.lit(1))
-    return matched.agg(count.alias("n_rows")).select(
-        "n_rows",
-        audits.test_set_differences(matched).agg(count).scalar().alias("test_rows_differ"),
-        audits.unmatched_classes(matched).agg(count).scalar().alias("classes_differ"),
-    )
+    rows = nation_rated(spark, sf)
+    return matching.match_audit(rows, folds.subject_circle(rows, SEED), 3, SEED)
 
 
 @query(
