@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import seeded_md5
+from plumbline.functions.permute import permuted
 from plumbline.functions.ranking import bucketed_rank, hash_bucket, match, ranged_rank
+from plumbline.functions.settle import settle
 
 
 def shuffle_segments(
@@ -29,25 +31,22 @@ def permute_labels(
 ) -> DataFrame:
     """``n_permutations`` permutations of the training labels of each fold.
 
-    Rows of a fold are put in a seeded random order and the classes are dealt to it in
-    blocks of their original sizes: the class histogram is unchanged by construction.
+    Rows of a fold are ranked once, in a seeded order; every permutation is a keyed bijection of
+    these ranks, and the classes are dealt to the permuted places in blocks of their original sizes, so the
+    class histogram is unchanged by construction.
     Returns ``fold, permutation, key, label, permuted_label``.
     """
-    sizes = train.groupBy("fold", label).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = settle(train.groupBy("fold", label).agg(F.count(F.lit(1)).alias("_n")))
     upto = F.sum("_n").over(W.partitionBy("fold").orderBy(label).rowsBetween(W.unboundedPreceding, 0))
     blocks = (
         sizes.withColumn("_upto", upto)
         .groupBy("fold")
-        .agg(F.array_sort(F.collect_list(F.struct("_upto", F.col(label).alias("_name")))).alias("_blocks"))
-    )
-    spread = train.select(
-        "fold", key, label, F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("permutation")
-    )
-    hashed = spread.withColumn(
-        "_h", seeded_md5(F.concat_ws("/", F.lit(str(seed)), "fold", "permutation"), key)
-    )
-    ranked = bucketed_rank(hashed, ["fold", "permutation"], ["_h", key], hash_bucket("_h"), "_place")
-    block = F.element_at(F.filter("_blocks", lambda b: F.col("_place") <= b["_upto"]), 1)
-    return ranked.join(blocks, "fold").select(
-        "fold", "permutation", key, label, block["_name"].alias("permuted_label")
+        .agg(F.sum("_n").alias("_rows"), F.array_sort(F.collect_list(F.struct("_upto", F.col(label).alias("_name")))).alias("_blocks"))
     )
+    hashed = train.select("fold", key, label).withColumn("_h", seeded_md5(seed, key))
+    ranked = bucketed_rank(hashed, ["fold"], ["_h", key], hash_bucket("_h"), "_place")
+    spread = ranked.join(blocks, "fold").withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    draw = F.concat_ws("/", F.lit(str(seed)), F.col("fold").cast("string"), F.col("permutation").cast("string"))
+    placed = spread.withColumn("_at", permuted(F.col("_place") - 1, F.col("_rows"), draw))
+    block = F.element_at(F.filter("_blocks", lambda b: F.col("_at") < b["_upto"]), 1)
+    return placed.select("fold", "permutation", key, label, block["_name"].alias("permuted_label"))

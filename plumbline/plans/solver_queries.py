@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.permute import permuted_sql
 from plumbline.operators import evaluation, metrics, probes
 from plumbline.plans.bindings import SEED, table
 from plumbline.plans.catalog import query
@@ -94,11 +95,13 @@ def _folds(spark, sf):
 
 NULL_SQL = f"""RECURSIVE {LOSO_ONLY_SQL},
 spread AS (SELECT unit AS fold, row_index, split, target_label, p FROM loso, range(2) t(p)),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY fold, p ORDER BY md5('{SEED}/' || fold || '/' || p || ':' || row_index), row_index) AS place,
+turned AS (
+  SELECT *, '{SEED}/' || fold || '/' || p AS perm_key, count(*) OVER (PARTITION BY fold, p) AS n,
+         row_number() OVER (PARTITION BY fold, p ORDER BY md5('{SEED}:' || row_index), row_index) - 1 AS place,
          count(*) FILTER (target_label = 'high_valence') OVER (PARTITION BY fold, p) AS n_high FROM spread WHERE split = 'train'),
+{permuted_sql('turned', 'placed')},
 dealt AS (
-  SELECT fold * 10 + p AS unit, row_index, split, CASE WHEN place <= n_high THEN 'high_valence' ELSE 'low_valence' END AS target_label FROM placed
+  SELECT fold * 10 + p AS unit, row_index, split, CASE WHEN landed < n_high THEN 'high_valence' ELSE 'low_valence' END AS target_label FROM placed
   UNION ALL SELECT fold * 10 + p, row_index, split, target_label FROM spread WHERE split = 'test'),
 {balanced_sql('lr', 'dealt', 1)}, {fitted_sql('lr', 'lr_train', 'lr_test', 'logistic')},
 counts AS (

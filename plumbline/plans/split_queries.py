@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.permute import permuted_sql
 from plumbline.functions.settle import settle
 from plumbline.operators import audits, folds, matching, probe_splits, sampling, shuffles
 from plumbline.plans.bindings import (
@@ -613,18 +614,19 @@ def _segment_shuffle(spark, sf):
 
 @query(
     "permuted_training_labels",
-    f"""WITH {SEGMENT_SQL},
+    f"""WITH RECURSIVE {SEGMENT_SQL},
 train AS (SELECT fold, row_index, target_label FROM assigned JOIN manifest USING (row_index) WHERE split = 'train'),
-placed AS (
-  SELECT fold, row_index, target_label, p AS permutation,
-         row_number() OVER (PARTITION BY fold, p ORDER BY md5('{SEED}/' || fold || '/' || p || ':' || row_index), row_index) AS place
+turned AS (
+  SELECT fold, p AS permutation, row_index, target_label, '{SEED}/' || fold || '/' || p AS perm_key, count(*) OVER (PARTITION BY fold, p) AS n,
+         row_number() OVER (PARTITION BY fold, p ORDER BY md5('{SEED}:' || row_index), row_index) - 1 AS place
   FROM train, range(0, 2) r(p)),
+{permuted_sql('turned', 'placed')},
 blocks AS (
   SELECT fold, target_label AS permuted_label, sum(count(*)) OVER (PARTITION BY fold ORDER BY target_label) AS upto,
          sum(count(*)) OVER (PARTITION BY fold ORDER BY target_label) - count(*) AS before
   FROM train GROUP BY fold, target_label)
 SELECT CAST(placed.fold AS BIGINT) AS fold, permutation, row_index, target_label, permuted_label
-FROM placed JOIN blocks ON placed.fold = blocks.fold AND place > before AND place <= upto""",
+FROM placed JOIN blocks ON placed.fold = blocks.fold AND landed >= before AND landed < upto""",
 )
 def _permuted(spark, sf):
     rows = segment_rows(spark, sf, "target_label").where(F.col("split") == "train")
