@@ -24,28 +24,41 @@ def grid(n: Column) -> tuple[Column, Column]:
     return F.ceil(n / root).cast("long"), root.cast("long")
 
 
-def _digest(key: Column, number: int, side: Column, modulus: Column) -> Column:
-    text = F.concat_ws("", key, F.lit(f"/{number}:"), side.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % modulus
+def _round_trip(x: Column, key: Column, rows: Column, columns: Column) -> Column:
+    """All rounds: a fold over round numbers, so that every digest is taken once."""
 
+    def turn(side: Column, number: Column) -> Column:
+        even = number % 2 == 0
+        seen = F.when(even, side["right"]).otherwise(side["left"])
+        text = F.concat_ws("", key, F.lit("/"), number.cast("string"), F.lit(":"), seen.cast("string"))
+        drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        return F.struct(
+            F.when(even, (side["left"] + drawn) % rows).otherwise(side["left"]).alias("left"),
+            F.when(even, side["right"]).otherwise((side["right"] + drawn) % columns).alias("right"),
+        )
 
-def _round_trip(x: Column, key: Column, rows: Column, columns: Column) -> Column:
-    left, right = F.floor(x / columns).cast("long"), x % columns
-    for number in range(ROUNDS):
-        if number % 2:
-            right = (right + _digest(key, number, left, columns)) % columns
-        else:
-            left = (left + _digest(key, number, right, rows)) % rows
-    return left * columns + right
+    first = F.struct(F.floor(x / columns).cast("long").alias("left"), (x % columns).alias("right"))
+    return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), first, turn, lambda s: s["left"] * columns + s["right"])
 
 
 def permuted(place: Column, n: Column, key: Column) -> Column:
     """Where the permutation ``key`` (a string column) of ``n`` places puts the 0-based ``place``."""
+
+    def of_row(row: Column) -> Column:
+        n, key, rows, columns = (row[c] for c in ("n", "key", "rows", "columns"))
+
+        def walked(once: Column) -> Column:
+            again = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once, lambda x, _: F.when(x < n, x).otherwise(_round_trip(x, key, rows, columns)))
+            return F.when(once < n, once).otherwise(again)
+
+        return F.element_at(F.transform(F.array(_round_trip(row["place"], key, rows, columns)), walked), 1)
+
+    # Wrapped in one-element arrays, so that no value is computed again where it is used.
     rows, columns = grid(n)
-    once = _round_trip(place, key, rows, columns)
-    again = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once, lambda x, _: F.when(x < n, x).otherwise(_round_trip(x, key, rows, columns)))
-    checked = F.when(again < n, again).otherwise(F.raise_error(F.lit("a keyed permutation did not come back")).cast("long"))
-    return F.when(once < n, once).otherwise(checked)
+    row = F.struct(place.cast("long").alias("place"), n.alias("n"), key.alias("key"), rows.alias("rows"), columns.alias("columns"))
+    found = F.transform(F.array(row), of_row)
+    lost = F.raise_error(F.lit("a keyed permutation did not come back")).cast("long")
+    return F.element_at(F.transform(found, lambda x: F.when(x < n, x).otherwise(lost)), 1)
 
 
 def permuted_sql(source: str, out: str) -> str:

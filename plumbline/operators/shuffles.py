@@ -36,6 +36,7 @@ def permute_labels(
     class histogram is unchanged by construction.
     Returns ``fold, permutation, key, label, permuted_label``.
     """
+    train = settle(train.select("fold", key, label))
     sizes = settle(train.groupBy("fold", label).agg(F.count(F.lit(1)).alias("_n")))
     upto = F.sum("_n").over(W.partitionBy("fold").orderBy(label).rowsBetween(W.unboundedPreceding, 0))
     blocks = (
@@ -43,9 +44,10 @@ def permute_labels(
         .groupBy("fold")
         .agg(F.sum("_n").alias("_rows"), F.array_sort(F.collect_list(F.struct("_upto", F.col(label).alias("_name")))).alias("_blocks"))
     )
-    hashed = train.select("fold", key, label).withColumn("_h", seeded_md5(seed, key))
+    hashed = train.withColumn("_h", seeded_md5(seed, key))
     ranked = bucketed_rank(hashed, ["fold"], ["_h", key], hash_bucket("_h"), "_place")
-    spread = ranked.join(blocks, "fold").withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    # Ranking leaves whole folds in few tasks; the work per row grows with the permutations.
+    spread = ranked.repartition(key).join(blocks, "fold").withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
     draw = F.concat_ws("/", F.lit(str(seed)), F.col("fold").cast("string"), F.col("permutation").cast("string"))
     placed = spread.withColumn("_at", permuted(F.col("_place") - 1, F.col("_rows"), draw))
     block = F.element_at(F.filter("_blocks", lambda b: F.col("_at") < b["_upto"]), 1)
