@@ -3,7 +3,7 @@
 All folds, classes and label permutations of a design are solved together: each Newton
 step is one Spark job in which every partition adds up loss, gradient and curvature of
 all problems in one pass over its rows, and the sums (problems x d x d numbers) are
-combined by a grouped vector sum.  Rows are never repeated per fold and never collected.
+combined by a grouped vector sum.  Softmax models ask for loss and gradient only (problems x classes x d numbers).  Rows are never repeated per fold and never collected.
 """
 
 from __future__ import annotations
@@ -14,14 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.settle import at_once, settle
-from plumbline.operators.features import standardize_on_train
+from plumbline.functions.settle import settle
 
 LOGISTIC, SVM = "logistic", "svm"
 
@@ -172,17 +170,18 @@ class Design:
 
     units: list[tuple]
     classes: list[str]
+    softmax: bool = False
 
     @property
     def one_per_unit(self) -> bool:
-        return len(self.classes) == 2
+        return self.softmax or len(self.classes) == 2
 
     @property
     def n_problems(self) -> int:
         return len(self.units) * (1 if self.one_per_unit else len(self.classes))
 
     def members(self, train: DataFrame, unit: Sequence[str], label: str, balanced: bool) -> DataFrame:
-        """``problem, row_index, y, w``: two classes are one problem, more are one against the rest."""
+        """``problem, row_index, y, w``: two classes and softmax are one problem (softmax: y is the class number), others one against the rest."""
         spark = train.sparkSession
         index = spark.createDataFrame(
             [(*u, i) for i, u in enumerate(self.units)],
@@ -194,7 +193,8 @@ class Design:
         weights = counts.join(sizes, list(unit)).select(*unit, label, weight.alias("w"))
         rows = train.join(F.broadcast(index), list(unit)).join(weights, [*unit, label])
         if self.one_per_unit:
-            y = F.when(F.col(label) == self.classes[1], 1.0).otherwise(-1.0)
+            number = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(label)) - 1
+            y = number.cast("double") if self.softmax else F.when(F.col(label) == self.classes[1], 1.0).otherwise(-1.0)
             return rows.select(F.col("_unit").alias("problem"), "row_index", y.alias("y"), "w")
         names = F.array(*[F.lit(c) for c in self.classes])
         spread = rows.select("*", F.posexplode(names).alias("_c", "_name"))
@@ -219,14 +219,13 @@ def fit_predict(
     ``train`` and predict rows with split ``on``.
     """
     unit, classes = list(unit), sorted(classes)
-    if loss == LOGISTIC and len(classes) > 2:
-        return _fit_predict_multinomial(assignments, features, classes, unit, label, test_label, balanced, on)
     units = sorted(tuple(r) for r in assignments.select(*unit).distinct().collect())
-    per_unit = 1 if len(classes) == 2 else len(classes)
+    softmax = loss == LOGISTIC and len(classes) > 2
+    per_unit = 1 if softmax or len(classes) == 2 else len(classes)
     width = max(1, BATCH // per_unit)
     out = None
     for start in range(0, len(units), width):
-        design = Design(units[start : start + width], classes)
+        design = Design(units[start : start + width], classes, softmax)
         mine = assignments
         if len(units) > width:
             index = assignments.sparkSession.createDataFrame(
@@ -235,7 +234,7 @@ def fit_predict(
             mine = assignments.join(F.broadcast(index), unit, "left_semi")
         train = mine.where(F.col("split") == "train")
         table = training_table(features, design.members(train, unit, label, balanced), design.n_problems)
-        solution = solve(table, design.n_problems, loss)
+        solution = solve_softmax(table, design.n_problems, len(classes)) if softmax else solve(table, design.n_problems, loss)
         part = _predict(mine.where(F.col("split") == on), features, design, solution, unit, test_label or label)
         out = part if out is None else out.unionByName(part)
     return out
@@ -244,9 +243,9 @@ def fit_predict(
 def _predict(test: DataFrame, features: DataFrame, design: Design, solution: Solution, unit: list[str], label: str) -> DataFrame:
     names = np.asarray(design.classes, dtype=object)
     place = {u: i for i, u in enumerate(design.units)}
-    k = 1 if design.one_per_unit else len(names)
+    k = 1 if len(names) == 2 else len(names)
     weights = solution.coefficients.reshape(len(place), k, -1)
-    solved = solution.converged.reshape(len(place), k).all(axis=1)
+    solved = solution.converged.reshape(len(place), -1).all(axis=1)
     codes = test.sparkSession.createDataFrame(
         [(*u, i, bool(solved[i])) for u, i in place.items()],
         ", ".join(f"{c} {t}" for c, t in test.select(*unit).dtypes) + ", _unit int, converged boolean",
@@ -266,62 +265,100 @@ def _predict(test: DataFrame, features: DataFrame, design: Design, solution: Sol
     )
 
 
-# -- multinomial ----------------------------------------------------------------------------
+# -- softmax --------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Multinomial:
-    predictions: DataFrame
-    converged: bool
+def _softmax_pass(table: DataFrame, points: np.ndarray, mean: np.ndarray, sd: np.ndarray, active: list[int]) -> dict[int, tuple[float, np.ndarray]]:
+    """Summed log loss and gradient of the active problems at ``points`` (problem, class, feature and intercept): one Spark job."""
+    n_classes, d = points.shape[1:]
 
+    def of_rows(p: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        z = np.column_stack([(x - mean[p]) / sd[p], np.ones(len(x))])
+        scores = z @ points[p].T
+        scores -= scores.max(axis=1, keepdims=True)
+        mass = np.exp(scores)
+        total = mass.sum(axis=1)
+        own = y.astype(int)
+        loss = w * (np.log(total) - scores[np.arange(len(x)), own])
+        slope = mass / total[:, None]
+        slope[np.arange(len(x)), own] -= 1.0
+        return np.append((slope * w[:, None]).T @ z, loss.sum())
 
-def fit_multinomial(
-    rows: DataFrame, classes: Sequence[str], label: str = "label", side: str = "side", balanced: bool = False, max_iter: int = 2000
-) -> Multinomial:
-    """Softmax regression on standardised features with an L2 penalty of strength 1.
+    found = _summed(table, list(active), n_classes * d + 1, of_rows)
+    return {p: (s[-1], s[:-1].reshape(n_classes, d)) for p, s in found.items()}
 
-    ``rows`` has ``row_index, features, label, side``.  The training rows set the scale;
-    the library's objective is a mean, hence the penalty 1 / (sum of weights).
-    """
-    classes = sorted(classes)
-    ids = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    scaled = standardize_on_train(rows, "features", F.col(side) == "train")
-    ready = settle(
-        scaled.select("row_index", label, side, ids.cast("double").alias("_y"), F.col("features").alias("_x"))
-    )
-    counts = ready.where(F.col(side) == "train").groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
-    n_train, n_classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
-    weight = F.lit(float(n_train)) / (n_classes * F.col("_n")) if balanced else F.lit(1.0)
-    ready = ready.join(counts.select("_y", weight.alias("_w")), "_y", "left").withColumn("_v", array_to_vector("_x"))
-    model = LogisticRegression(
-        featuresCol="_v", labelCol="_y", weightCol="_w", family="multinomial", regParam=1.0 / n_train,
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6, predictionCol="_pred",
-    ).fit(ready.where(F.col(side) == "train").select("_v", "_y", "_w"))
-    name = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("_pred").cast("int") + 1)
-    predicted = model.transform(ready.where(F.col(side) == "test").select("row_index", label, "_v")).select(
-        "row_index", F.col(label).alias("y_true"), name.alias("y_pred")
-    )
-    return Multinomial(predicted, model.summary.totalIterations < max_iter)
 
+class _Descent:
+    """Limited-memory quasi-Newton search of one problem; values and gradients come from outside."""
 
-def _fit_predict_multinomial(assignments, features, classes, unit, label, test_label, balanced, on) -> DataFrame:
-    """One softmax fit per unit; the units are few (folds) and each fit is distributed."""
-    units = sorted(tuple(r) for r in assignments.select(*unit).distinct().collect())
-    assignments = settle(assignments.where(F.col("split").isin("train", on)))
-
-    def one(u: tuple) -> DataFrame:
-        here = assignments
-        for column, value in zip(unit, u, strict=True):
-            here = here.where(F.col(column) == F.lit(value))
-        side = F.when(F.col("split") == "train", "train").otherwise("test")
-        name = F.when(F.col("split") == "train", F.col(label)).otherwise(F.col(test_label or label))
-        rows = here.select("row_index", name.alias("label"), side.alias("side"))
-        fitted = fit_multinomial(rows.join(features, "row_index"), classes, balanced=balanced)
-        named = [F.lit(v).alias(c) for c, v in zip(unit, u, strict=True)]
-        return fitted.predictions.select(*named, "row_index", "y_true", "y_pred", F.lit(fitted.converged).alias("converged"))
-
-    parts = at_once(assignments.sparkSession, one, units)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    MEMORY = 12
+
+    def __init__(self, size: int):
+        self.here, self.value, self.gradient = np.zeros(size), np.inf, None
+        self.step, self.pairs = np.zeros(size), []
+
+    @property
+    def asked(self) -> np.ndarray:
+        return self.here + self.step
+
+    def told(self, value: float, gradient: np.ndarray) -> bool | None:
+        """Takes value and gradient at ``asked``; True: solved, False: stuck, None: go on."""
+        if self.gradient is not None:
+            if value > self.value + 1e-4 * (self.step @ self.gradient) + 1e-13 * abs(self.value):
+                self.step = 0.5 * self.step
+                if np.abs(self.step).max() > 1e-14:
+                    return None
+                return bool(np.abs(self.gradient).max() <= 1e-5 * max(1.0, abs(self.value)))
+            change = gradient - self.gradient
+            if self.step @ change > 1e-14 * (change @ change):
+                self.pairs = [*self.pairs[1 - self.MEMORY :], (self.step, change)]
+        self.here, self.value, self.gradient = self.asked, value, gradient
+        self.step = np.zeros_like(self.here)
+        if np.abs(gradient).max() <= GRADIENT_TOLERANCE * max(1.0, abs(value)):
+            return True
+        self.step = -self._inverse_times(gradient)
+        return None
+
+    def _inverse_times(self, g: np.ndarray) -> np.ndarray:
+        q, kept = g.copy(), []
+        for s, y in reversed(self.pairs):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            kept.append((s, y, a))
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        else:
+            q /= max(1.0, np.abs(g).max())
+        for s, y, a in reversed(kept):
+            q += (a - (y @ q) / (s @ y)) * s
+        return q
+
+
+def solve_softmax(table: DataFrame, n_problems: int, n_classes: int, c: float = 1.0, max_passes: int = 1000) -> Solution:
+    """Minimise ``0.5 |w|^2 + C * sum(weight * log loss)`` of softmax models, intercepts free, features standardised per problem.
+
+    ``y`` of the table is the class number.  All problems move together: one pass over the rows
+    gives every active problem the value and gradient it asked for; no second derivatives are summed.
+    """
+    mean, sd = _scales(table, n_problems)
+    d = mean.shape[1] + 1
+    ridge = np.ones((n_classes, d))
+    ridge[:, -1] = 0.0
+    searches = [_Descent(n_classes * d) for _ in range(n_problems)]
+    converged, active, passes = np.zeros(n_problems, bool), list(range(n_problems)), 0
+    while active and passes < max_passes:
+        passes += 1
+        points = np.stack([s.asked.reshape(n_classes, d) for s in searches])
+        at = _softmax_pass(table, points, mean, sd, active)
+        for p in list(active):
+            loss, slope = at[p]
+            done = searches[p].told(c * loss + 0.5 * (ridge * points[p] ** 2).sum(), (c * slope + ridge * points[p]).ravel())
+            if done is not None:
+                converged[p] = done
+                active.remove(p)
+    raw = np.stack([s.here.reshape(n_classes, d) for s in searches])
+    raw[:, :, :-1] /= sd[:, None, :]
+    raw[:, :, -1] -= (raw[:, :, :-1] * mean[:, None, :]).sum(axis=2)
+    gradient = np.array([np.abs(s.gradient).max() if s.gradient is not None else np.inf for s in searches])
+    return Solution(raw.reshape(n_problems, -1), gradient, converged, passes)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.permute import permuted_sql
-from plumbline.operators import evaluation, metrics, probes
+from plumbline.functions.settle import settle
+from plumbline.operators import evaluation, linear, metrics, probes
 from plumbline.plans.bindings import SEED, table
 from plumbline.plans.catalog import query
 from plumbline.plans.estimator_queries import CLASSES, FEATURE_LOSO_SQL, feature_windows, loso
@@ -173,3 +174,62 @@ def _probe(spark, sf):
     row = probes.probe(features, meta, "session_key", SEED)
     table_of_one = probes.probe_table(meta, [row])
     return rounded(table_of_one.select("probe_query", "n_chunks", "n_train_groups", "n_test_groups", "balanced_accuracy", "converged"))
+
+
+#: Steps of the accelerated descent; the error shrinks by about 1 - 1/sqrt(condition number) a step.
+DESCENT_STEPS = 1200
+
+
+def softmax_sql(name: str, train: str, test: str) -> str:
+    """CTEs ending in ``{name}(unit, row_index, y_pred)``: softmax over classes 0, 1, 2 of two features, by accelerated gradient descent.
+
+    Parameters are a list of nine numbers, three (two weights, free intercept) per class.
+    """
+    score = lambda k: f"p[{3 * k + 1}] * z1 + p[{3 * k + 2}] * z2 + p[{3 * k + 3}]"
+    slopes = ", ".join(f"sum(w * (e{k} / (e0 + e1 + e2) - CAST(y = {k} AS INTEGER)) * {z})" for k in range(3) for z in ("z1", "z2", "1"))
+    return f"""{name}_scale AS (
+  SELECT unit, avg(x1) AS m1, avg(x2) AS m2, coalesce(nullif(stddev_pop(x1), 0), 1) AS s1, coalesce(nullif(stddev_pop(x2), 0), 1) AS s2 FROM {train} GROUP BY unit),
+{name}_z AS (SELECT unit, y, w, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM {train} JOIN {name}_scale USING (unit)),
+{name}_bound AS (SELECT unit, 1 + 0.5 * sum(w * (z1 * z1 + z2 * z2 + 1)) AS most FROM {name}_z GROUP BY unit),
+{name}_steps AS (
+  SELECT unit, most, (sqrt(most) - 1) / (sqrt(most) + 1) AS momentum, 0 AS step, list_transform(range(9), lambda i: 0.0::DOUBLE) AS p, list_transform(range(9), lambda i: 0.0::DOUBLE) AS old FROM {name}_bound
+  UNION ALL
+  SELECT unit, most, momentum, step + 1,
+         list_transform(range(9), lambda i: new[i + 1] + momentum * (new[i + 1] - old[i + 1])), new
+  FROM (
+    SELECT unit, most, momentum, step, old,
+           list_transform(range(9), lambda i: p[i + 1] - (g[i + 1] + CASE WHEN i % 3 < 2 THEN p[i + 1] ELSE 0 END) / most) AS new
+    FROM (
+      SELECT unit, most, momentum, step, p, old, [{slopes}] AS g
+      FROM (SELECT s.*, y, w, z1, z2, exp({score(0)}) AS e0, exp({score(1)}) AS e1, exp({score(2)}) AS e2 FROM {name}_steps s JOIN {name}_z USING (unit) WHERE step < {DESCENT_STEPS})
+      GROUP BY unit, most, momentum, step, p, old))),
+{name}_scores AS (
+  SELECT unit, row_index, {score(0)} AS c0, {score(1)} AS c1, {score(2)} AS c2
+  FROM (SELECT unit, row_index, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM {test} JOIN {name}_scale USING (unit))
+  JOIN (SELECT unit, old AS p FROM {name}_steps WHERE step = {DESCENT_STEPS}) USING (unit)),
+{name} AS (SELECT unit, row_index, CASE WHEN c0 >= c1 AND c0 >= c2 THEN 'c0' WHEN c1 >= c2 THEN 'c1' ELSE 'c2' END AS y_pred FROM {name}_scores)"""
+
+
+THREE_CLASS_SQL = f"""RECURSIVE named AS (SELECT vec_id AS row_index, label % 3 AS y, 'c' || (label % 3) AS name, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2 FROM embeddings),
+spread AS (SELECT named.*, unit, CASE WHEN row_index % 4 = unit THEN 'test' ELSE 'train' END AS split FROM named, range(4) u(unit)),
+sm_train AS (SELECT *, count(*) OVER (PARTITION BY unit) / (3.0 * count(*) OVER (PARTITION BY unit, y)) AS w FROM spread WHERE split = 'train'),
+sm_test AS (SELECT * FROM spread WHERE split = 'test'),
+{softmax_sql('sm', 'sm_train', 'sm_test')},
+counts AS (SELECT unit AS fold, name AS y_true, y_pred, count(*) AS n FROM sm JOIN named USING (row_index) GROUP BY ALL),
+{METRICS_SQL.format(by='fold')}"""
+
+
+@query(
+    "two_feature_softmax",
+    f"WITH {THREE_CLASS_SQL} SELECT CAST(fold AS BIGINT) AS fold, n_test, round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy, round(macro_f1, 6) AS macro_f1, true AS converged FROM scores",
+)
+def _softmax(spark, sf):
+    """Three classes, four folds: one batch of softmax problems."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_index"), F.concat(F.lit("c"), F.col("label") % 3).alias("name"))
+    spread = rows.withColumn("fold", F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])))
+    assigned = spread.withColumn("split", F.when(F.col("row_index") % 4 == F.col("fold"), "test").otherwise("train"))
+    features = narrow_features(spark, sf).select("row_index", F.col("alpha").alias("features"))
+    predicted = settle(linear.fit_predict(assigned, features, ["c0", "c1", "c2"], linear.LOGISTIC, label="name"))
+    scored = metrics.fold_metrics(metrics.prediction_counts(predicted, ["fold"]), ["fold"])
+    solved = predicted.groupBy("fold").agg(F.bool_and("converged").alias("converged"))
+    return rounded(scored.join(solved, "fold").select("fold", "n_test", "accuracy", "balanced_accuracy", "macro_f1", "converged"))

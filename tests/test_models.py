@@ -54,21 +54,51 @@ def test_batched_solver_equals_brute_force(spark, rng, loss):
     assert got.gradient.max() < 1e-4
 
 
-def test_multinomial_is_optimal(spark, rng):
-    x = rng.normal(size=(90, 3))
-    y = np.array(["a", "b", "c"])[np.argmax(x @ rng.normal(size=(3, 3)) + rng.normal(size=(90, 3)), axis=1)]
-    side = ["train"] * 60 + ["test"] * 30
-    out = linear.fit_multinomial(vectors(spark, x, label=list(y), side=side), ["a", "b", "c"])
-    z = (x - x[:60].mean(0)) / x[:60].std(0)
-    t = (y[:, None] == np.array(["a", "b", "c"])).astype(float)
-    w, b = np.zeros((3, 3)), np.zeros(3)
-    for _ in range(20_000):
-        e = np.exp(z[:60] @ w + b)
-        r = e / e.sum(1, keepdims=True) - t[:60]
-        w, b = w - 0.01 * (z[:60].T @ r + w), b - 0.01 * r.sum(0)
-    want = np.array(["a", "b", "c"])[np.argmax(z[60:] @ w + b, axis=1)]
-    got = {r["row_index"]: r["y_pred"] for r in out.predictions.collect()}
-    assert out.converged and [got[i] for i in range(60, 90)] == list(want)
+@pytest.mark.parametrize("balanced", [False, True])
+def test_softmax_of_all_folds_is_optimal(spark, rng, balanced):
+    """Three folds with their own rows and scales, solved in common passes, against gradient descent on each."""
+    x = rng.normal(size=(90, 3)) * [1, 4, 0.5] + [0, 3, 1]
+    names = np.array(["a", "b", "c"])
+    y = names[np.argmax(((x - x.mean(0)) / x.std(0)) @ rng.normal(size=(3, 3)) + rng.normal(size=(90, 3)), axis=1)]
+    rows = vectors(spark, x, label=list(y))
+    assigned = rows.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(3)]))).select(
+        "fold", "row_index", F.when(F.col("row_index") % 3 == F.col("fold"), "test").otherwise("train").alias("split"), "label"
+    )
+    out = linear.fit_predict(assigned, rows.select("row_index", "features"), names, linear.LOGISTIC, label="label", balanced=balanced)
+    got = {(r["fold"], r["row_index"]): (r["y_pred"], r["converged"]) for r in out.collect()}
+    assert len(got) == 90 and all(c for _, c in got.values())
+    for fold in range(3):
+        train = np.arange(90) % 3 != fold
+        z = (x - x[train].mean(0)) / x[train].std(0)
+        t = (y[:, None] == names).astype(float)
+        weight = (train.sum() / (3 * t[train].sum(0)))[t[train].argmax(1)] if balanced else np.ones(train.sum())
+        w, b = np.zeros((3, 3)), np.zeros(3)
+        for _ in range(20_000):
+            e = np.exp(z[train] @ w + b)
+            r = (e / e.sum(1, keepdims=True) - t[train]) * weight[:, None]
+            w, b = w - 0.01 * (z[train].T @ r + w), b - 0.01 * r.sum(0)
+        want = names[np.argmax(z @ w + b, axis=1)]
+        assert [got[fold, i][0] for i in range(90) if i % 3 == fold] == [want[i] for i in range(90) if i % 3 == fold]
+
+
+def test_softmax_gradient_vanishes(spark, rng):
+    """At the returned coefficients the gradient of the stated objective is zero, 64 features and ten classes."""
+    x = rng.normal(size=(300, 64))
+    y = rng.integers(0, 10, 300)
+    members = [(p, i, float(y[i]), 1.0 + p) for p in range(2) for i in range(300) if (i + p) % 4]
+    table = linear.training_table(vectors(spark, x), spark.createDataFrame(members, "problem int, row_index long, y double, w double"), 2)
+    got = linear.solve_softmax(table, 2, 10)
+    assert got.converged.all() and got.steps < 300
+    for p in range(2):
+        rows = (np.arange(300) + p) % 4 > 0
+        mean, sd = x[rows].mean(0), x[rows].std(0)
+        raw = got.coefficients[p].reshape(10, 65)
+        z = np.column_stack([(x[rows] - mean) / sd, np.ones(rows.sum())])
+        w = np.column_stack([raw[:, :-1] * sd, raw[:, -1] + (raw[:, :-1] * mean).sum(1)])
+        e = np.exp(z @ w.T)
+        slope = (e / e.sum(1, keepdims=True) - np.eye(10)[y[rows]]) * (1.0 + p)
+        g = slope.T @ z + np.column_stack([w[:, :-1], np.zeros(10)])
+        assert np.abs(g).max() < 1e-4
 
 
 def planted(spark, rng, strength):
