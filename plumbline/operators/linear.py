@@ -62,7 +62,7 @@ def training_table(features: DataFrame, members: DataFrame, n_problems: int, key
 def _summed(table: DataFrame, numbers: Sequence[int], width: int, of_rows: Callable) -> dict[int, np.ndarray]:
     """``of_rows(problem, x, y, w)`` added up over all rows of each problem: one Spark job, no row is copied.
 
-    Every partition adds up its rows, ``BRANCHES`` tasks add up partitions, then one row per problem is left.
+    Every partition adds up its rows, ``BRANCHES`` tasks add up partitions (where there are more), then one row per problem is left.
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +79,9 @@ def _summed(table: DataFrame, numbers: Sequence[int], width: int, of_rows: Calla
         return df.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
 
     partial = table.mapInPandas(sums, "problem int, branch int, sums array<double>")
-    return {r["problem"]: np.asarray(r["sums"]) for r in added(added(partial, "problem", "branch"), "problem").collect()}
+    if table.rdd.getNumPartitions() > BRANCHES:
+        partial = added(partial, "problem", "branch")
+    return {r["problem"]: np.asarray(r["sums"]) for r in added(partial, "problem").collect()}
 
 
 def _scales(table: DataFrame, n_problems: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +316,7 @@ class _Descent:
                 self.pairs = [*self.pairs[1 - self.MEMORY :], (self.step, change)]
         self.here, self.value, self.gradient = self.asked, value, gradient
         self.step = np.zeros_like(self.here)
-        if np.abs(gradient).max() <= GRADIENT_TOLERANCE * max(1.0, abs(value)):
+        if np.abs(gradient).max() <= 10 * GRADIENT_TOLERANCE * max(1.0, abs(value)):
             return True
         self.step = -self._inverse_times(gradient)
         return None
