@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,27 @@ def row_audit(assignments: DataFrame, n_rows: Column | None = None, key: str = "
     return per_fold.withColumn("n_missing", n_rows - F.col("n_rows"))
 
 
+#: Role bits: an entity with both is on both sides of a fold.
+FIT_BIT, TEST_BIT = 1, 2
+
+
+def role_audit(assignments: DataFrame, entities: Sequence[str], key: str = "row_index", by: Sequence[str] = ("fold",)) -> DataFrame:
+    """Repeated rows and leaked entities of every fold from one scan: ``by, kind, value, n, bits``.
+
+    One aggregation over grouping sets (row, each entity) counts and or-s the role bits; ``kind`` is
+    the column that breaks its rule: ``key`` more than once, an entity with both bits.
+    """
+    columns = [key, *(e for e in entities if e != key)]
+    bit = F.when(F.col("split") == "test", TEST_BIT).otherwise(FIT_BIT)
+    sets = [[*(F.col(b) for b in by), F.col(c)] for c in columns]
+    kind = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
+    value = F.coalesce(*[F.when(F.grouping(c) == 0, F.col(c).cast("string")) for c in columns])
+    grouped = assignments.select(*by, *columns, bit.alias("_bit")).groupingSets(sets, *(F.col(c) for c in (*by, *columns)))
+    found = grouped.agg(kind.alias("kind"), value.alias("value"), F.count(F.lit(1)).alias("n"), F.bit_or("_bit").alias("bits"))
+    broken = F.when(F.col("kind") == key, F.col("n") > 1).otherwise(F.col("bits") == FIT_BIT + TEST_BIT)
+    return found.where(broken).select(*by, "kind", "value", "n", "bits")
+
+
 def sides(assignments: DataFrame, entity: str, by: tuple[str, ...] = ("fold",)) -> DataFrame:
     """Per fold and entity, whether it occurs in training/validation and in test."""
     test = F.col("split") == "test"
@@ -95,6 +118,31 @@ def split_summary(assignments: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def composed_summary(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """:func:`split_summary` from entity counts per role: ``by, kind, value, test, val, train``.
+
+    ``kind`` is ``row`` (one value per class), ``trial`` or ``subject``; see ``folds.entity_counts``.
+    """
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("split"), F.col(r).alias("n")) for r in ("train", "val", "test")])).alias("_r")
+    long = counts.select(*by, "kind", "value", roles).select(*by, "kind", "value", "_r.*").where("n > 0")
+    total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).cast("long")
+    return long.groupBy(*by, "split").agg(
+        total("row").alias("chunks"),
+        total("subject").alias("subjects"),
+        total("trial").alias("trials"),
+        F.count_if(F.col("kind") == "row").alias("classes"),
+    )
+
+
+def composed_support(summary: DataFrame, n_classes: int) -> DataFrame:
+    """:func:`support_report` from a :func:`composed_summary` by fold."""
+    of = lambda split, column: F.sum(F.when(F.col("split") == split, F.col(column)).otherwise(0))
+    per_fold = summary.groupBy("fold").agg(
+        of("test", "chunks").alias("test_rows"), of("train", "chunks").alias("train_rows"), of("test", "trials").alias("test_trials"), of("test", "classes").alias("test_classes")
+    )
+    return _support(per_fold, n_classes)
+
+
 def test_support(assignments: DataFrame, classes: list[str], by: str = "fold") -> DataFrame:
     """Test rows by fold and class, zero where a class is absent."""
     test = assignments.where(F.col("split") == "test")
@@ -113,6 +161,10 @@ def support_report(assignments: DataFrame, n_classes: int) -> DataFrame:
         F.count_distinct(F.when(F.col("_test") > 0, F.col("trial_key"))).alias("test_trials"),
         F.count_distinct(F.when(F.col("_test") > 0, F.col("target_label"))).alias("test_classes"),
     )
+    return _support(per_fold, n_classes)
+
+
+def _support(per_fold: DataFrame, n_classes: int) -> DataFrame:
     return per_fold.agg(
         F.count(F.lit(1)).alias("n_folds"),
         F.count_if(F.col("test_classes") < n_classes).alias("folds_missing_class"),

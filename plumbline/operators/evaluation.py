@@ -36,13 +36,13 @@ def capped(assignments: DataFrame, seed: int, max_train: int | None, max_test: i
     return out
 
 
+#: Entities that a protocol keeps on one side of every fold.
+SEPARATED = {"trial_grouped": ("trial_key",), "leave_one_subject_out": ("trial_key", "subject_key")}
+
+
 def audited(assignments: DataFrame, protocol: str) -> DataFrame:
-    """Stop before any model if a fold repeats rows or leaks entities its protocol separates."""
-    audits.require_empty(audits.row_audit(assignments).where("n_repeated > 0"), f"{protocol}: repeated rows")
-    if protocol in ("trial_grouped", "leave_one_subject_out"):
-        audits.require_empty(audits.leaks(assignments, "trial_key"), f"{protocol}: trial leakage")
-    if protocol == "leave_one_subject_out":
-        audits.require_empty(audits.leaks(assignments, "subject_key"), f"{protocol}: subject leakage")
+    """Stop before any model if a fold repeats rows or leaks entities its protocol separates: one scan for all checks."""
+    audits.require_empty(audits.role_audit(assignments, SEPARATED.get(protocol, ())), f"{protocol}: repeated rows or leakage")
     return assignments
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ SHARED = CHANNELS["dreamer"]
 # Guards of the normalisation and of the covariance alignment.
 NORM_EPS, CORAL_EPS = 1e-6, 1e-5
 
+#: Tasks in which partial sums of partitions meet first.
+BRANCHES = 16
+
 
 def shared_positions(dataset: str) -> list[int]:
     """Where the shared channels sit in a recording's own order."""
@@ -115,23 +119,50 @@ def standardize_on_train(rows: DataFrame, features: str, is_train: Column, by: S
 # -- covariance alignment -----------------------------------------------------------------
 
 
-def covariance(rows: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean (d) and sample covariance (d x d) of a feature column; d is the vector length."""
-    vectors = rows.select(_vector(features).alias("v"))
-    summary = vectors.agg(Summarizer.metrics("mean", "std").summary(F.col("v")).alias("s")).select("s.mean", "s.std").first()
-    sd = np.asarray(summary["std"].toArray())
-    corr = Correlation.corr(vectors, "v").first()[0].toArray()
-    cov = np.nan_to_num(corr) * np.outer(sd, sd)
-    np.fill_diagonal(cov, sd**2)
-    return np.asarray(summary["mean"].toArray()), cov
+def moments(rows: DataFrame, features: str) -> DataFrame:
+    """One row: ``n``, ``shift``, and sums of shifted vectors (``s``) and of their outer products (``outer``, row-major).
+
+    Every partition adds up its rows, ``BRANCHES`` tasks add up partitions.  The shift is any
+    one vector; it keeps the sums near the size of the spread.
+    """
+    vectors = rows.select(F.col(features).cast("array<double>").alias("x")).where("x is not null")
+    some = vectors.first()
+    if some is None:
+        raise ValueError("a covariance needs rows")
+    shift = np.asarray(some["x"])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros(1 + len(shift) + len(shift) ** 2)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy()) - shift
+                acc += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+        yield pd.DataFrame({"branch": [TaskContext.get().partitionId() % BRANCHES], "sums": [acc]})
+
+    partial = vectors.mapInPandas(sums, "branch int, sums array<double>")
+    for by in (["branch"], []):
+        partial = partial.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    d = len(shift)
+    return partial.select(
+        F.element_at("sums", 1).alias("n"), F.lit(shift.tolist()).alias("shift"), F.slice("sums", 2, d).alias("s"), F.slice("sums", 2 + d, d * d).alias("outer")
+    )
 
 
 def covariance_table(rows: DataFrame, features: str) -> DataFrame:
-    """``i, j, cov``: the covariance as a table (d x d rows)."""
-    _, cov = covariance(rows, features)
-    spark = rows.sparkSession
-    i, j = np.indices(cov.shape)
-    return spark.createDataFrame(pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "cov": cov.ravel()}))
+    """``i, j, cov``: the sample covariance as a table (d x d rows; one row of input: zeros)."""
+    cells = moments(rows, features).select("n", "s", F.size("s").alias("_d"), F.posexplode("outer").alias("_k", "_o"))
+    i, j = F.floor(F.col("_k") / F.col("_d")).cast("long"), (F.col("_k") % F.col("_d")).cast("long")
+    cells = cells.withColumn("i", i).withColumn("j", j)
+    product = F.element_at("s", (F.col("i") + 1).cast("int")) * F.element_at("s", (F.col("j") + 1).cast("int"))
+    return cells.select("i", "j", F.coalesce(F.try_divide(F.col("_o") - product / F.col("n"), F.col("n") - 1), F.lit(0.0)).alias("cov"))
+
+
+def covariance(rows: DataFrame, features: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean (d) and sample covariance (d x d) on the driver, for its eigenvalues; d is the vector length."""
+    found = moments(rows, features).first()
+    n, s, d = found["n"], np.asarray(found["s"]), len(found["s"])
+    cov = (np.asarray(found["outer"]).reshape(d, d) - np.outer(s, s) / n) / max(1.0, n - 1)
+    return np.asarray(found["shift"]) + s / n, cov
 
 
 def matrix_power(matrix: np.ndarray, power: float, eps: float = CORAL_EPS) -> np.ndarray:

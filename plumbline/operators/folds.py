@@ -199,17 +199,27 @@ def subject_rules(circle: DataFrame, val_size=loso_val_size, folds: Sequence[int
     return settle(spread.join(tests, "fold").select(subject, "fold", role.alias("split"), "test_subject"))
 
 
+def entity_counts(rows: DataFrame, subject: str = "subject_key", trial: str = "trial_key", label: str = "target_label") -> DataFrame:
+    """``subject, kind, value, n``: per subject its rows by class, its distinct trials, and itself; input of :func:`fold_composition`."""
+    small = rows.groupBy(subject, trial, label).agg(F.count(F.lit(1)).alias("n"))
+    by_class = small.groupBy(subject, F.lit("row").alias("kind"), F.col(label).alias("value")).agg(F.sum("n").alias("n"))
+    trials = small.groupBy(subject, F.lit("trial").alias("kind"), F.lit("").alias("value")).agg(F.count_distinct(trial).alias("n"))
+    own = small.select(subject).distinct().select(subject, F.lit("subject").alias("kind"), F.lit("").alias("value"), F.lit(1).cast("long").alias("n"))
+    return by_class.unionByName(trials).unionByName(own)
+
+
 def fold_composition(
-    rows: DataFrame, circle: DataFrame, cells: Sequence[str], val_size=loso_val_size
+    rows: DataFrame, circle: DataFrame, cells: Sequence[str], val_size=loso_val_size, n: str | None = None
 ) -> DataFrame:
     """Rows per (fold, cell) and role for every fold, without pairing subjects.
 
     Training counts are total minus own minus the validation arc; the arc is the
     difference of two running totals around the circle.  ``cells`` are low-cardinality
-    columns such as the label.  Returns ``fold, subject, *cells, test, val, train``.
+    columns such as the label; ``n`` a column of counts, where rows are counted already.
+    Returns ``fold, subject, *cells, test, val, train``.
     """
     subject = circle.columns[0]
-    counts = settle(rows.groupBy(subject, *cells).agg(F.count(F.lit(1)).alias("_n")))
+    counts = settle(rows.groupBy(subject, *cells).agg((F.sum(n) if n else F.count(F.lit(1))).alias("_n")))
     kinds = counts.select(*cells).distinct().agg(F.collect_list(F.struct(*cells))).scalar()
     grid = circle.withColumn("_kinds", kinds).select(
         subject, "fold", "pos", "n", F.explode("_kinds").alias("_c")
@@ -286,6 +296,15 @@ def stimulus_composition(rows: DataFrame, circle: DataFrame, groups: int, label:
     )
 
 
+def stimulus_sides(met: DataFrame, circle: DataFrame, groups: int) -> DataFrame:
+    """``protocol, fold, stimulus_key, in_fit, in_test`` of both conditions, from which subject met which stimulus (distinct pairs)."""
+    cells = fold_composition(met, circle, ["stimulus_key", "stimulus_group"], stimulus_val_size)
+    spread = cells.withColumn("protocol", F.explode(F.array(*[F.lit(c) for c in CONDITIONS])))
+    tested = (F.col("stimulus_group") == held_group("fold", groups)) & (F.col("test") > 0)
+    pooled = (F.col("stimulus_group") != excluded_group("protocol", "fold", groups)) & (F.col("val") + F.col("train") > 0)
+    return spread.groupBy("protocol", "fold", "stimulus_key").agg(F.bool_or(pooled).alias("in_fit"), F.bool_or(tested).alias("in_test"))
+
+
 # -- rows -------------------------------------------------------------------------------
 
 

@@ -58,29 +58,45 @@ def _by_shape(batch: pd.Series):
         yield positions
 
 
+def counter_uniform(seed: int, keys: np.ndarray, width: int) -> np.ndarray:
+    """Numbers in [0, 1) per key and counter 0 .. width - 1: a bit mixer over (seed, key, counter), no generator state.
+
+    Every number depends on these three alone, so a row has the same ones in any batch.
+    """
+    counter = np.arange(width, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = _mixed(np.uint64(seed % 2**64) + keys.astype(np.int64).astype(np.uint64))[:, None] + counter
+    return (_mixed(x) >> np.uint64(11)) * 2.0**-53
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    # Shifts and factors of the published 64-bit finaliser of split-mix generators.
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def phase_random(signal: Column | str, seed: int, key: Column | str = "row_index") -> Column:
     """Fourier surrogate with one random phase per frequency shared by all channels.
 
     Magnitudes and cross-spectra are kept; the mean and, for an even length, the highest
-    bin keep their phase.  The phases of a row come from a generator seeded by seed + row.
+    bin keep their phase.  The phases of a batch are one call of :func:`counter_uniform`.
     """
 
     @F.pandas_udf("array<array<double>>")
     def surrogate(windows: pd.Series, keys: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(windows), index=windows.index, dtype=object)
+        parts = []
         for positions in _by_shape(windows):
             x = _stack(windows.loc[positions])
             spectrum = np.fft.rfft(x, axis=-1)
-            phases = np.stack(
-                [np.random.default_rng(seed + int(k)).uniform(0.0, 2 * np.pi, spectrum.shape[-1]) for k in keys.loc[positions]]
-            )
+            phases = 2 * np.pi * counter_uniform(seed, keys.loc[positions].to_numpy(), spectrum.shape[-1])
             phases[:, 0] = 0.0
             if x.shape[-1] % 2 == 0:
                 phases[:, -1] = 0.0
             turned = np.fft.irfft(spectrum * np.exp(1j * phases)[:, None, :], n=x.shape[-1], axis=-1)
-            for p, w in zip(positions, turned, strict=True):
-                out.at[p] = [list(c) for c in w]
-        return out
+            parts.append(pd.Series(turned.tolist(), index=positions))
+        return pd.concat(parts).loc[windows.index] if parts else pd.Series([], dtype=object)
 
     return surrogate(_column(signal), _column(key))
 

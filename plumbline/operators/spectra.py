@@ -51,15 +51,14 @@ def band_power(signal: Column | str, sfreq: float, bands: dict[str, tuple[float,
 
     @F.pandas_udf("array<double>")
     def power(windows: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(windows), index=windows.index, dtype=object)
+        parts = []
         for positions in _by_shape(windows):
             x = _stack(windows.loc[positions])
             density = welch(x, sfreq)
             masks = band_bins(x.shape[-1], sfreq, bands).values()
             means = np.concatenate([density[..., m].mean(axis=-1) for m in masks], axis=-1)
-            for p, row in zip(positions, means, strict=True):
-                out.at[p] = list(row)
-        return out
+            parts.append(pd.Series(means.tolist(), index=positions))
+        return pd.concat(parts).loc[windows.index] if parts else pd.Series([], dtype=object)
 
     return power(F.col(signal) if isinstance(signal, str) else signal)
 

@@ -144,7 +144,7 @@ def encoder_spaces(spark, sf) -> tuple[DataFrame, DataFrame]:
 @query("matched_space_probes")
 def _spaces(spark, sf):
     spaces, meta = encoder_spaces(spark, sf)
-    return rounded(probes.probe_spaces(spaces, meta, ["session_key"], SEED, ["encoder_id", "space"]), 4)
+    return rounded(probes.probe_spaces(spaces, meta, ["subject_key", "stimulus_key", "session_key"], SEED, ["encoder_id", "space"]), 4)
 
 
 @query("label_permutation_null")

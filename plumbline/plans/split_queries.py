@@ -532,8 +532,9 @@ places AS (
 SELECT protocol, fold, count(*) FILTER (t AND f) AS shared, count(*) FILTER (t AND NOT f) AS uncovered FROM places GROUP BY ALL""",
 )
 def _stimulus_audit(spark, sf):
-    seen = audits.sides(stimulus_rows(spark, sf), "stimulus_key", ("protocol", "fold"))
-    return seen.groupBy("protocol", "fold").agg(
+    rows = nation_rated(spark, sf)
+    met = rows.select("subject_key", "stimulus_key", "stimulus_group").distinct()
+    return folds.stimulus_sides(met, folds.subject_circle(rows, SEED), 3).groupBy("protocol", "fold").agg(
         F.count_if(F.col("in_test") & F.col("in_fit")).alias("shared"),
         F.count_if(F.col("in_test") & ~F.col("in_fit")).alias("uncovered"),
     )
@@ -563,7 +564,10 @@ SELECT 'dreamer' AS dataset, 'valence' AS target, 'leave_one_subject_out' AS pro
 FROM ordered JOIN roles USING (subject_key) GROUP BY fold, split""",
 )
 def _split_summary(spark, sf):
-    return audits.split_summary(nation_loso_rows(spark, sf), ["dataset", "target", "protocol", "fold", "split"])
+    rows = nation_rated(spark, sf)
+    counts = folds.fold_composition(folds.entity_counts(rows), folds.subject_circle(rows, SEED), ["kind", "value"], n="n")
+    named = {"dataset": F.lit("dreamer"), "target": F.lit("valence"), "protocol": F.lit("leave_one_subject_out")}
+    return audits.composed_summary(counts, ["fold"]).withColumns(named)
 
 
 @query(
@@ -574,8 +578,10 @@ SELECT fold, count(*) FILTER (target_label = 'high_valence') AS high_valence,
 FROM assigned WHERE split = 'test' AND protocol = 'loso_stimulus_seen' GROUP BY fold""",
 )
 def _test_support(spark, sf):
-    seen = stimulus_rows(spark, sf).where(F.col("protocol") == folds.SEEN)
-    return audits.test_support(seen, ["high_valence", "low_valence"])
+    rows = nation_rated(spark, sf)
+    seen = folds.stimulus_composition(rows, folds.subject_circle(rows, SEED), 3).where(F.col("protocol") == folds.SEEN)
+    tested = seen.where("test > 0").groupBy("fold").pivot("target_label", ["high_valence", "low_valence"]).agg(F.sum("test"))
+    return tested.fillna(0, ["high_valence", "low_valence"])
 
 
 @query(
@@ -589,7 +595,9 @@ SELECT count(*) AS n_folds, count(*) FILTER (test_classes < 2) AS folds_missing_
        min(test_trials) AS min_test_trials, round(avg(train_rows), 6) AS mean_train_rows FROM per""",
 )
 def _support_report(spark, sf):
-    out = audits.support_report(nation_loso_rows(spark, sf), 2)
+    rows = nation_rated(spark, sf)
+    counts = folds.fold_composition(folds.entity_counts(rows), folds.subject_circle(rows, SEED), ["kind", "value"], n="n")
+    out = audits.composed_support(audits.composed_summary(counts, ["fold"]), 2)
     return out.withColumn("mean_train_rows", F.round("mean_train_rows", 6))
 
 

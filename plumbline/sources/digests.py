@@ -37,8 +37,10 @@ def partition_line() -> Column:
 
 
 def label_digest(df: DataFrame, key: str = "row_index", label: str = "target_label", by: Sequence[str] = ()) -> DataFrame:
-    """Of the lines ``key TAB label``; :func:`duplicate_keys` says whether the vector has repeated keys."""
-    return multiset_digest(df, label_line(key, label), by)
+    """Of the lines ``key TAB label``, one per key; a repeated key stops the digest with an error (:func:`duplicate_keys` lists them)."""
+    per_key = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_copies"), F.min(label_line(key, label)).alias("_line"))
+    repeated = F.raise_error(F.concat(F.lit("label vector repeats key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")
+    return multiset_digest(per_key, F.when(F.col("_copies") == 1, F.col("_line")).otherwise(repeated), by)
 
 
 def partition_digest(assignments: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -89,6 +89,15 @@ def test_digest_follows_its_definition(spark):
     assert digests.duplicate_keys(df.unionByName(df.limit(1))).count() == 1 and digests.duplicate_keys(df).count() == 0
 
 
+@pytest.mark.parametrize("second", ["l1", "l0"])
+def test_label_digest_stops_on_repeated_keys(spark, second):
+    """Also where the copies agree, and only inside one vector."""
+    df = spark.createDataFrame([(1, "l1", "a"), (2, "l0", "a"), (1, second, "b")], "row_index long, target_label string, part string")
+    with pytest.raises(Exception, match="repeats key 1"):
+        digests.label_digest(df).collect()
+    assert digests.label_digest(df, by=["part"]).count() == 2
+
+
 def test_multiset_digest_ignores_order_only(spark):
     df = spark.range(500).select(F.col("id").alias("row_index"), (F.col("id") % 3).cast("string").alias("target_label"))
     base = digests.label_digest(df).first()["digest"]

@@ -30,6 +30,14 @@ def test_phase_random_keeps_magnitude_and_cross_spectrum(spark, rng, n):
         assert np.array_equal(b, c)
 
 
+def test_phases_depend_on_seed_row_and_bin_alone():
+    keys = np.arange(-300, 3000)
+    a = signals.counter_uniform(3, keys, 129)
+    assert np.array_equal(a[100:105], signals.counter_uniform(3, keys[100:105], 129)) and np.array_equal(a[:, :7], signals.counter_uniform(3, keys, 7))
+    assert a.min() >= 0 and a.max() < 1 and abs(a.mean() - 0.5) < 0.002 and np.abs(np.exp(2j * np.pi * a).mean(axis=0)).max() < 0.08
+    assert abs(np.corrcoef(a[:-1].ravel(), a[1:].ravel())[0, 1]) < 0.01 and not np.array_equal(a, signals.counter_uniform(4, keys, 129))
+
+
 def test_reverse_and_shuffle(spark, rng):
     x = [wave(rng, 256), wave(rng, 256)]
     reversed_ = back(frame(spark, x).withColumn("signal", signals.apply_mode("signal", "time_reverse", 1)))

@@ -177,3 +177,40 @@ def test_permutation_keeps_histograms(rows):
     before, after = counts(out, "fold", "permutation", "target_label"), counts(out, "fold", "permutation", "permuted_label")
     assert before == after
     assert out.where("target_label <> permuted_label").count() > 0
+
+
+def test_role_audit_finds_what_three_audits_find(spark):
+    rows = [(1, 0, "t0", "s0", "train"), (1, 1, "t0", "s0", "test"), (1, 2, "t1", "s1", "test"), (1, 2, "t1", "s1", "test"), (2, 0, "t0", "s0", "train"), (2, 1, None, "s0", "test"), (2, 3, None, "s2", "val")]
+    df = spark.createDataFrame(rows, "fold int, row_index long, trial_key string, subject_key string, split string")
+    got = {(r["fold"], r["kind"], r["value"]) for r in audits.role_audit(df, ["trial_key", "subject_key"]).collect()}
+    want = {(r["fold"], "row_index", str(r["row_index"])) for r in df.groupBy("fold", "row_index").count().where("count > 1").collect()}
+    for entity in ("trial_key", "subject_key"):
+        want |= {(r["fold"], entity, r[entity]) for r in audits.leaks(df, entity).collect()}
+    assert got == want and len(want) == 5
+    assert audits.role_audit(df, ["trial_key", "subject_key"])._jdf.queryExecution().executedPlan().toString().count("Scan") <= 1
+
+
+def test_summaries_from_entities_equal_those_from_rows(many):
+    circle = folds.subject_circle(many, 3)
+    assigned = folds.assign_rows(many, folds.subject_rules(circle), ["subject_key"])
+    counts_ = folds.fold_composition(folds.entity_counts(many), circle, ["kind", "value"], n="n")
+    summary = audits.composed_summary(counts_, ["fold"])
+    plain = audits.split_summary(assigned, ["fold", "split"])
+    assert sorted(map(tuple, summary.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert tuple(audits.composed_support(summary, 2).first()) == tuple(audits.support_report(assigned, 2).first())
+
+
+@pytest.mark.parametrize("bits", [0, 3, 12])
+def test_matching_by_intervals_equals_matching_of_rows(many, bits, monkeypatch):
+    """Limits from counted pieces keep the same rows as ranking rows x folds, at any number of pieces."""
+    from plumbline.operators import matching
+
+    monkeypatch.setattr(matching, "PIECE_BITS", bits)
+    circle = folds.subject_circle(many, 3)
+    assigned = folds.assign_rows(many, folds.stimulus_rules(circle, 3), ["subject_key", "stimulus_group"])
+    columns = ["protocol", "fold", "split", "target_label", "row_index"]
+    want = sampling.match_conditions(assigned.select(*columns), 7)
+    got = matching.match_rows(many, circle, 3, 7)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    audit = matching.match_audit(many, circle, 3, 7).first()
+    assert (audit["n_rows"], audit["test_rows_differ"], audit["classes_differ"]) == (want.count(), 0, 0)
