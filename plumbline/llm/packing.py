@@ -1,8 +1,10 @@
 """Packing: length buckets with least padding, and token-budget batches inside each.
 
-A histogram of all lengths (at most a few thousand cells, see ``cell``) goes to the driver;
-dynamic programming picks the ``buckets`` boundaries that minimise the padding of the
-whole corpus.  Every document pads to the boundary of its bucket, and a batch takes as
+The histogram of all lengths goes to the driver, one row per distinct length: L different lengths need at least
+L (L + 1) / 2 tokens, so T tokens have less than sqrt(2 T) of them, 14 million for 100 TB of bytes.
+Dynamic programming picks the ``buckets`` boundaries that minimise the padding of the whole corpus over all
+lengths; the costs are Monge, so the best last cut moves one way with the length and
+divide and conquer finds a layer in n log n steps.  Every document pads to the boundary of its bucket, and a batch takes as
 many documents as the token budget allows at that boundary.  Places inside a
 bucket follow a seeded draw and come from counted cuts (``ranks.gapless``), so a bucket
 that holds a third of all documents is not one task.
@@ -22,8 +24,6 @@ from plumbline.llm.ranks import gapless
 
 BUCKETS = 32
 TOKEN_BUDGET = 65_536
-#: Leading bits of a length that tell cells apart: lengths below 512 exactly, longer ones to 0.4 per cent.
-CELL_BITS = 9
 
 
 def byte_tokens(text: Column) -> Column:
@@ -31,36 +31,51 @@ def byte_tokens(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def cell(length: Column) -> Column:
-    """A length without all but its ``CELL_BITS`` leading bits: at most 2**8 cells per power of two."""
-    spare = F.greatest(F.length(F.bin(length)) - CELL_BITS, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", length, spare), spare)
+def _layer(best: np.ndarray, lengths: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more bucket: least padding of the first j lengths, and where its last bucket starts, for every j.
 
-
-def best_boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> tuple[list[int], int]:
-    """Boundaries (largest lengths of the buckets) of least padding, and that padding.
-
-    Cells are in ascending order; ``longest`` is the largest length in each.  best[k][j] is
-    the least padding of the first j cells in k buckets.
+    All middles of one level of the recursion are searched side by side.
     """
-    n = len(longest)
-    rows, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sums)])
-    unreached = np.iinfo(np.int64).max // 4
-    best = np.full(n + 1, unreached, np.int64)
+    n = len(lengths)
+    after, picked = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    low, high, first, last = np.array([1]), np.array([n]), np.array([0]), np.array([n - 1])
+    while len(low):
+        middle = (low + high) // 2
+        tried = np.minimum(last, middle - 1) - first + 1
+        starts = np.concatenate([[0], np.cumsum(tried)[:-1]])
+        i = np.arange(tried.sum()) - np.repeat(starts - first, tried)
+        j = np.repeat(middle, tried)
+        padding = best[i] + lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
+        least = np.minimum.reduceat(padding, starts)
+        hit = np.flatnonzero(padding == np.repeat(least, tried))
+        at = i[hit[np.searchsorted(hit, starts)]]
+        after[middle], picked[middle] = least, at
+        low, high, first, last = (
+            np.concatenate(x) for x in ((low, middle + 1), (middle - 1, high), (first, at), (at, last))
+        )
+        some = low <= high
+        low, high, first, last = low[some], high[some], first[some], last[some]
+    return after, picked
+
+
+def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[list[int], int]:
+    """Boundaries (largest lengths) of at most ``buckets`` buckets with least padding, and that padding.
+
+    ``lengths`` are distinct and ascending.
+    """
+    n = len(lengths)
+    rows, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    best = np.full(n + 1, np.iinfo(np.int64).max // 4, np.int64)
     best[0] = 0
     choice = []
     for _ in range(min(buckets, n)):
-        after, picked = np.full(n + 1, unreached, np.int64), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            padding = best[:j] + longest[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            picked[j] = np.argmin(padding)
-            after[j] = padding[picked[j]]
-        best = after
+        best, picked = _layer(best, lengths, rows, tokens)
         choice.append(picked)
     edges, j = [], n
     for picked in reversed(choice):
-        edges.append(int(longest[j - 1]))
-        j = picked[j]
+        if j:
+            edges.append(int(lengths[j - 1]))
+            j = picked[j]
     return edges[::-1], int(best[n])
 
 
@@ -74,14 +89,11 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         (byte_tokens(F.col(text_column)) if length is None else length.cast("long")).alias("n_tokens"),
         F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("_draw"),
     )
-    histogram = rows.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(
-        F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")
-    )
-    cells = np.array([tuple(r)[1:] for r in histogram.orderBy("cell").collect()], np.int64).reshape(-1, 3)
-    longest, counts, sums = cells.T
-    edges = best_boundaries(longest, counts, sums, buckets)[0] if len(cells) else [1]
+    histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
+    lengths, counts = (histogram.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "n"))
+    edges = best_boundaries(lengths, counts, buckets)[0] if len(lengths) else [1]
     per_batch = [max(1, budget // e) for e in edges]
-    in_bucket = [int(counts[(longest <= e) & (longest > before)].sum()) for before, e in zip([0, *edges], edges, strict=False)]
+    in_bucket = [int(counts[(lengths <= e) & (lengths > before)].sum()) for before, e in zip([0, *edges], edges, strict=False)]
     batches = [-(-n // p) for n, p in zip(in_bucket, per_batch, strict=True)]
     first_batch = [sum(batches[:k]) for k in range(len(batches))]
     values = lambda x: F.array(*[F.lit(v).cast("long") for v in x])  # noqa: E731  at most ``buckets`` numbers

@@ -238,7 +238,7 @@ def test_blocks_of_items_give_what_one_block_gives(spark, sf):
 def test_boundaries_are_optimal(lengths, buckets):
     counts = Counter(lengths)
     cells = sorted(counts)
-    edges, padding = packing.best_boundaries(np.array(cells), np.array([counts[c] for c in cells]), np.array([c * counts[c] for c in cells]), buckets)
+    edges, padding = packing.best_boundaries(np.array(cells), np.array([counts[c] for c in cells]), buckets)
 
     def cost(chosen):
         return sum(min(e for e in chosen if e >= x) - x for x in lengths)
@@ -247,6 +247,21 @@ def test_boundaries_are_optimal(lengths, buckets):
     assert padding == best == cost(edges) and len(edges) <= buckets
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 7, 32])
+def test_boundaries_of_long_lengths_are_optimal(buckets):
+    """Lengths far above 512, against a plain table of all cuts."""
+    rng = np.random.default_rng(buckets)
+    lengths = np.unique(np.concatenate([rng.integers(1, 800, 150), rng.lognormal(8, 1, 250).astype(int) + 500]))
+    counts = rng.integers(1, 40, len(lengths))
+    rows, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    best = [0] + [1 << 60] * len(lengths)
+    for _ in range(buckets):
+        best = [0] + [min(best[i] + int(lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])) for i in range(j)) for j in range(1, len(best))]
+    edges, padding = packing.best_boundaries(lengths, counts, buckets)
+    of = np.asarray(edges)[np.searchsorted(edges, lengths)]
+    assert padding == best[-1] == int((counts * (of - lengths)).sum()) and len(edges) <= buckets
+
+
 def test_documents_beyond_the_budget_have_their_own_batch(spark):
     docs = spark.createDataFrame([(k, "x" * n) for k, n in enumerate([5, 5, 9, 300, 400, 0])], "doc_id long, text string")
     got = {r["doc_id"]: r for r in packing.pack(docs, buckets=3, budget=50).collect()}
