@@ -165,6 +165,12 @@ def align(source: DataFrame, target: DataFrame, how: str, n_bands: int = 1, n_ch
     raise ValueError(f"unknown alignment {how!r}")
 
 
+def trial_rows(windows: DataFrame, trial: str = "trial_key") -> DataFrame:
+    """One row per trial: mean features, with number, subject and label of its first window."""
+    means = features.trial_means(windows, [trial], "features", ["row_index", "subject_key", "target_label"])
+    return means.select("row_index", "subject_key", "target_label", "features")
+
+
 def run_transfer(
     source: DataFrame,
     target: DataFrame,
@@ -177,7 +183,8 @@ def run_transfer(
     """Train on every source trial, test on every target trial: predictions per alignment and loss.
 
     Both inputs have ``row_index, subject_key, target_label, features``, with row numbers
-    unique over the two.  Returns ``method, row_index, subject_key, y_true, y_pred``.
+    unique over the two; give trials (:func:`trial_rows`).  The intercept is penalised like a weight in both losses.
+    Returns ``method, row_index, subject_key, y_true, y_pred``.
     """
     out = None
     for how in hows:
@@ -186,7 +193,7 @@ def run_transfer(
             left.withColumn("split", F.lit("train")).unionByName(right.withColumn("split", F.lit("test"))).withColumn("fold", F.lit(1))
         )
         for loss in losses:
-            predicted = linear.fit_predict(both, both.select("row_index", "features"), classes, loss)
+            predicted = linear.fit_predict(both, both.select("row_index", "features"), classes, loss, intercept_ridge=1.0)
             named = predicted.join(both.select("row_index", "subject_key"), "row_index").select(
                 F.lit(f"{how}_{loss}").alias("method"), "row_index", "subject_key", "y_true", "y_pred"
             )

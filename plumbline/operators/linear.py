@@ -118,18 +118,17 @@ def _pass(table: DataFrame, loss: str, points: np.ndarray, mean: np.ndarray, sd:
     return {p: (s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)) for p, s in found.items()}
 
 
-def solve(table: DataFrame, n_problems: int, loss: str, c: float = 1.0, max_steps: int = MAX_STEPS) -> Solution:
+def solve(table: DataFrame, n_problems: int, loss: str, c: float = 1.0, max_steps: int = MAX_STEPS, intercept_ridge: float | None = None) -> Solution:
     """Minimise ``0.5 |w|^2 + C * sum(weight * loss)`` on features standardised per problem.
 
     Logistic: log loss, free intercept.  SVM: squared hinge, the intercept is penalised
-    like a weight.  Newton steps with halving, until the gradient vanishes; a problem
+    like a weight.  ``intercept_ridge`` sets that penalty otherwise.  Newton steps with halving, until the gradient vanishes; a problem
     whose gradient does not vanish within ``max_steps`` is marked, never passed as solved.
     """
     mean, sd = _scales(table, n_problems)
     d = mean.shape[1] + 1
     ridge = np.ones(d)
-    if loss == LOGISTIC:
-        ridge[-1] = 0.0
+    ridge[-1] = float(loss != LOGISTIC) if intercept_ridge is None else intercept_ridge
     here = np.zeros((n_problems, d))
     step = np.zeros((n_problems, d))
     value = np.full(n_problems, np.inf)
@@ -214,6 +213,7 @@ def fit_predict(
     test_label: str | None = None,
     balanced: bool = True,
     on: str = "test",
+    intercept_ridge: float | None = None,
 ) -> DataFrame:
     """``unit, row_index, y_true, y_pred, converged`` of a linear model per unit (fold, or fold and permutation).
 
@@ -236,7 +236,7 @@ def fit_predict(
             mine = assignments.join(F.broadcast(index), unit, "left_semi")
         train = mine.where(F.col("split") == "train")
         table = training_table(features, design.members(train, unit, label, balanced), design.n_problems)
-        solution = solve_softmax(table, design.n_problems, len(classes)) if softmax else solve(table, design.n_problems, loss)
+        solution = solve_softmax(table, design.n_problems, len(classes)) if softmax else solve(table, design.n_problems, loss, intercept_ridge=intercept_ridge)
         part = _predict(mine.where(F.col("split") == on), features, design, solution, unit, test_label or label)
         out = part if out is None else out.unionByName(part)
     return out

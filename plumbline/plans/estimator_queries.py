@@ -166,9 +166,9 @@ def _null(spark, sf):
 def domains(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Trials of two domains: odd and even stimuli."""
     rows = feature_windows(spark, sf).select(
-        "row_index", "subject_key", "target_label", F.col("spectral").alias("features"), F.col("stimulus_key").isin("trial_1", "trial_3").alias("_odd")
+        "row_index", "subject_key", "trial_key", "target_label", F.col("spectral").alias("features"), F.col("stimulus_key").isin("trial_1", "trial_3").alias("_odd")
     )
-    return rows.where("_odd").drop("_odd"), rows.where("not _odd").drop("_odd")
+    return evaluation.trial_rows(rows.where("_odd")), evaluation.trial_rows(rows.where("not _odd"))
 
 
 @query("cross_domain_transfer")

@@ -23,17 +23,19 @@ STEPS = 40
 #: Score, residual and curvature of one row, by loss; the first is the ridge on the intercept.
 LOSSES = {
     "logistic": (0.0, "1 / (1 + exp(y * s))", "1 / (1 + exp(y * s)) * (1 - 1 / (1 + exp(y * s)))"),
+    "ridge_logistic": (1.0, "1 / (1 + exp(y * s))", "1 / (1 + exp(y * s)) * (1 - 1 / (1 + exp(y * s)))"),
     "svm": (1.0, "2 * greatest(1 - y * s, 0)", "CASE WHEN y * s < 1 THEN 2.0 ELSE 0.0 END"),
 }
 
 
-def fitted_sql(name: str, train: str, test: str, loss: str) -> str:
+def fitted_sql(name: str, train: str, test: str, loss: str, stretch: str = "1") -> str:
     """CTEs ending in ``{name}(unit, row_index, score)``: test rows of ``test(unit, row_index, x1, x2)`` under the model of
-    ``train(unit, y, w, x1, x2)``; ``unit`` is one column."""
+    ``train(unit, y, w, x1, x2)``; ``unit`` is one column.  ``stretch``: factor of the standardised features (k equal copies of
+    a feature under the penalty are one feature times sqrt(k))."""
     ridge, residual, curvature = LOSSES[loss]
     return f"""{name}_scale AS (
   SELECT unit, avg(x1) AS m1, avg(x2) AS m2, coalesce(nullif(stddev_pop(x1), 0), 1) AS s1, coalesce(nullif(stddev_pop(x2), 0), 1) AS s2 FROM {train} GROUP BY unit),
-{name}_z AS (SELECT unit, y, w, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM {train} JOIN {name}_scale USING (unit)),
+{name}_z AS (SELECT unit, y, w, {stretch} * (x1 - m1) / s1 AS z1, {stretch} * (x2 - m2) / s2 AS z2 FROM {train} JOIN {name}_scale USING (unit)),
 {name}_newton AS (
   SELECT unit, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM {name}_scale
   UNION ALL
@@ -50,7 +52,7 @@ def fitted_sql(name: str, train: str, test: str, loss: str) -> str:
         SELECT n.*, y, w, z1, z2, a * z1 + b * z2 + c AS s FROM {name}_newton n JOIN {name}_z USING (unit) WHERE step < {STEPS}))
       GROUP BY unit, step, a, b, c))),
 {name} AS (
-  SELECT unit, row_index, a * (x1 - m1) / s1 + b * (x2 - m2) / s2 + c AS score
+  SELECT unit, row_index, {stretch} * (a * (x1 - m1) / s1 + b * (x2 - m2) / s2) + c AS score
   FROM {test} JOIN {name}_scale USING (unit) JOIN (SELECT * FROM {name}_newton WHERE step = {STEPS}) USING (unit))"""
 
 
@@ -120,15 +122,47 @@ def _null(spark, sf):
     return rounded(rows.select("model", F.col("fold").cast("long").alias("fold"), F.col("permutation").cast("long").alias("permutation"), "n_test", "balanced_accuracy"))
 
 
-TRANSFER_SQL = f"""RECURSIVE rows AS (
-  SELECT vec_id AS row_index, CASE WHEN label >= 5 THEN 'high_valence' ELSE 'low_valence' END AS target_label,
-         CASE WHEN floor(vec_id / 20) % 5 IN (1, 3) THEN 'train' ELSE 'test' END AS split FROM embeddings),
-pair AS (SELECT 1 AS unit, * FROM rows),
-{balanced_sql('lr', 'pair', 3)}, {fitted_sql('lr', 'lr_train', 'lr_test', 'logistic')},
-{balanced_sql('sv', 'pair', 3)}, {fitted_sql('sv', 'sv_train', 'sv_test', 'svm')},
+def root_sql(m: str) -> tuple[str, str, str]:
+    """The three entries of the square root of the symmetric 2 x 2 matrix with columns ``m11, m12, m22``."""
+    det = f"sqrt({m}11 * {m}22 - {m}12 * {m}12)"
+    size = f"sqrt({m}11 + {m}22 + 2 * {det})"
+    return f"({m}11 + {det}) / {size}", f"{m}12 / {size}", f"({m}22 + {det}) / {size}"
+
+
+#: Pooled over one channel, mean, minimum and maximum of a band are three copies of it (and the spread is constant).
+POOLED_COPIES = "CASE unit WHEN 4 THEN sqrt(3) ELSE 1 END"
+
+TRANSFER_SQL = f"""RECURSIVE windows AS (
+  SELECT vec_id AS row_index, CASE WHEN label >= 5 THEN 'high_valence' ELSE 'low_valence' END AS label, vec_id % 10 AS subject, floor(vec_id / 10) % 2 AS session,
+         floor(vec_id / 20) % 5 AS trial, embedding[3]::DOUBLE AS x1, embedding[4]::DOUBLE AS x2 FROM embeddings),
+rows AS (
+  SELECT min(row_index) AS row_index, arg_min(label, row_index) AS target_label, CASE WHEN trial IN (1, 3) THEN 'train' ELSE 'test' END AS split, avg(x1) AS x1, avg(x2) AS x2
+  FROM windows GROUP BY subject, session, trial),
+own AS (
+  SELECT split, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) + 1e-6 AS s1, stddev_pop(x2) + 1e-6 AS s2,
+         var_samp(x1) + 1e-5 AS c11, covar_samp(x1, x2) AS c12, var_samp(x2) + 1e-5 AS c22 FROM rows GROUP BY split),
+roots AS (SELECT split, m1, m2, {', '.join(f'{e} AS {n}' for e, n in zip(root_sql('c'), ('r11', 'r12', 'r22')))} FROM own),
+coral AS (
+  SELECT a.m1 AS a1, a.m2 AS a2, b.m1 AS b1, b.m2 AS b2,
+         (a.r22 * b.r11 - a.r12 * b.r12) / d AS k11, (a.r22 * b.r12 - a.r12 * b.r22) / d AS k12,
+         (a.r11 * b.r12 - a.r12 * b.r11) / d AS k21, (a.r11 * b.r22 - a.r12 * b.r12) / d AS k22
+  FROM (SELECT *, r11 * r22 - r12 * r12 AS d FROM roots WHERE split = 'train') a, (SELECT * FROM roots WHERE split = 'test') b),
+pair AS (
+  SELECT 1 AS unit, row_index, target_label, split, x1, x2 FROM rows
+  UNION ALL SELECT 2, row_index, target_label, split, (x1 - m1) / s1, (x2 - m2) / s2 FROM rows JOIN own USING (split)
+  UNION ALL SELECT 3, row_index, target_label, split, CASE WHEN split = 'train' THEN (x1 - a1) * k11 + (x2 - a2) * k21 + b1 ELSE x1 END,
+                   CASE WHEN split = 'train' THEN (x1 - a1) * k12 + (x2 - a2) * k22 + b2 ELSE x2 END FROM rows, coral
+  UNION ALL SELECT 4, row_index, target_label, split, x1, x2 FROM rows),
+tr_train AS (
+  SELECT unit, CASE WHEN target_label = 'low_valence' THEN 1.0 ELSE -1.0 END AS y,
+         count(*) OVER (PARTITION BY unit) / (2.0 * count(*) OVER (PARTITION BY unit, target_label)) AS w, x1, x2 FROM pair WHERE split = 'train'),
+tr_test AS (SELECT unit, row_index, x1, x2 FROM pair WHERE split = 'test'),
+{fitted_sql('lr', 'tr_train', 'tr_test', 'ridge_logistic', POOLED_COPIES)}, {fitted_sql('sv', 'tr_train', 'tr_test', 'svm', POOLED_COPIES)},
+named AS (SELECT 'logistic' AS loss, * FROM lr UNION ALL SELECT 'svm', * FROM sv),
 counts AS (
-  SELECT method, target_label AS y_true, CASE WHEN score > 0 THEN 'low_valence' ELSE 'high_valence' END AS y_pred, count(*) AS n
-  FROM (SELECT 'raw_logistic' AS method, * FROM lr UNION ALL SELECT 'raw_svm', * FROM sv) JOIN rows USING (row_index) GROUP BY ALL),
+  SELECT CASE unit WHEN 1 THEN 'raw_' WHEN 2 THEN 'znorm_' WHEN 3 THEN 'coral_' ELSE 'pooled_' END || loss AS method, target_label AS y_true,
+         CASE WHEN score > 0 THEN 'low_valence' ELSE 'high_valence' END AS y_pred, count(*) AS n
+  FROM named JOIN rows USING (row_index) GROUP BY ALL),
 {METRICS_SQL.format(by='method')}"""
 
 
@@ -137,11 +171,12 @@ counts AS (
     f"WITH {TRANSFER_SQL} SELECT method, n_test, round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy FROM scores",
 )
 def _transfer(spark, sf):
+    """Trials of two domains under every alignment and both losses."""
     rows = feature_windows(spark, sf).drop("spectral", "alpha").join(narrow_features(spark, sf), "row_index").select(
-        "row_index", "subject_key", "target_label", F.col("spectral").alias("features"), F.col("stimulus_key").isin("trial_1", "trial_3").alias("_odd")
+        "row_index", "subject_key", "trial_key", "target_label", F.col("spectral").alias("features"), F.col("stimulus_key").isin("trial_1", "trial_3").alias("_odd")
     )
-    source, target = rows.where("_odd").drop("_odd"), rows.where("not _odd").drop("_odd")
-    predicted = evaluation.run_transfer(source, target, CLASSES, ["raw"], ["logistic", "svm"])
+    source, target = evaluation.trial_rows(rows.where("_odd")), evaluation.trial_rows(rows.where("not _odd"))
+    predicted = evaluation.run_transfer(source, target, CLASSES, losses=["logistic", "svm"], n_bands=2, n_channels=1)
     scored = metrics.fold_metrics(metrics.prediction_counts(predicted, ["method"]), ["method"])
     return rounded(scored.select("method", "n_test", "accuracy", "balanced_accuracy"))
 
