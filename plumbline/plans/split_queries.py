@@ -332,7 +332,9 @@ pool AS (
 SELECT fold, subject_key, CASE WHEN place <= least(2, n - 1) THEN 'val' ELSE 'train' END AS split FROM pool""",
 )
 def _subject_resplit(spark, sf):
-    return sampling.resplit_subjects(nation_loso_rows(spark, sf), SEED, 2)
+    # Roles of subjects, not of rows: the re-split is a fact of entities.
+    rules = folds.subject_rules(folds.subject_circle(nation_rated(spark, sf), SEED))
+    return sampling.resplit_subjects(rules, SEED, 2)
 
 
 @query(
