@@ -112,7 +112,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id"])
     return judged.select("row.doc_id", *perplexity.RULES, "base_failed", "kept", "perplexity")
 
 

@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -134,18 +135,84 @@ def test_letters():
 # ---- perplexity
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    gram = np.unique(rng.integers(0, 6, (300, 4)) @ np.array([32**3, 32**2, 32, 1]))
-    levels = perplexity.fit(gram, rng.integers(1, 9, len(gram)))
-    for context in (int(gram[0]) >> 5, 31 * 1024 + 5, 0):
-        assert perplexity.probability(levels, (context << 5) + np.arange(32)).sum() == pytest.approx(1)
+TEXTS = [("en", "the cat sat on the mat. The dog sat."), ("en", "a cat and a dog sat on a mat"), ("en", "the dog"), ("el", "η γάτα"), ("el", "ο σκύλος 𝄞"), (None, "xyz"), ("en", ""), ("en", None)]
+
+
+def kneser_ney(texts: list[str], alphabet: int) -> Callable[[str], float]:
+    """Interpolated modified Kneser-Ney over strings of five characters, \x00 before a text, straight from the definition."""
+    order, counts = perplexity.ORDER, {}
+    counts[order] = Counter(("\x00" * (order - 1) + t)[k : k + order] for t in texts for k in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k: int, n: int) -> float:
+        t = [sum(c == j for c in counts[k].values()) for j in range(5)]
+        n = min(n, 3)
+        if t[1] + 2 * t[2] and t[n]:
+            d = n - (n + 1) * t[1] / (t[1] + 2 * t[2]) * t[n + 1] / t[n]
+            if 0 < d < n:
+                return d
+        return n / 2
+
+    def probability(gram: str) -> float:
+        if not gram:
+            return 1 / alphabet
+        k = len(gram)
+        follow = {g: c for g, c in counts[k].items() if g[:-1] == gram[:-1]}
+        if not follow:
+            return probability(gram[1:])
+        own = follow.get(gram, 0)
+        left = sum(discount(k, c) for c in follow.values())
+        return (own - (discount(k, own) if own else 0) + left * probability(gram[1:])) / sum(follow.values())
+
+    return probability
+
+
+def test_perplexity_equals_the_definition(spark):
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(TEXTS)], "doc_id long, lang string, text string")
+    half = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2))).collect()}
+    assert len({h for k, h in half.items() if TEXTS[k][0] == "en" and TEXTS[k][1]}) == 2
+    for r in perplexity.score(docs).collect():
+        lang, text = r["row"]["lang"], r["row"]["text"]
+        if not text:
+            assert r["nats"] is None
+            continue
+        mine = [(k, t) for k, (x, t) in enumerate(TEXTS) if x == lang and t]
+        chance = kneser_ney([t for k, t in mine if half[k] != half[r["row"]["doc_id"]]], len({c for _, t in mine for c in t}))
+        padded = "\x00" * (perplexity.ORDER - 1) + text
+        nats = [-math.log(chance(padded[k : k + perplexity.ORDER])) for k in range(len(text))]
+        assert r["nats"] == pytest.approx(sum(nats) / len(nats))
+
+
+def test_junk_in_any_script_is_outside_the_band(spark):
+    rng, rows = random.Random(5), []
+    for lang, first in (("ru", 0x430), ("zh", 0x4E00)):
+        words = ["".join(chr(first + rng.randrange(32)) for _ in range(rng.randint(2, 6))) for _ in range(200)]
+        rows += [(lang, " ".join(rng.choices(words, k=120)), True) for _ in range(60)]
+        rows += [(lang, " ".join("".join(chr(first + rng.randrange(32)) for _ in range(5)) for _ in range(120)), False) for _ in range(3)]
+    docs = spark.createDataFrame(rows, "lang string, text string, fine boolean")
+    for r in perplexity.judge(docs).collect():
+        assert not r["base_failed"]
+        assert r["kept"] == r["row"]["fine"]
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    text = "aé€𝄞 bc" * 50
+    batch = pa.record_batch({"text": [text]})
+    ((_, high, low),) = perplexity.text_grams(batch)
+    monkeypatch.setattr(perplexity, "PIECE", 37)
+    pieces = list(perplexity.text_grams(batch))
+    assert len(pieces) > 5
+    assert np.array_equal(np.concatenate([p[1] for p in pieces]), high)
+    assert np.array_equal(np.concatenate([p[2] for p in pieces]), low)
 
 
 def test_grams_start_anew_in_each_text():
-    found, starts = perplexity.grams(*utf8(pa.array(["ab", None, "éa", ""])))
-    assert starts.tolist() == [0, 2, 2, 4, 4]
-    assert found.tolist() == [1, 32 + 2, 28, 28 * 32 + 1]
+    ((rows, high, low),) = perplexity.text_grams(pa.record_batch({"text": ["ab", None, "é", ""]}))
+    a, b, e = (ord(c) + 1 for c in "abé")
+    assert rows.tolist() == [0, 0, 2]
+    assert high.tolist() == [0, 0, 0]
+    assert low.tolist() == [a, a << 21 | b, e]
 
 
 # ---- simhash
