@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.ranks import gapless
+from plumbline.llm.ranks import copies, gapless
 
 BUCKETS = 32
 TOKEN_BUDGET = 65_536
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         (byte_tokens(F.col(text_column)) if length is None else length.cast("long")).alias("n_tokens"),
-        F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("_draw"),
+        F.xxhash64(F.col(text_column)).alias("_hash"),
     )
     histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
     lengths, counts = (histogram.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "n"))
@@ -97,8 +97,9 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     batches = [-(-n // p) for n, p in zip(in_bucket, per_batch, strict=True)]
     first_batch = [sum(batches[:k]) for k in range(len(batches))]
     values = lambda x: F.array(*[F.lit(v).cast("long") for v in x])  # noqa: E731  at most ``buckets`` numbers
-    dealt = rows.withColumn("bucket", F.size(F.filter(values(edges), lambda e: e < F.col("n_tokens"))))
-    ranked = gapless(dealt, "bucket", "_draw", ["doc_id", "n_tokens"], "_rank", int(counts.sum()))
+    numbered = copies(rows, ["doc_id", "n_tokens", "_hash"], "_copy").withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id", "_hash", "_copy"))
+    dealt = numbered.withColumn("bucket", F.size(F.filter(values(edges), lambda e: e < F.col("n_tokens"))))
+    ranked = gapless(dealt, "bucket", "_draw", ["doc_id", "n_tokens", "_copy"], "_rank", int(counts.sum()))
     each = F.get(values(per_batch), F.col("bucket"))
     boundary = F.get(values(edges), F.col("bucket"))
     return ranked.select(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one sort of the second level holds on average.
 BUCKET_ROWS = 50_000
+#: Copies of a row that one array numbers.
+RUN = 1_000
 
 
 def leading(draw: Column, bits: int) -> Column:
@@ -34,3 +36,11 @@ def gapless(df: DataFrame, group: str, draw: str, ties: list[str], out: str, row
     inside = Window.partitionBy(group, "_cut").orderBy(draw, *ties)
     ranked = cut.join(offsets, [group, "_cut"]).withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
     return ranked.drop("_cut", "_offset")
+
+
+def copies(rows: DataFrame, key: list[str], out: str = "copy") -> DataFrame:
+    """The columns ``key`` of every row with a number ``out`` that tells equal rows apart, from 0; equal rows are counted before the shuffle."""
+    counted = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    runs = counted.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    each = F.sequence(F.col("_first"), F.least(F.col("_first") + RUN, F.col("_n")) - 1)
+    return runs.select(*key, F.explode(each).alias(out))

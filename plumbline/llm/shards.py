@@ -10,7 +10,7 @@ shard, and rows are permuted again inside the shard (``ranks.gapless``).
 
 All draws come from hashes of a seed, so a task that is run again deals the same rows.
 Law ``rows``: shard sizes differ by one row at most.  Defined results: a null text has size
-1 (its end byte) and the CRC-32 of an empty text; equal rows are dealt like different ones; an empty
+1 (its end byte) and the CRC-32 of an empty text; equal rows are numbered first and dealt like different ones; an empty
 table gives no rows.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.functions.settle import settle
-from plumbline.llm.ranks import bits_for, gapless, leading
+from plumbline.llm.ranks import bits_for, copies, gapless, leading
 
 #: Half width of the range that a draw considers, in standard deviations (beyond it: less than 1e-18).
 DEVIATIONS = 9
@@ -117,7 +117,8 @@ def shuffle(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    key = ["doc_id", "size", "text_crc32"]
+    rows = copies(rows, ["doc_id", "size", "text_crc32"])
+    key = ["doc_id", "size", "text_crc32", "copy"]
     rows = settle(rows.withColumn("draw", F.xxhash64(F.lit(seed), *key)))
     total = rows.count()
     bits = bits_for(total, part_rows)
@@ -133,4 +134,4 @@ def shuffle(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         F.size(F.filter("edges", lambda e: e < F.col("place"))).alias("shard"),
         F.xxhash64(F.lit(seed + 2), *key).alias("again"),
     )
-    return gapless(settle(sent), "shard", "again", key, "slot", total).drop("again")
+    return gapless(settle(sent), "shard", "again", key, "slot", total).drop("again", "copy")
