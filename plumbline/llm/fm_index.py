@@ -333,8 +333,8 @@ def _searched(patterns: Patterns, kept: list[str], again: bool):
 
 
 def item_blocks(items: DataFrame, id_column: str, text_column: str, size: int, most: int = ITEM_BLOCK_BYTES) -> Iterator[Patterns]:
-    """The benchmark in blocks of about ``most`` bytes of text."""
-    rows = items.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
+    """The distinct items of the benchmark in blocks of about ``most`` bytes of text; equal rows would all meet in one block."""
+    rows = items.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // most))
     for b in range(count):
