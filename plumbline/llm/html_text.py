@@ -4,7 +4,8 @@ Each element knows its characters, tags, link characters and link tags.  Its den
 characters per tag, adjusted by a logarithm whose base and argument weigh linked text; the
 density sum of an element adds the densities of its children.  Menus, headers, footers,
 asides, forms, scripts and what is named like an advert, notice or comment are left out
-first; a name counts if all words of one whole class, id or role are such, and never takes
+first; a name counts if one word of a class, id or role is such and the others only
+say what kind of part it is or where it stands (``comment-list``, ``sidebar-left``), and never takes
 most of the unlinked text unless another article stays.  The element of the largest density sum is the article; the lowest density on
 its path to the body is the threshold at which blocks beside the path belong to it too.  If the element lies in an
 ``article`` or ``main`` element, that whole element is taken.
@@ -56,6 +57,12 @@ NOT_ARTICLE = frozenset(
     "outbrain pager pagination paywall popup privacy promo promos promoted recommended related remark remarks reply replies responses search share sharing shoutbox "
     "sidebar sidebars sidenav signup skip skyscraper social sponsor sponsored sponsors subscribe subscription taboola toc toolbar topbar widget widgets".split()
 )
+#: Words beside them that only tell the kind, the place or the owner of a part.
+PLAIN_WORDS = frozenset(
+    "area aside bar block body bottom box card center col column container content count div feed foot form global group head heading holder inner item items "
+    "layer left line link links list main meta outer page panel post posts primary reader right row secondary section site slot small story stories thread title top "
+    "unit user users view wrap wrapper zone".split()
+)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -74,6 +81,12 @@ class Node:
     total: float = 0.0
 
 
+def named_like_other(words: list[str]) -> bool:
+    """Whether one word names a part that is not the article and the others say nothing else."""
+    lower = [w.lower() for w in words]
+    return any(w in NOT_ARTICLE for w in lower) and all(w in NOT_ARTICLE or w in PLAIN_WORDS for w in lower)
+
+
 def is_left_out(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element goes for what it is, and whether it is named like a part that goes."""
     if tag in LEFT_OUT:
@@ -84,8 +97,7 @@ def is_left_out(tag: str, attributes: str) -> tuple[bool, bool]:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id", "role"):
-            words = (NAME_WORD.findall(token) for token in value.split())
-            named_so |= any(ws and all(w.lower() in NOT_ARTICLE for w in ws) for ws in words)
+            named_so |= any(named_like_other(NAME_WORD.findall(token)) for token in value.split())
         gone |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
     return gone, named_so
 

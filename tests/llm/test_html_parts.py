@@ -28,3 +28,19 @@ def test_parts_that_go(attributes):
 @pytest.mark.parametrize("attributes", ["title='the hidden city'", "data-x='a hidden b'", "title='display:none'", "class='add'"])
 def test_values_are_not_names(attributes):
     assert html_text.main_text(f"<article>{BODY}<p {attributes}>More text</p></article>").split("\n") == [*STORY, "More text"]
+
+
+@pytest.mark.parametrize(
+    "name",
+    "post-comments comment-list comments-area comments-section user-comments comment-body reader-comments commentThread comments "
+    "sidebar-left site-footer cookie-bar ad-wrapper related-posts newsletter-box".split(),
+)
+@pytest.mark.parametrize("around", ["main", "div"])
+def test_names_of_other_parts(name, around):
+    other = f"<div class='{name}'><p>A reader says something here.</p></div>"
+    assert html_text.main_text(f"<body><{around}>{BODY}{other}</{around}></body>").split("\n") == STORY
+
+
+@pytest.mark.parametrize("name", ["post-content", "main-content", "article-body", "story", "entry-content left", "content-section", "commentary"])
+def test_names_of_the_article(name):
+    assert html_text.main_text(f"<body><main><div class='{name}'>{BODY}</div></main></body>").split("\n") == STORY
