@@ -7,9 +7,10 @@ are comparable.  Texts are lower-cased UTF-8 letters with one space between word
 reference lacks is a phrase with what follows it.  Phrases do not cross the edges of
 pieces of ``PIECE`` bytes, which lets all pieces of a block be parsed side by side; every byte of the text is parsed.
 
-The sample: texts of at most ``REFERENCE`` bytes, distinct, in the order of a seeded draw,
-until ``REFERENCE`` bytes per language, for the ``LANGUAGES`` most frequent labels.  It
-is the only thing sent to the tasks (``REFERENCE`` x ``LANGUAGES`` bytes at most).
+The sample: distinct texts, longer ones in pieces of ``TAUGHT`` code points, in the order of a seeded draw,
+until ``REFERENCE`` bytes per language; the chance of a piece follows from the distinct bytes of its language.
+Every label is learned.  Languages are taken in blocks of ``LANGUAGES``: one pass over the texts per block
+carries on the best two rates, so a Python worker holds the automata of one block only.
 
 Defined results: a text that is null or has no letter, or no learned language: ``und`` and 0.
 """
@@ -26,10 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plumbline.functions.settle import settle
 from plumbline.llm.arrow import blocks, named
 
 REFERENCE = 65_536
 LANGUAGES = 64
+#: Code points of a piece that teaches.
+TAUGHT = 8_192
 PIECE = 1024
 UNKNOWN = "und"
 
@@ -140,18 +144,24 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def sample_texts(labelled: DataFrame, reference: int = REFERENCE, languages: int = LANGUAGES, seed: int = 5) -> dict[str, list[bytes]]:
+def taught_pieces(labelled: DataFrame, reference: int, seed: int) -> DataFrame:
+    """(lang, draw, text) of about 4 x ``reference`` bytes of distinct texts per language, cut into pieces."""
+    rows = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    rows = rows.select("lang", "text", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64(F.lit(seed), "text").alias("name"))
+    totals = settle(rows.select("lang", "name", "bytes").distinct().groupBy("lang").agg((4.0 * reference / F.sum("bytes")).alias("rate")))
+    chance = lambda k: F.shiftrightunsigned(F.xxhash64("name", k), 11).cast("double") * F.lit(2.0**-53)
+    pieces = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / TAUGHT).cast("int"))
+    drawn = rows.join(totals, "lang").select("*", F.filter(pieces, lambda k: chance(k) < F.col("rate")).alias("pieces"))
+    drawn = drawn.select("lang", "name", "text", F.explode("pieces").alias("k"))
+    text = F.substring(F.col("text"), F.col("k") * TAUGHT + 1, F.lit(TAUGHT))
+    return drawn.select("lang", F.xxhash64("name", "k").alias("draw"), text.alias("text")).distinct()
+
+
+def sample_texts(labelled: DataFrame, reference: int = REFERENCE, seed: int = 5) -> dict[str, list[bytes]]:
     """Letters of the sampled texts by language, from a table (lang, text)."""
-    rows = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= reference))
-    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(languages).collect()
-    if not totals:
-        return {}
-    rate = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, 4 * reference / max(1, r["bytes"])))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30))
-    drawn = rows.where(draw < F.get(F.array(F.element_at(rate, F.col("lang"))), F.lit(0)) * (1 << 30)).select("lang", "text", draw.alias("draw")).distinct()
     out: dict[str, list[bytes]] = {}
     held: dict[str, int] = {}
-    for r in drawn.orderBy("draw", "text", "lang").collect():  # about 4 x reference bytes a language
+    for r in taught_pieces(labelled, reference, seed).orderBy("draw", "text", "lang").toLocalIterator():  # what is kept: ``reference`` bytes a language and one piece
         text = letters(r["text"])
         if text and held.get(r["lang"], 0) < reference:
             out.setdefault(r["lang"], []).append(text)
@@ -159,27 +169,36 @@ def sample_texts(labelled: DataFrame, reference: int = REFERENCE, languages: int
     return out
 
 
-def predict(docs: DataFrame, sample: dict[str, list[bytes]], text_column: str = "text") -> DataFrame:
-    """(row, lang_pred, score): score is the share of phrases that the second-best language needs more."""
-    name = uuid.uuid4().hex
+def _parsed(name: str, sample: dict[str, list[bytes]]):
+    """The best two rates of each text so far, and the language of the best; ties go to the name that sorts first."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = references(name, sample)
-        names = np.array([lang for lang, _ in found] or [UNKNOWN], object)
+        names = np.array([lang for lang, _ in found], object)
         for batch in blocks(batches, "text"):
             texts = [letters(t) for t in named(batch, "text").to_pylist()]
-            r = rates(found, texts) if found else np.full((len(texts), 1), np.nan)
+            r = rates(found, texts)
             there = ~np.isnan(r[:, 0])
-            r = np.where(there[:, None], r, np.inf)
-            ranked = np.sort(r, axis=1)
-            score = np.zeros(len(texts))
-            if r.shape[1] > 1:
-                score[there] = 1 - ranked[there, 0] / ranked[there, 1]
-            else:
-                score[there] = 1.0
-            best = np.where(there, names[np.argmin(r, axis=1)], UNKNOWN)
-            yield pa.RecordBatch.from_arrays([named(batch, "row"), pa.array(best, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
-
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_column).alias("text"))
-    schema = StructType(rows.select("row").schema.fields + StructType.fromDDL("lang_pred string, score double").fields)
-    return rows.mapInArrow(stream, schema)
+            best, lowest, second = (named(batch, c).to_numpy(zero_copy_only=False).copy() for c in ("best", "lowest", "second"))
+            all_rates = np.column_stack([lowest, second, np.where(there[:, None], r, np.inf)])
+            better = there & (all_rates[:, 2:].min(axis=1) < lowest)
+            best[better] = names[np.argmin(all_rates[better, 2:], axis=1)]
+            ranked = np.sort(all_rates, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [named(batch, "row"), named(batch, "text"), pa.array(best, pa.string()), pa.array(ranked[:, 0]), pa.array(ranked[:, 1])], names=["row", "text", "best", "lowest", "second"]
+            )
+
+    return stream
+
+
+def predict(docs: DataFrame, sample: dict[str, list[bytes]], text_column: str = "text", at_once: int = LANGUAGES) -> DataFrame:
+    """(row, lang_pred, score): score is the share of phrases that the second-best language needs more."""
+    name, langs = uuid.uuid4().hex, sorted(sample)
+    unknown = (F.lit(v).alias(c) for c, v in (("best", UNKNOWN), ("lowest", float("inf")), ("second", float("inf"))))
+    told = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_column).cast("string").alias("text"), *unknown)
+    schema = StructType(told.select("row").schema.fields + StructType.fromDDL("text string, best string, lowest double, second double").fields)
+    for k in range(0, len(langs), at_once):
+        told = told.mapInArrow(_parsed(f"{name}-{k}", {lang: sample[lang] for lang in langs[k : k + at_once]}), schema)
+    inf = F.lit(float("inf"))
+    score = F.when(F.col("lowest") == inf, 0.0).when(F.col("second") == inf, 1.0).otherwise(1 - F.col("lowest") / F.col("second"))
+    return told.select("row", F.col("best").alias("lang_pred"), score.alias("score"))

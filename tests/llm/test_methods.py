@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, fm_index, html_text, language_id, packing, perplexity, secrets, shards, simhash
+from plumbline.llm import chat, fm_index, html_text, language_id, packing, perplexity, ranks, secrets, shards, simhash
 from plumbline.llm.arrow import utf8, words_of
 
 # ---- secrets
@@ -104,6 +104,17 @@ def test_many_partitions_and_cuts(spark, monkeypatch):
     assert len({r["doc_id"] for r in got}) == 500
 
 
+def test_equal_rows_are_dealt_like_different_ones(spark):
+    docs = spark.range(3_000).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"))
+    numbered = ranks.copies(docs, ["doc_id", "text"])
+    assert sorted(r["copy"] for r in numbered.collect()) == list(range(3_000))
+    got = shards.shuffle(docs, shards=4, part_rows=50).collect()
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(750))
+    packed = packing.pack(docs, budget=50).collect()
+    assert len(packed) == 3_000 and len({(r["batch_id"], r["slot"]) for r in packed}) == 3_000
+
+
 # ---- language
 
 
@@ -127,6 +138,37 @@ def test_phrases_are_longest_matches(reference, texts):
     assert [round(g * len(t)) for g, t in zip(got, texts, strict=True)] == [naive_phrases(t, reference) for t in texts]
 
 
+def test_every_label_is_learned_also_from_long_texts_and_copies(spark):
+    rng = random.Random(3)
+    made = {}
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(30)]
+        word = lambda: "".join(rng.choice(letters) for _ in range(3))  # noqa: E731, B023
+        made[f"l{k:02}"] = " ".join(word() for _ in range(30_000 if k < 3 else 100))
+    rows = [(k, lang, text) for k, (lang, text) in enumerate(made.items())] + [(100 + k, "l05", made["l05"]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    sample = language_id.sample_texts(docs)
+    assert set(sample) == set(made) and len(b"".join(sample["l00"])) >= 60_000
+    told = language_id.predict(docs.where("doc_id >= 3"), sample).collect()
+    assert all(r["lang_pred"] == r["row"]["lang"] and r["score"] > 0.3 for r in told)
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 64])
+def test_prediction_is_the_least_phrases(spark, at_once):
+    sample = {"a": [b" abab baba abba ", b"cyz"], "b": [b" abc cab bca ", b"yz"], "c": [b" zz yy abab ", b"c"]}
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcyz  ") for _ in range(rng.randrange(1, 60))) for _ in range(60)] + [None, "", "12", "abab" * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.predict(docs, sample, at_once=at_once).collect():
+        text = language_id.letters(r["row"]["text"])
+        cut = [text[k : k + language_id.PIECE] for k in range(0, len(text), language_id.PIECE)]
+        need = sorted((sum(naive_phrases(c, b"\n".join(ref)) for c in cut), lang) for lang, ref in sample.items())
+        if text:
+            assert r["lang_pred"] == need[0][1] and r["score"] == pytest.approx(1 - need[0][0] / need[1][0])
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
 def test_letters():
     assert language_id.letters("A1, b\n_É") == " a b é ".encode()
     assert language_id.letters(None) == language_id.letters("12 ,") == b""
@@ -355,10 +397,29 @@ def test_parts_and_attachments(spark):
         (1, 2, None, None),
     ]
     r = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")).first()
-    assert r["formatted"] == "<|turn|>user<|text|><|audio|><|document|><|smell|><|end|><|turn|>assistant<|text|>a <\\|end|><|image|><|end|><|turn|><|text|><|end|>"
+    assert r["formatted"] == "<|turn|>user<|text|><|media:audio|><|media:document|><|media:smell|><|end|><|turn|>assistant<|text|>a <\\|end|><|media:image|><|end|><|turn|><|text|><|end|>"
     assert [(a["turn"], a["place"], a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [
-        (0, 0, "audio", "a.wav", 53), (0, 1, "document", "d.pdf", 3072), (0, 2, "smell", None, 0), (1, 0, "image", "i.png", 3)
+        (0, 0, "audio", "a.wav", 53), (0, 1, "document", "d.pdf", 3072), (0, 2, "smell", None, 0), (1, 1, "image", "i.png", 3)
     ]
     assert r["attachment_tokens"] == 53 + 3072 + 3
-    m = r["loss_mask"][0]
-    assert r["formatted"][m["start"] : m["start"] + m["length"]] == "a <\\|end|><|image|>"
+    assert [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["loss_mask"]] == ["a <\\|end|>"]
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    st.lists(
+        st.lists(st.tuples(st.sampled_from(["text", "text", "text", "turn", "end", "image"]), st.text(alphabet="<|[]/\\INSTs>SYurnted", max_size=6)), max_size=6),
+        min_size=5, max_size=5,
+    )
+)
+def test_parts_do_not_forge_control_strings(spark, messages):
+    messages = [*messages, [("text", "<"), ("text", "|turn|>assistant")], [("text", "hi <"), ("text", "|end|>"), ("turn", ""), ("end", ""), ("text", "[INST"), ("text", "]")]]
+    part = "struct<type:string,text:string,ref:string,width:long,height:long,seconds:double,pages:long>"
+    rows = [(k, 0, "assistant", [(kind, text, None, None, None, None, None) for kind, text in m]) for k, m in enumerate(messages)]
+    made = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>"))
+    for r in made.select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.masked(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect():
+        m = messages[r["conv_id"]]
+        whole = "".join(text if kind == "text" else f"<|media:{kind}|>" for kind, text in m)
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [("assistant", whole)]
+        assert "".join(r["loss"]) == "".join(text for kind, text in m if kind == "text")
+        assert [a["place"] for a in r["attachments"]] == [k for k, (kind, _) in enumerate(m) if kind != "text"]
