@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.settle import settle
 from plumbline.operators import audits, baselines, features, labels, linear, metrics, sampling, shuffles
+from plumbline.sources import runs
 from plumbline.sources.tables import covered_rows
 
 # Names of the models, with the feature column and the loss of each.
@@ -75,6 +76,38 @@ def predictions_of(
     return linear.fit_predict(assignments, columns, classes, loss, unit, label, test_label)
 
 
+def metrics_schema(assignments: DataFrame, unit: Sequence[str]) -> DataFrame:
+    """A table without rows that has the columns of a runner's result."""
+    kinds = {"model": "string", "fold": assignments.schema["fold"].dataType.simpleString(), "permutation": "int"}
+    keys = ", ".join(f"{c} {kinds[c]}" for c in unit)
+    counts = assignments.sparkSession.createDataFrame([], f"{keys}, y_true string, y_pred string, n long")
+    return metrics.fold_metrics(counts, unit)
+
+
+def resumed(
+    ledger: runs.Ledger, assignments: DataFrame, models: Sequence[str], unit: Sequence[str], own: dict, prepare: Callable[[DataFrame], DataFrame],
+    score: Callable[[str, DataFrame], DataFrame],
+) -> DataFrame:
+    """Results of all folds and models, of which only those that ``ledger`` lacks are made.
+
+    Folds in which some model is open are prepared (checked, capped) together; each model then
+    runs on its own open folds and is appended before the next begins.  Where nothing is open, no
+    check or model runs at all.
+    """
+    folds = settle(assignments.select("fold").distinct())
+    book = ledger.opened(metrics_schema(assignments, unit), own)
+    pending = settle(book.pending(folds, models))
+    left = {r["model"] for r in pending.select("model").distinct().collect()}  # at most one row per model
+    if left:
+        rows = settle(prepare(assignments.join(pending.select("fold").distinct(), "fold", "left_semi")))
+        for model in models:
+            if model in left:
+                mine = rows.join(pending.where(F.col("model") == model), "fold", "left_semi")
+                book.append(score(model, mine))
+    wanted = folds.select("fold", F.explode(F.array(*map(F.lit, models))).alias("model"))
+    return book.results(folds.sparkSession, unit).join(wanted, ["model", "fold"], "left_semi")
+
+
 def run_baselines(
     assignments: DataFrame,
     feature_table: DataFrame,
@@ -86,16 +119,50 @@ def run_baselines(
     max_test: int | None = None,
     allow_partial: bool = False,
     contract: tuple[str, str, str] | None = None,
+    ledger: runs.Ledger | None = None,
 ) -> DataFrame:
-    """All models on all folds: contract, audit, coverage, caps, fit, score.  ``model, fold`` metrics."""
-    rows = checked(assignments, feature_table, protocol, allow_partial, contract)
-    rows = capped(rows, seed, max_train, max_test)
+    """All models on all folds: contract, audit, coverage, caps, fit, score.  ``model, fold`` metrics.
+
+    With a ``ledger`` only folds without a result under the same settings are run (see :func:`resumed`).
+    """
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        return capped(checked(rows, feature_table, protocol, allow_partial, contract), seed, max_train, max_test)
+
+    def counted(model: str, rows: DataFrame) -> DataFrame:
+        predicted = predictions_of(model, rows, feature_table, classes, seed)
+        return metrics.prediction_counts(predicted, ["fold"]).withColumn("model", F.lit(model))
+
+    unit = ["model", "fold"]
+    if ledger is not None:
+        own = {
+            "runner": "baselines", "classes": tuple(classes), "protocol": protocol, "seed": seed, "max_train_rows": max_train, "max_test_rows": max_test,
+            "allow_partial": allow_partial, "contract": contract,
+        }
+        return resumed(ledger, assignments, models, unit, own, prepare, lambda model, rows: metrics.fold_metrics(counted(model, rows), unit))
+    rows = prepare(assignments)
     counts = None
     for model in models:
-        predicted = predictions_of(model, rows, feature_table, classes, seed)
-        mine = metrics.prediction_counts(predicted, ["fold"]).withColumn("model", F.lit(model))
+        mine = counted(model, rows)
         counts = mine if counts is None else counts.unionByName(mine)
-    return metrics.fold_metrics(counts, ["model", "fold"])
+    return metrics.fold_metrics(counts, unit)
+
+
+def with_permuted_labels(assignments: DataFrame, n_permutations: int, seed: int) -> DataFrame:
+    """Train rows once per permutation with permuted ``_label``, test rows once per permutation with their own."""
+    train = assignments.where(F.col("split") == "train")
+    permuted = shuffles.permute_labels(train, n_permutations, seed).select(
+        "fold", "permutation", "row_index", F.lit("train").alias("split"), "target_label", F.col("permuted_label").alias("_label")
+    )
+    test = assignments.where(F.col("split") == "test").select(
+        "fold",
+        F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("permutation"),
+        "row_index",
+        "split",
+        "target_label",
+        F.col("target_label").alias("_label"),
+    )
+    return permuted.unionByName(test)
 
 
 def run_permutation_null(
@@ -110,33 +177,37 @@ def run_permutation_null(
     max_test: int | None = None,
     allow_partial: bool = False,
     contract: tuple[str, str, str] | None = None,
+    ledger: runs.Ledger | None = None,
 ) -> DataFrame:
     """Train labels permuted inside each fold: ``model, fold, permutation`` metrics.
 
     The same checks and caps as :func:`run_baselines` come first.  All folds and
-    permutations of a model are solved together; features are not copied.
+    permutations of a model are solved together; features are not copied.  A ``ledger`` holds all
+    permutations of a fold or none.
     """
-    assignments = settle(capped(checked(assignments, feature_table, protocol, allow_partial, contract), seed, max_train, max_test))
-    train = assignments.where(F.col("split") == "train")
-    permuted = shuffles.permute_labels(train, n_permutations, seed).select(
-        "fold", "permutation", "row_index", F.lit("train").alias("split"), "target_label", F.col("permuted_label").alias("_label")
-    )
-    test = assignments.where(F.col("split") == "test").select(
-        "fold",
-        F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("permutation"),
-        "row_index",
-        "split",
-        "target_label",
-        F.col("target_label").alias("_label"),
-    )
-    both = settle(permuted.unionByName(test))
     unit = ["fold", "permutation"]
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        rows = settle(capped(checked(rows, feature_table, protocol, allow_partial, contract), seed, max_train, max_test))
+        return with_permuted_labels(rows, n_permutations, seed)
+
+    def counted(model: str, rows: DataFrame) -> DataFrame:
+        predicted = predictions_of(model, rows, feature_table, classes, seed, unit, "_label", "target_label")
+        return metrics.prediction_counts(predicted, unit).withColumn("model", F.lit(model))
+
+    by = ["model", *unit]
+    if ledger is not None:
+        own = {
+            "runner": "permutation_null", "classes": tuple(classes), "protocol": protocol, "seed": seed, "n_permutations": n_permutations,
+            "max_train_rows": max_train, "max_test_rows": max_test, "allow_partial": allow_partial, "contract": contract,
+        }
+        return resumed(ledger, assignments, models, by, own, prepare, lambda model, rows: metrics.fold_metrics(counted(model, rows), by))
+    both = settle(prepare(assignments))
     counts = None
     for model in models:
-        predicted = predictions_of(model, both, feature_table, classes, seed, unit, "_label", "target_label")
-        mine = metrics.prediction_counts(predicted, unit).withColumn("model", F.lit(model))
+        mine = counted(model, both)
         counts = mine if counts is None else counts.unionByName(mine)
-    return metrics.fold_metrics(counts, ["model", *unit])
+    return metrics.fold_metrics(counts, by)
 
 
 # -- transfer -----------------------------------------------------------------------------

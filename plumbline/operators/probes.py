@@ -29,6 +29,10 @@ PROBE_ROW = T.StructType(
 )
 
 
+#: Name of the split that draws windows.
+WINDOWS = "window_random"
+
+
 class ProbeError(ValueError):
     """The probe question is ill-defined for the data."""
 
@@ -56,6 +60,11 @@ def probe(features: DataFrame, meta: DataFrame, label: str, seed: int) -> dict:
     if row["status"] != "OK":
         return row
     rows = settle(probe_rows(meta, split, label).select("row_index", F.col(label).cast("string").alias("label"), "side"))
+    return with_scores(row, features, rows, balanced=False)
+
+
+def with_scores(row: dict, features: DataFrame, rows: DataFrame, balanced: bool) -> dict:
+    """``row`` with the scores of a model that is trained and tested on ``rows`` (row_index, label, side)."""
     sides = rows.groupBy("label").agg(
         F.bool_or(F.col("side") == "train").alias("fit"), F.bool_or(F.col("side") == "test").alias("test")
     ).collect()
@@ -67,7 +76,7 @@ def probe(features: DataFrame, meta: DataFrame, label: str, seed: int) -> dict:
         raise ProbeError(f"test classes without training rows: {unsupported[:3]}")
     names = [r["label"] for r in sides]
     assigned = rows.select(F.lit(1).alias("fold"), "row_index", F.col("side").alias("split"), "label")
-    predicted = linear.fit_predict(assigned, features, names, linear.LOGISTIC, label="label", balanced=False)
+    predicted = linear.fit_predict(assigned, features, names, linear.LOGISTIC, label="label", balanced=balanced)
     converged = predicted.agg(F.bool_and("converged")).first()[0]
     counts = metrics.prediction_counts(predicted.withColumn("_all", F.lit(1)), ["_all"])
     scored = metrics.fold_metrics(counts, ["_all"]).first().asDict()
@@ -76,14 +85,46 @@ def probe(features: DataFrame, meta: DataFrame, label: str, seed: int) -> dict:
     return row
 
 
-def probe_suite(features: DataFrame, meta: DataFrame, labels: Sequence[str], max_rows: int, seed: int, min_class_count: int) -> DataFrame:
-    """The confound suite over one feature table: one row per asked label, on a balanced sample."""
+def window_random_probe(features: DataFrame, meta: DataFrame, label: str, seed: int) -> dict:
+    """A probe whose test windows are drawn at random within each class, with balanced class weights.
+
+    Windows of one trial may fall on both sides, so the score tells how much a split by
+    windows flatters; groups are windows here.  Rows without a value of the label take no part, and
+    fewer than two classes are NOT_ESTIMABLE.
+    """
+    meta = settle(meta.where(F.col(label).isNotNull()))
+    split = settle(sampling.stratified_holdout(meta, seed, label))
+    row = meta.agg(
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.count_distinct("subject_key").alias("n_subjects"),
+        F.count_distinct("trial_key").alias("n_trials"),
+        F.count_distinct(label).alias("n_eligible_classes"),
+    ).first().asDict()
+    groups = split.agg(
+        F.count_if(F.col("split") == "train").alias("n_train_groups"),
+        F.count_if(F.col("split") == "test").alias("n_test_groups"),
+        F.count_distinct(F.when(F.col("split") == "test", F.col(label))).alias("n_test_classes"),
+    ).first().asDict()
+    row |= groups | {"probe_query": label, "probe_split": WINDOWS, "group_col": "row_index", "n_skipped_classes": 0, "status": "OK"}
+    if row["n_eligible_classes"] < 2:
+        row["status"] = NOT_ESTIMABLE
+        return row
+    rows = split.select("row_index", F.col(label).cast("string").alias("label"), F.col("split").alias("side"))
+    return with_scores(row, features, rows, balanced=True)
+
+
+def probe_suite(features: DataFrame, meta: DataFrame, labels: Sequence[str], max_rows: int, seed: int, min_class_count: int, asked=None) -> DataFrame:
+    """The confound suite over one feature table: one row per asked label, on a balanced sample.
+
+    ``asked`` is the kind of probe: :func:`probe` (the default) or :func:`window_random_probe`.
+    """
+    asked = asked or probe
 
     def one(label: str) -> dict | None:
         sampled = settle(sampling.probe_sample(meta, label, max_rows, seed, min_class_count))
         if sampled.select(label).distinct().limit(2).count() < 2:
             return None
-        return probe(features, sampled, label, seed)
+        return asked(features, sampled, label, seed)
 
     return probe_table(meta, [r for r in at_once(meta.sparkSession, one, list(labels)) if r is not None])
 

@@ -7,13 +7,17 @@ against brute force in the tests; ``solver_queries`` checks the same runners by
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluation, folds, linear, metrics, probes, registry
+from plumbline.functions.settle import checkpoint_dir, settle
+from plumbline.operators import evaluation, folds, labels, linear, metrics, probes, registry
 from plumbline.plans.bindings import SEED, table
 from plumbline.plans.catalog import query
 from plumbline.plans.metric_queries import METRICS_SQL, SCORE_COLUMNS, rounded
+from plumbline.sources import runs
 
 CLASSES = ("high_valence", "low_valence")
 
@@ -94,6 +98,32 @@ def _featureless(spark, sf):
     )
 
 
+@query(
+    "resumed_fold_baselines",
+    f"WITH {FEATURE_LOSO_SQL.replace('label >= 5', 'label > 3')} SELECT model, fold, n_test, n_test_classes, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in SCORE_COLUMNS)
+    + ", model = 'majority' OR fold <= 4 AS reused FROM scores",
+)
+def _resumed(spark, sf):
+    """A declared label contract, and a ledger: one model on all folds, another on four; the whole run makes the rest only."""
+    rows = feature_windows(spark, sf).withColumn("valence", F.col("label").cast("double")).drop("spectral", "alpha", "target_label")
+    rows = labels.with_labels(rows, "dreamer", "valence")
+    assigned = folds.assign_rows(rows, folds.subject_rules(folds.subject_circle(rows, SEED)), ["subject_key"])
+    features = feature_table(spark, sf)
+    path = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger = runs.Ledger(path, {"dataset": "dreamer", "target": "valence", "features": "embeddings"})
+
+    def run(rows, models):
+        contract = ("dreamer", "valence", labels.PRIMARY)
+        return evaluation.run_baselines(rows, features, models, CLASSES, "leave_one_subject_out", SEED, contract=contract, ledger=ledger)
+
+    run(assigned, ["majority"])
+    run(assigned.where("fold <= 4"), ["random_prior"])
+    before = settle(spark.read.parquet(path).select("model", "fold", F.lit(True).alias("reused")))
+    whole = run(assigned, ["majority", "random_prior"])
+    return rounded(whole.join(before, ["model", "fold"], "left").withColumn("reused", F.coalesce("reused", F.lit(False))))
+
+
 @query("multiclass_linear_svm")
 def _svm(spark, sf):
     """Ten classes, one against the rest, five folds: fifty problems in one set of passes."""

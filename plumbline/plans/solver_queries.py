@@ -211,6 +211,42 @@ def _probe(spark, sf):
     return rounded(table_of_one.select("probe_query", "n_chunks", "n_train_groups", "n_test_groups", "balanced_accuracy", "converged"))
 
 
+WINDOW_PROBE_SQL = f"""RECURSIVE keyed AS (SELECT vec_id AS row_index, 'session_' || (vec_id // 10 % 2 + 1) AS session_key, embedding FROM embeddings),
+placed AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY md5('{SEED}:' || row_index), row_index) AS place FROM keyed),
+sizes AS (SELECT session_key, count(*) AS n FROM keyed GROUP BY ALL),
+shares AS (SELECT *, sum(n) OVER () - CAST(ceil(sum(n) OVER () * 0.2) AS BIGINT) AS want, sum(n) OVER () AS total FROM sizes),
+floors AS (
+  SELECT *, floor(n * want / total) AS low,
+         row_number() OVER (ORDER BY n * want / total - floor(n * want / total) DESC, session_key) AS pick FROM shares),
+quotas AS (SELECT session_key, n - low - CASE WHEN pick <= want - sum(low) OVER () THEN 1 ELSE 0 END AS n_test FROM floors),
+sides AS (SELECT placed.*, place <= n_test AS tested FROM placed JOIN quotas USING (session_key)),
+lr_train AS (
+  SELECT 1 AS unit, CASE WHEN session_key = 'session_2' THEN 1.0 ELSE -1.0 END AS y,
+         count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY session_key)) AS w, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2
+  FROM sides WHERE NOT tested),
+lr_test AS (SELECT 1 AS unit, row_index, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2 FROM sides WHERE tested),
+{fitted_sql('lr', 'lr_train', 'lr_test', 'logistic')},
+counts AS (
+  SELECT 'session_key' AS probe_query, session_key AS y_true, CASE WHEN score > 0 THEN 'session_2' ELSE 'session_1' END AS y_pred, count(*) AS n
+  FROM lr JOIN keyed USING (row_index) GROUP BY ALL),
+{METRICS_SQL.format(by='probe_query')}"""
+
+
+@query(
+    "two_feature_window_random_probe",
+    f"""WITH {WINDOW_PROBE_SQL} SELECT probe_query, 'window_random' AS probe_split, (SELECT count(*) FROM keyed) AS n_chunks,
+  (SELECT count(*) FROM sides WHERE NOT tested) AS n_train_groups, (SELECT count(*) FROM sides WHERE tested) AS n_test_groups, n_test_classes,
+  round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy, true AS converged FROM scores""",
+)
+def _window_probe(spark, sf):
+    """The session question on test windows drawn at random, balanced weights."""
+    meta = feature_windows(spark, sf).drop("spectral", "alpha", "label", "target_label")
+    features = narrow_features(spark, sf).select("row_index", F.col("alpha").alias("features"))
+    told = probes.probe_table(meta, [probes.window_random_probe(features, meta, "session_key", SEED)])
+    columns = "probe_query probe_split n_chunks n_train_groups n_test_groups n_test_classes accuracy balanced_accuracy converged"
+    return rounded(told.select(*columns.split()))
+
+
 #: Steps of the accelerated descent; the error shrinks by about 1 - 1/sqrt(condition number) a step.
 DESCENT_STEPS = 1200
 

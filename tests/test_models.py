@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluation, linear, metrics, probes
+from plumbline.operators import evaluation, labels, linear, metrics, probes
+from plumbline.sources import runs
 
 
 def vectors(spark, x, **columns):
@@ -164,6 +165,66 @@ def test_runner_beats_chance_on_signal_only(spark, rng):
     assert {r["n_test"] for r in capped.collect()} == {20}
 
 
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select("model", "fold", *[c for c in df.columns if c not in ("model", "fold")]).collect())
+
+
+@pytest.mark.parametrize("null", [False, True])
+def test_a_ledger_keeps_finished_folds(spark, rng, tmp_path, null):
+    assigned, table = labelled_folds(spark, rng, 1.5)
+    models, classes = ["majority", "spectral_logistic"], ("high_valence", "low_valence")
+
+    def run(rows, seed=3, which=models, **more):
+        if null:
+            return evaluation.run_permutation_null(rows, table, which, classes, 2, seed, "segment_random", **more)
+        return evaluation.run_baselines(rows, table, which, classes, "segment_random", seed, **more)
+
+    path = str(tmp_path / "ledger")
+    ledger = runs.Ledger(path, {"dataset": "made"})
+    written = lambda: spark.read.parquet(path).groupBy("model", "fold").count().count()
+    assert len(rows_of(run(assigned.where("fold < 3"), which=["majority"], ledger=ledger))) == (4 if null else 2)
+    whole = rows_of(run(assigned, ledger=ledger))
+    assert whole == rows_of(run(assigned)) and written() == 6
+    files = spark.read.parquet(path).count()
+    broken = assigned.withColumn("split", F.lit("train"))  # would score nothing
+    assert rows_of(run(broken, ledger=ledger)) == whole and spark.read.parquet(path).count() == files
+    run(assigned, seed=4, ledger=ledger)
+    assert spark.read.parquet(path).select("fingerprint").distinct().count() == 2
+    run(assigned, ledger=runs.Ledger(path, {"dataset": "other"}))
+    assert spark.read.parquet(path).select("fingerprint").distinct().count() == 3
+
+
+def test_a_wrong_policy_stops_the_runner(spark, rng, tmp_path):
+    assigned, table = labelled_folds(spark, rng, 1.0)
+    declared = assigned.select("*", F.lit("dreamer").alias("dataset"), F.lit("valence").alias("target"), F.lit("another").alias("label_policy_id"))
+    for ledger in (None, runs.Ledger(str(tmp_path / "ledger"), {"dataset": "dreamer"})):
+        with pytest.raises(labels.ContractError):
+            evaluation.run_baselines(
+                declared, table, ["majority"], ("high_valence", "low_valence"), "segment_random", 3, contract=("dreamer", "valence", labels.PRIMARY), ledger=ledger
+            )
+    with pytest.raises(ValueError):
+        ledger.opened(evaluation.metrics_schema(assigned, ["model", "fold"]), {"dataset": "x"})
+
+
+def test_random_windows_flatter_a_probe(spark, rng):
+    """Trials differ at random, subjects do not: windows of a trial on both sides tell the subject, whole trials do not."""
+    n, trials = 240, 24
+    trial = np.arange(n) % trials
+    x = rng.normal(size=(trials, 12))[trial] * 3 + rng.normal(size=(n, 12)) * 0.1
+    keys = {"trial_key": [f"t{t:02}" for t in trial], "subject_key": [f"s{t % 2}" for t in trial]}
+    meta = vectors(spark, x, **keys)
+    features = meta.select("row_index", "features")
+    meta = meta.drop("features")
+    loose = probes.window_random_probe(features, meta, "subject_key", 1)
+    strict = probes.probe(features, meta, "subject_key", 1)
+    assert loose["n_test_groups"] == 48 and loose["probe_split"] == "window_random" and loose["converged"]
+    assert loose["balanced_accuracy"] > strict["balanced_accuracy"] + 0.15
+    one = probes.window_random_probe(features, meta.where("subject_key = 's0'"), "subject_key", 1)
+    assert one["status"] == "NOT_ESTIMABLE"
+    suite = probes.probe_suite(features, meta, ["subject_key"], 100, 1, 5, probes.window_random_probe).first()
+    assert (suite["n_chunks"], suite["n_test_groups"]) == (100, 20)
+
+
 def test_permuted_labels_are_near_chance(spark, rng):
     assigned, table = labelled_folds(spark, rng, 1.5)
     out = evaluation.run_permutation_null(assigned, table, ["spectral_logistic"], ("high_valence", "low_valence"), 4, 3, "segment_random")
