@@ -13,7 +13,8 @@ probability of each n-gram of the corpus is at hand in both, backed off where ne
 Texts are scored in blocks of one language and about ``BLOCK`` bytes: a block asks for its
 distinct n-grams once, a join answers, and the answer is kept as an array of sorted hashes
 while the texts of the block stream past.  The n-grams themselves are compared exactly (105 bits in
-two longs); 64 bits of hash tell them apart inside a block only.
+two longs); 64 bits of hash tell them apart inside a block only.  Texts travel to their blocks twice,
+to be counted and to be scored, each time as compressed Arrow streams that hold many rows of a block.
 
 Documents whose log perplexity lies outside the band of their language go.  The band is
 the median and a number of median deviations, taken from exact histograms of all documents.
@@ -44,6 +45,9 @@ BITS = 21
 #: Text bytes of a block, and of a piece of a longer text.
 BLOCK = 16 << 20
 PIECE = 2 << 20
+#: Bytes of rows that are sorted by block and compressed together, and how hard.
+PACK = 32 << 20
+LEVEL = 6
 #: Distinct n-grams gathered in a task before they are summed.
 GATHERED = 4 << 20
 #: Width of a histogram bin of log perplexity, in nats.
@@ -54,6 +58,44 @@ LEAST_HALF_WIDTH = 0.08
 NO_LANGUAGE = "\u0000"
 
 
+# ---- rows on their way to blocks
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, packed): the rows of each block as compressed Arrow streams, in parts of about ``PACK`` bytes of all blocks."""
+    held, size = [], 0
+
+    def packs() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        block = rows["block"].to_numpy()
+        order = np.argsort(block, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(block[order])) + 1)
+        codec, streams = pa.Codec("zstd", compression_level=LEVEL), []
+        for group in groups:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as stream:
+                stream.write_table(rows.take(pa.array(group)))
+            streams.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[[g[0] for g in groups]]), pa.array(streams, pa.binary())], names=["block", "packed"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= PACK:
+            yield packs()
+            held, size = [], 0
+            give_back()
+    if held:
+        yield packs()
+    give_back()
+
+
+def _unpacked(streams: pa.Array) -> Iterator[pa.RecordBatch]:
+    for stream in streams:
+        yield from pa.ipc.open_stream(stream.as_buffer())
+
+
 # ---- n-grams of a text
 
 
@@ -117,7 +159,8 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed = [pa.repeat(pa.scalar(v, kind), len(n)) for v, kind in zip(key, (pa.string(), pa.int32(), pa.int64()), strict=True)]
         return pa.RecordBatch.from_arrays([*fixed, *map(pa.array, (high, low, n))], names=["lang", "half", "block", "high", "low", "n"])
 
-    for batch in blocks(batches, "text"):
+    rows = (row for batch in batches for row in _unpacked(named(batch, "packed")))
+    for batch in blocks(rows, "text"):
         of_row = list(zip(*(named(batch, c).to_pylist() for c in ("lang", "half", "block")), strict=True))
         number = {key: k for k, key in enumerate(dict.fromkeys(of_row))}
         which = np.array([number[key] for key in of_row])
@@ -236,27 +279,31 @@ def rule_counts(raw: bytes) -> tuple[int, int, int, int, int]:
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rule counts and log perplexity of each text; the n-grams of a block come before its texts."""
-    block, waiting, arrays = None, [], None
-    for whole in batches:
-        edges = np.flatnonzero(np.diff(named(whole, "block").to_numpy(), prepend=np.nan)).tolist() if whole.num_rows else []
-        for start, stop in zip(edges, [*edges[1:], whole.num_rows], strict=True):
-            mine = whole.slice(start, stop - start)
-            if named(mine, "block")[0].as_py() != block:
-                block, waiting, arrays = named(mine, "block")[0].as_py(), [], None
-            n = int((named(mine, "kind").to_numpy() == 0).sum())
-            if n:
-                high, low, log_p = (named(mine.slice(0, n), c).to_numpy() for c in ("high", "low", "log_p"))
-                waiting.append((hashes(high, low), log_p))
-            if arrays is None and n < mine.num_rows:
-                keys, values = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.uint64), np.zeros(0))
-                order = np.argsort(keys)
-                arrays, waiting = (keys[order], values[order]), []
-            for batch in blocks(iter([mine.slice(n)]), "text"):
-                yield _judged(batch, *arrays)
-        del whole
-        give_back()
+def _scored(names: list[str]):
+    """Rule counts and log perplexity of each text, the columns ``names``; the n-grams of a block come before its texts."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting, arrays = None, [], None
+        for whole in batches:
+            edges = np.flatnonzero(np.diff(named(whole, "block").to_numpy(), prepend=np.nan)).tolist() if whole.num_rows else []
+            for start, stop in zip(edges, [*edges[1:], whole.num_rows], strict=True):
+                mine = whole.slice(start, stop - start)
+                if named(mine, "block")[0].as_py() != block:
+                    block, waiting, arrays = named(mine, "block")[0].as_py(), [], None
+                n = int((named(mine, "kind").to_numpy() == 0).sum())
+                if n:
+                    high, low, log_p = (named(mine.slice(0, n), c).to_numpy() for c in ("high", "low", "log_p"))
+                    waiting.append((hashes(high, low), log_p))
+                if arrays is None and n < mine.num_rows:
+                    keys, values = (np.concatenate(x) for x in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.uint64), np.zeros(0))
+                    order = np.argsort(keys)
+                    arrays, waiting = (keys[order], values[order]), []
+                for batch in blocks(_unpacked(named(mine.slice(n), "packed")), "text"):
+                    yield _judged(batch, *arrays).select(names)
+            del whole
+            give_back()
+
+    return stream
 
 
 def _judged(batch: pa.RecordBatch, keys: np.ndarray, log_p: np.ndarray) -> pa.RecordBatch:
@@ -275,7 +322,8 @@ def _judged(batch: pa.RecordBatch, keys: np.ndarray, log_p: np.ndarray) -> pa.Re
     failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
     nats = pa.array(-total / np.maximum(size, 1), mask=size == 0)
     return pa.RecordBatch.from_arrays(
-        [named(batch, "row"), named(batch, "lang"), *(pa.array(c) for c in counts.T), pa.array(failed), nats], names=["row", "lang", *RULES, "base_failed", "nats"]
+        [named(batch, "row"), named(batch, "lang"), *(pa.array(c) for c in counts.T), pa.array(failed), nats, named(batch, "text")],
+        names=["row", "lang", *RULES, "base_failed", "nats", "text"],
     )
 
 
@@ -283,8 +331,10 @@ def score(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     """(row, lang, rule counts, base_failed, nats): the columns ``keep`` (all) of each row as one struct, and its log perplexity per code point."""
     text, lang = F.col(text_column), F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE))
     hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    keep = keep or docs.columns
+    beside = [c for c in keep if c != text_column] or keep  # the text travels once
     rows = docs.select(
-        F.struct(*(keep or docs.columns)).alias("row"), lang.alias("lang"), text.alias("text"),
+        F.struct(*beside).alias("row"), lang.alias("lang"), text.alias("text"),
         F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half"), F.xxhash64(*hashed).alias("draw"),
     )
     n_blocks = rows.groupBy("lang", "half").agg((F.floor(F.sum(F.octet_length("text")) / BLOCK) + 1).alias("n_blocks"))
@@ -294,18 +344,22 @@ def score(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
     block = F.xxhash64("lang", "half", F.pmod("draw", "n_blocks")).alias("block")
     rows = rows.join(sizes, ["lang", "half"]).select("row", "lang", "text", "half", block)
 
-    asked = rows.select("lang", "text", "half", "block").repartition(tasks, "block")
+    asked = rows.select("lang", "text", "half", "block").mapInArrow(_packed, "block long, packed binary").repartition(tasks, "block")
     asked = settle(asked.mapInArrow(_requests, "lang string, half int, block long, high long, low long, n long"))
     halves = [F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)]
     fitted = model(settle(asked.groupBy("lang", "high", "low").agg(*halves)))
     other = F.log(F.when(F.col("half") == 0, F.col("p1")).otherwise(F.col("p0"))).alias("log_p")
     answers = asked.join(fitted, ["lang", "high", "low"]).select("block", F.lit(0).alias("kind"), "high", "low", other)
-    both = answers.unionByName(rows.select("block", F.lit(1).alias("kind"), "row", "lang", "text"), allowMissingColumns=True)
+    texts = rows.select("row", "lang", "text", "block").mapInArrow(_packed, "block long, packed binary")
+    both = answers.unionByName(texts.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     schema = rows.select("row", "lang").schema
     for c in RULES:
         schema = schema.add(c, T.LongType())
     schema = schema.add("base_failed", T.BooleanType()).add("nats", T.DoubleType())
-    return both.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_scored, schema)
+    back = schema if beside == keep else T.StructType([*schema.fields, *rows.select("text").schema.fields])
+    scored = both.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_scored(back.names), back)
+    whole = F.struct(*(F.col("text") if c == text_column and beside != keep else F.col("row")[c].alias(c) for c in keep)).alias("row")
+    return scored.select(whole, *schema.names[1:])
 
 
 def judge(

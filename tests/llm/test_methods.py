@@ -249,6 +249,25 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
     assert np.array_equal(np.concatenate([p[2] for p in pieces]), low)
 
 
+def test_rows_travel_compressed_by_block():
+    texts = [f"the same few words of text number {k} again and again. " * 30 if k % 7 else None for k in range(400)]
+    rows = pa.record_batch({"row": [{"doc_id": k} for k in range(400)], "text": texts, "block": pa.array([k % 3 for k in range(400)], pa.int64())})
+    (sent,) = perplexity._packed(iter([rows.slice(0, 150), rows.slice(0, 0), rows.slice(150)]))
+    assert sorted(sent["block"].to_pylist()) == [0, 1, 2]
+    assert 3 * sent.nbytes < rows.nbytes
+    back = [r for batch in perplexity._unpacked(sent["packed"]) for r in batch.to_pylist()]
+    assert sorted(back, key=lambda r: r["row"]["doc_id"]) == rows.to_pylist()
+    assert list(perplexity._packed(iter([rows.slice(0, 0)]))) == []
+
+
+def test_text_in_the_row_is_put_back_where_it_was(spark):
+    docs = spark.createDataFrame([("a b", 1), (None, 2)], "text string, doc_id long").withColumn("lang", F.lit("en"))
+    for keep, want in ((None, [("a b", 1, "en"), (None, 2, "en")]), (["text"], [("a b",), (None,)]), (["doc_id", "text"], [(1, "a b"), (2, None)])):
+        found = perplexity.score(docs, keep=keep).select("row.*")
+        assert found.columns == (keep or docs.columns)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
 def test_grams_start_anew_in_each_text():
     ((rows, high, low),) = perplexity.text_grams(pa.record_batch({"text": ["ab", None, "é", ""]}))
     a, b, e = (ord(c) + 1 for c in "abé")
