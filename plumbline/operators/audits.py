@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.settle import settle
+
 
 class AuditError(AssertionError):
     """A split or a join breaks its contract."""
@@ -118,6 +120,31 @@ def split_summary(assignments: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def rule_summary(rows: DataFrame, rules: DataFrame, by: Sequence[str], group: str = "trial_key") -> DataFrame:
+    """:func:`split_summary` by ``by, fold, split`` of rows that take their roles from ``rules`` (``group, fold, split``, one role of a group in a fold).
+
+    Rows collapse to entities before they meet the folds, and each kind of entity is counted alone, so that
+    no aggregation holds entities x folds x kinds.
+    """
+    small = settle(rows.groupBy(*by, "subject_key", group, "target_label").agg(F.count(F.lit(1)).alias("_n")))
+    roles = settle(rules.select(group, "fold", "split"))
+    cell = [*by, "fold", "split"]
+
+    def placed(*entity: str) -> DataFrame:
+        return small.groupBy(*by, group, *entity).agg(F.sum("_n").alias("_n")).join(roles, group)
+
+    classes = placed("target_label").groupBy(*cell, "target_label").agg(F.sum("_n").alias("_n"))
+    subjects = placed("subject_key").select(*cell, "subject_key").distinct()
+    counted = [
+        classes.groupBy(*cell).agg(F.sum("_n").alias("chunks"), F.count("target_label").alias("classes")),
+        subjects.groupBy(*cell).agg(F.count("subject_key").alias("subjects")),
+        placed().groupBy(*cell).agg(F.count(group).alias("trials")),
+    ]
+    names = ["chunks", "subjects", "trials", "classes"]
+    parts = counted[0].unionByName(counted[1], allowMissingColumns=True).unionByName(counted[2], allowMissingColumns=True)
+    return parts.groupBy(*cell).agg(*(F.sum(c).alias(c) for c in names))
+
+
 def composed_summary(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """:func:`split_summary` from entity counts per role: ``by, kind, value, test, val, train``.
 

@@ -150,10 +150,9 @@ SELECT 'dreamer' AS dataset, 'valence' AS target, 'trial_grouped' AS protocol, C
 FROM manifest JOIN rules USING (trial_key) GROUP BY fold, split""",
 )
 def _trial_summary(spark, sf):
-    rows = folds.assign_rows(rated(spark, sf), trial_rules(spark, sf), ["trial_key"])
-    rows = rows.withColumn("protocol", F.lit(folds.protocol_name("trial_within_subject")))
-    rows = rows.withColumn("fold", F.col("fold").cast("long"))
-    return audits.split_summary(rows, ["dataset", "target", "protocol", "fold", "split"])
+    rows = rated(spark, sf).withColumn("protocol", F.lit(folds.protocol_name("trial_within_subject")))
+    rules = trial_rules(spark, sf).withColumn("fold", F.col("fold").cast("long"))
+    return audits.rule_summary(rows, rules, ["dataset", "target", "protocol"])
 
 
 @query(

@@ -214,3 +214,14 @@ def test_matching_by_intervals_equals_matching_of_rows(many, bits, monkeypatch):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
     audit = matching.match_audit(many, circle, 3, 7).first()
     assert (audit["n_rows"], audit["test_rows_differ"], audit["classes_differ"]) == (want.count(), 0, 0)
+
+
+def test_rule_summary_counts_entities_before_folds(spark, manifest):
+    rows = keys.standardize(manifest, "dreamer", "valence")
+    rules = folds.trial_grouped_rules(rows, 3, 5)
+    by = ["dataset", "target"]
+    plain = audits.split_summary(folds.assign_rows(rows, rules, ["trial_key"]), [*by, "fold", "split"])
+    found = audits.rule_summary(rows, rules, by)
+    assert found.columns == plain.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 0
