@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -25,6 +26,8 @@ LOGISTIC, SVM = "logistic", "svm"
 
 #: Problems solved in one pass; more are solved in several passes.
 BATCH = 64
+#: Rows that a task holds as matrices at a time.
+PIECE = 1024
 #: Partial sums of a problem meet in this many tasks first.
 BRANCHES = 16
 #: Newton steps before a problem is reported as not converged, and the gradient that counts as zero.
@@ -59,26 +62,38 @@ def training_table(features: DataFrame, members: DataFrame, n_problems: int, key
     )
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column, all of one length, as a matrix."""
+    numbers = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    if (np.diff(column.offsets.to_numpy()) != numbers.shape[1]).any():
+        raise ValueError("all lists must have one length")
+    return numbers
+
+
 def _summed(table: DataFrame, numbers: Sequence[int], width: int, of_rows: Callable) -> dict[int, np.ndarray]:
     """``of_rows(problem, x, y, w)`` added up over all rows of each problem: one Spark job, no row is copied.
 
     Every partition adds up its rows, ``BRANCHES`` tasks add up partitions (where there are more), then one row per problem is left.
     """
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((len(numbers), width))
-        for pdf in batches:
-            if len(pdf):
-                x, y, w = (np.stack(pdf[c].to_numpy()) for c in ("features", "y", "w"))
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                x, y, w = (_matrix(batch.slice(start, PIECE).column(c)) for c in range(3))
                 for a, p in enumerate(numbers):
                     rows = w[:, p] > 0
                     acc[a] += of_rows(p, x[rows], y[rows, p], w[rows, p])
-        yield pd.DataFrame({"problem": numbers, "branch": TaskContext.get().partitionId() % BRANCHES, "sums": list(acc)})
+            del batch
+        branch = np.full(len(numbers), TaskContext.get().partitionId() % BRANCHES, np.int32)
+        ends = pa.array(np.arange(len(numbers) + 1) * width, pa.int32())
+        columns = [pa.array(numbers, pa.int32()), pa.array(branch), pa.ListArray.from_arrays(ends, acc.ravel())]
+        yield pa.RecordBatch.from_arrays(columns, names=["problem", "branch", "sums"])
 
     def added(df: DataFrame, *by: str) -> DataFrame:
         return df.groupBy(*by).agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
 
-    partial = table.mapInPandas(sums, "problem int, branch int, sums array<double>")
+    partial = table.select("features", "y", "w").mapInArrow(sums, "problem int, branch int, sums array<double>")
     if table.rdd.getNumPartitions() > BRANCHES:
         partial = added(partial, "problem", "branch")
     return {r["problem"]: np.asarray(r["sums"]) for r in added(partial, "problem").collect()}
@@ -242,6 +257,19 @@ def fit_predict(
     return out
 
 
+def _chosen(weights: np.ndarray, unit: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Class numbers that ``weights`` (unit, class, feature and intercept) give to rows, piece by piece; no row gets a copy of its weights."""
+    out = np.zeros(len(x), int)
+    for start in range(0, len(x), PIECE):
+        z = np.column_stack([np.stack(x[start : start + PIECE]).astype(float), np.ones(len(x[start : start + PIECE]))])
+        mine = unit[start : start + PIECE]
+        for u in np.unique(mine):
+            scores = z[mine == u] @ weights[u].T
+            chosen = (scores[:, 0] > 0).astype(int) if scores.shape[1] == 1 else scores.argmax(axis=1)
+            out[start : start + PIECE][mine == u] = chosen
+    return out
+
+
 def _predict(test: DataFrame, features: DataFrame, design: Design, solution: Solution, unit: list[str], label: str) -> DataFrame:
     names = np.asarray(design.classes, dtype=object)
     place = {u: i for i, u in enumerate(design.units)}
@@ -255,10 +283,7 @@ def _predict(test: DataFrame, features: DataFrame, design: Design, solution: Sol
 
     @F.pandas_udf("string")
     def predict(index: pd.Series, x: pd.Series) -> pd.Series:
-        z = np.column_stack([np.stack(x.to_numpy()).astype(float), np.ones(len(x))])
-        scores = np.einsum("nkd,nd->nk", weights[index.to_numpy()], z)
-        chosen = (scores[:, 0] > 0).astype(int) if k == 1 else scores.argmax(axis=1)
-        return pd.Series(names[chosen])
+        return pd.Series(names[_chosen(weights, index.to_numpy(), x.to_numpy())])
 
     vectors = features.select("row_index", F.col("features").cast("array<double>").alias("_x"))
     joined = test.join(F.broadcast(codes), unit).join(vectors, "row_index")  # one code per unit of the batch

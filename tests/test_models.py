@@ -1,6 +1,9 @@
 """Solvers against brute force, and the runners on planted signal and on noise."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +247,22 @@ def test_trial_vote_takes_the_first_of_equal_classes(spark):
     df = spark.createDataFrame([("t", 1, [0.2, 0.8, 0.0]), ("t", 1, [0.8, 0.2, 0.0])], "trial string, y long, s array<double>")
     row = metrics.trial_predictions(df, "trial", "y", "s", 3).first()
     assert (row["y_true"], row["y_pred"], row["mixed"]) == (1, 0, False)
+
+
+def test_predictions_copy_no_weights_per_row():
+    draw = np.random.default_rng(3)
+    weights, unit, x = draw.normal(size=(5, 10, 65)), draw.integers(0, 5, 10_000), np.empty(10_000, object)
+    x[:] = list(draw.normal(size=(10_000, 64)))
+    want = [(weights[u] @ np.append(v, 1.0)).argmax() for u, v in zip(unit, x, strict=True)]
+    tracemalloc.start()
+    got = linear._chosen(weights, unit, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == want
+    assert peak < 10e6  # weights of 10,000 rows are 52 MB
+
+
+def test_lists_of_several_lengths_are_an_error():
+    assert linear._matrix(pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])[1:]).tolist() == [[3.0, 4.0], [5.0, 6.0]]
+    with pytest.raises(ValueError):
+        linear._matrix(pa.array([[1.0], [2.0, 3.0, 4.0]]))
