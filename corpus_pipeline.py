@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles that overlap by 0.8."""
+    """One document of each group of near duplicates stays: SimHash candidates whose five-word shingles overlap by 0.8."""
     return near_copies.representatives(docs)
 
 
@@ -67,7 +67,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Perplexity, min-hashes and the packing draw have no SQL; tests hold the stages against brute force.
+#: Perplexity, fingerprints and the packing draw have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -87,11 +87,12 @@ def text_key(text: Column) -> Column:
 
 
 def bit_planes(fps: np.ndarray, spare: int) -> np.ndarray:
-    """(64, words + spare) uint64: bit r of word w of plane b is bit b of fingerprint 64 w + r."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(bits, words + spare) uint64: bit r of word w of plane b is bit b of fingerprint 64 w + r, which is one number or a row of them."""
+    width = fps.shape[1] if fps.ndim > 1 else 1
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little")
     packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    width = -(-len(fps) // 64) + spare
-    out = np.zeros((64, width * 8), np.uint8)
+    words = -(-len(fps) // 64) + spare
+    out = np.zeros((64 * width, words * 8), np.uint8)
     out[:, : packed.shape[1]] = packed
     return out.view(np.uint64)
 
@@ -158,7 +159,7 @@ def close_pairs(fps: np.ndarray, room: np.ndarray, radius: int) -> Iterator[tupl
             continue
         at = alive[left]
         levels = [c[left][None] for c in counters]
-        levels[0] = np.concatenate([levels[0], differing(slice(FIRST_PLANES, 64), at)])
+        levels[0] = np.concatenate([levels[0], differing(slice(FIRST_PLANES, len(planes)), at)])
         near = at_most(carry_save(levels), radius) & valid[left]
         hits = np.flatnonzero(near)
         if len(hits):
@@ -169,7 +170,7 @@ def close_pairs(fps: np.ndarray, room: np.ndarray, radius: int) -> Iterator[tupl
 
 
 def forest(fps: np.ndarray, room: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the close pairs of all buckets connect: one per row at most."""
+    """Links (rows) that connect what the close pairs of all buckets connect: one per row at most."""
     parent = np.arange(len(fps))
     kept: list[tuple[int, int]] = []
 
@@ -191,7 +192,7 @@ def forest(fps: np.ndarray, room: np.ndarray, radius: int) -> tuple[np.ndarray,
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
     a, b = np.array(kept, np.int64).reshape(-1, 2).T
-    return fps[a], fps[b]
+    return a, b
 
 
 # ---- buckets
@@ -204,17 +205,20 @@ def block_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(blocks, 2))]
 
 
-def _linked(radius: int):
+def linked(radius: int, keys: int = 3, words: int = 1):
+    """Links inside the buckets of sorted rows: ``keys`` columns name the bucket, the next one the row, the last ``words`` hold its fingerprint."""
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-            table, key, tile, fp = rows
-            new = np.ones(len(fp), bool)
-            new[1:] = (table[1:] != table[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in rows[:keys]], axis=0)
             starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(fp))
-            room = np.repeat(ends, ends - starts) - np.arange(len(fp))
+            ends = np.append(starts[1:], len(new))
+            room = np.repeat(ends, ends - starts) - np.arange(len(new))
             again = np.repeat(ends - starts, ends - starts) > 1  # rows alone in their bucket link nothing
-            a, b = forest(fp[again], room[again], radius)
+            name = rows[keys][again]
+            a, b = forest(np.stack([c[again] for c in rows[-words:]], axis=1), room[again], radius)
+            a, b = name[a], name[b]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
         held: list[list[np.ndarray]] = []
@@ -226,7 +230,7 @@ def _linked(radius: int):
                 continue
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
             same = np.ones(size, bool)
-            for c in rows[:3]:
+            for c in rows[:keys]:
                 same &= c == c[-1]
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
@@ -242,17 +246,21 @@ def edges(fps: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> DataFr
     """(u, v), u > v: links among distinct fingerprints ``fp`` that connect every close pair."""
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(radius))])
     keyed = fps.select("fp", F.explode(tables).alias("at")).select("at.t", "at.key", "fp")
-    large = settle(keyed.groupBy("t", "key").count().where(F.col("count") > tile_rows).withColumn("tiles", F.ceil(F.col("count") / tile_rows).cast("int")).drop("count"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    return in_tiles(keyed, ["t", "key"], "fp", tile_rows).mapInArrow(linked(radius), "u long, v long").where("u <> v").distinct()
+
+
+def in_tiles(keyed: DataFrame, bucket: list[str], name: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``bucket, tile`` and the other columns, dealt and sorted; a bucket of more than ``tile_rows`` rows is cut into pairs of tiles."""
+    rest = [c for c in keyed.columns if c not in bucket]
+    large = settle(keyed.groupBy(*bucket).count().where(F.col("count") > tile_rows).withColumn("tiles", F.ceil(F.col("count") / tile_rows).cast("int")).drop("count"))
+    own = F.pmod(F.xxhash64(name), F.col("tiles")).cast("int")
     others = F.transform(
         F.array_except(F.sequence(F.lit(0), F.col("tiles") - 1), F.array(own)),
         lambda x: (F.least(x, own) * F.col("tiles") + F.greatest(x, own)).cast("int"),
     )
-    tiled = keyed.join(large, ["t", "key"], "left").select(
-        "t", "key", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("tile"), "fp"
-    )
-    dealt = tiled.repartition("t", "key", "tile").sortWithinPartitions("t", "key", "tile")
-    return dealt.mapInArrow(_linked(radius), "u long, v long").where("u <> v").distinct()
+    tile = F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("tile")
+    tiled = keyed.join(large, bucket, "left").select(*bucket, tile, *rest)
+    return tiled.repartition(*bucket, "tile").sortWithinPartitions(*bucket, "tile")
 
 
 # ---- groups

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import brute
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -58,3 +59,23 @@ def test_every_similar_pair_is_linked_and_no_other(spark, made, tile_shingles):
 def test_stage_links_at_the_similarity(spark, sf, made):
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[2][1](spark, docs, sf).collect()} == firsts(made)[0]
+
+
+def test_candidates_are_close_fingerprints(spark, made):
+    """Bits of similar sets differ as their angle says, and tables keep the promised miss."""
+    rng, far = np.random.default_rng(1), []
+    for _ in range(200):
+        drawn = rng.integers(0, 2**63, 110, dtype=np.uint64)
+        a, b = near_copies.fingerprint(drawn[:99]), near_copies.fingerprint(drawn[11:])
+        far.append((np.unpackbits(a[:16]) != np.unpackbits(b[:16])).sum())
+    assert 15 < np.mean(far) < 24 and max(far) <= near_copies.RADIUS
+    for n in (1, 10**5, 10**8):
+        drawn = near_copies.tables(n)
+        assert (1 - 0.848 ** drawn.shape[1]) ** len(drawn) < 1.2 * near_copies.MISS
+    texts = spark.createDataFrame(made, "node long, text string")
+    root = {r["node"]: r["root"] for r in near_copies.candidates(texts).collect()}
+    sets = {d: shingles(t) for d, t in made}
+    for a, b in combinations(sets, 2):
+        overlap = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert overlap < 0.8 or root[a] == root[b]
+        assert overlap > 0.0 or a not in root or root[a] != root.get(b)
