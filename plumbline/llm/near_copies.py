@@ -14,8 +14,9 @@ with probability 0.19, and about 1 in 100 such pairs is missed.
 Texts that close fingerprints connect are dealt together, each once; a set of more than ``TILE_SHINGLES``
 shingles is cut into pairs of tiles that different tasks compare.  A task walks from text to
 text: the overlaps of one text with all texts not yet reached come from one pass over
-the postings of its shingles, so every link it sends on is confirmed, and no link that joins
-two groups is left out.
+the postings of its shingles, so every step is confirmed, and no link that joins
+two groups is left out.  It sends on each text's link to the smallest one that the walk reaches.
+Buckets do the same, and links of one text are folded into one (``simhash.folded``) before groups are formed.
 
 Defined results: a null text, an empty one and one without words are equal.  Columns other
 than id and text are not read.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.settle import settle
 from plumbline.llm.arrow import blocks, give_back, named, pieces, words_of
-from plumbline.llm.simhash import components, in_tiles, linked, text_key
+from plumbline.llm.simhash import components, folded, in_tiles, linked, text_key
 
 WORDS = 5
 LEAST = 0.8
@@ -129,7 +130,7 @@ def keyed(prints: DataFrame, drawn: np.ndarray) -> DataFrame:
 
 
 def links(nodes: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Confirmed links that connect what all pairs of similar sets connect."""
+    """From each set to the smallest node that similar sets lead to, those nodes themselves left out."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     tokens, ids = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -140,7 +141,7 @@ def links(nodes: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]
     for first in range(len(sets)):
         if not open_[first]:
             continue
-        open_[first], left, todo = False, left - 1, [first]
+        open_[first], left, todo, reached = False, left - 1, [first], [first]
         while todo and left:
             x = todo.pop()
             if 2 * left < listed:  # postings of texts not yet reached
@@ -152,9 +153,10 @@ def links(nodes: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]
             shared = np.bincount(holders[where], minlength=len(sets))
             near = np.flatnonzero(open_ & (shared >= LEAST * (sizes + sizes[x] - shared) - 1e-9) & (shared > 0))
             open_[near], left = False, left - len(near)
-            for y in near.tolist():
-                yield int(nodes[x]), int(nodes[y])
             todo += near.tolist()
+            reached += near.tolist()
+        least = nodes[reached].min()
+        yield from ((int(x), int(least)) for x in nodes[reached] if x != least)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found() -> pa.RecordBatch:
         pairs = np.array(list(links(np.array(nodes, np.int64), sets)) if len(nodes) > 1 else [], np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     for batch in batches:
         for root, tile, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -181,13 +183,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(texts: DataFrame) -> DataFrame:
     """(node, root): texts that close fingerprints connect."""
     prints = settle(fingerprints(texts).dropDuplicates(["node"]))
-    near = in_tiles(keyed(prints, tables(prints.count())), ["at"], "node").mapInArrow(linked(RADIUS, 2, 2), "u long, v long")
-    found = components(near.where("u <> v").distinct())
+    near = in_tiles(keyed(prints, tables(prints.count())), ["at"], "node").mapInArrow(linked(RADIUS, 2, 2, stars=True), "u long, v long")
+    found = components(folded(near.distinct()))
     return settle(found.union(found.select(F.col("root").alias("node"), "root")).distinct())
 
 
 def edges(texts: DataFrame, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """(u, v), u > v: confirmed links that connect every pair of similar texts; ``texts`` has (node, text), equal rows allowed."""
+    """(u, v), u > v: links that connect what confirmed pairs of similar texts connect; ``texts`` has (node, text), equal rows allowed."""
     members = candidates(texts)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,7 @@ def edges(texts: DataFrame, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
         "root", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("tile"), "node", "hashes"
     )
     dealt = tiled.repartition("root", "tile").sortWithinPartitions("root", "tile")
-    return dealt.mapInArrow(_compared, "u long, v long").where("u <> v").distinct()
+    return dealt.mapInArrow(_compared, "u long, v long").distinct()
 
 
 # ---- groups
@@ -220,7 +222,7 @@ def representatives(docs: DataFrame, id_column: str = "doc_id", text_column: str
     missing, doc = F.col(id_column).isNull(), F.coalesce(F.col(id_column).cast("long"), F.lit(0))
     key: Column = F.struct(missing.alias("missing"), doc.alias("doc"), text_key(text).alias("text_key"))
     nodes = settle(docs.groupBy(text_key(text).alias("node")).agg(F.min(key).alias("key")))
-    groups = components(edges(docs.select(text_key(text).alias("node"), text.alias("text")), tile_shingles))
+    groups = components(folded(edges(docs.select(text_key(text).alias("node"), text.alias("text")), tile_shingles)))
     picked = nodes.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("key").alias("key")).select("key.*")
     marked = docs.select(F.struct(*docs.columns).alias("row"), missing.alias("missing"), doc.alias("doc"), text_key(text).alias("text_key"))
     return marked.join(picked, ["missing", "doc", "text_key"]).dropDuplicates(["missing", "doc", "text_key"]).select("row.*")

@@ -9,7 +9,10 @@ first planes are abandoned.
 
 Only distinct fingerprints are compared, buckets send on a spanning forest instead of
 pairs, and a bucket of more than ``TILE_ROWS`` fingerprints is cut into pairs of tiles that
-different tasks compare.  Groups come from star contraction on settled edge tables.
+different tasks compare.  For groups a bucket sends each fingerprint's link to the smallest
+one that it reaches there; what all tables say of a fingerprint is then folded into one link, so
+that a group enters star contraction (on settled edge tables) with about one link per
+member, whatever the number of tables and tiles.
 
 Defined results: a null or empty text has fingerprint zero, which links like any other;
 documents with a null id join groups but never name one, unless the group has no other
@@ -169,8 +172,8 @@ def close_pairs(fps: np.ndarray, room: np.ndarray, radius: int) -> Iterator[tupl
             yield i, i + d
 
 
-def forest(fps: np.ndarray, room: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows) that connect what the close pairs of all buckets connect: one per row at most."""
+def forest(fps: np.ndarray, room: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (rows) that connect what the close pairs of all buckets connect, one per row at most, and the first row that each row reaches."""
     parent = np.arange(len(fps))
     kept: list[tuple[int, int]] = []
 
@@ -192,7 +195,7 @@ def forest(fps: np.ndarray, room: np.ndarray, radius: int) -> tuple[np.ndarray,
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
     a, b = np.array(kept, np.int64).reshape(-1, 2).T
-    return a, b
+    return a, b, parent
 
 
 # ---- buckets
@@ -205,8 +208,11 @@ def block_masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (x | y for x, y in combinations(blocks, 2))]
 
 
-def linked(radius: int, keys: int = 3, words: int = 1):
-    """Links inside the buckets of sorted rows: ``keys`` columns name the bucket, the next one the row, the last ``words`` hold its fingerprint."""
+def linked(radius: int, keys: int = 3, words: int = 1, stars: bool = False):
+    """Links inside the buckets of sorted rows: ``keys`` columns name the bucket, the next one the row, the last ``words`` hold its fingerprint.
+
+    Links are close pairs or, with ``stars``, lead from each row to the smallest name that it reaches in its bucket.
+    """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -217,8 +223,14 @@ def linked(radius: int, keys: int = 3, words: int = 1):
             room = np.repeat(ends, ends - starts) - np.arange(len(new))
             again = np.repeat(ends - starts, ends - starts) > 1  # rows alone in their bucket link nothing
             name = rows[keys][again]
-            a, b = forest(np.stack([c[again] for c in rows[-words:]], axis=1), room[again], radius)
-            a, b = name[a], name[b]
+            a, b, first = forest(np.stack([c[again] for c in rows[-words:]], axis=1), room[again], radius)
+            if stars:
+                least = name.copy()
+                np.minimum.at(least, first, name)
+                a = np.flatnonzero(name != least[first])
+                a, b = name[a], least[first[a]]
+            else:
+                a, b = name[a], name[b]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
         held: list[list[np.ndarray]] = []
@@ -242,11 +254,11 @@ def linked(radius: int, keys: int = 3, words: int = 1):
     return stream
 
 
-def edges(fps: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v), u > v: links among distinct fingerprints ``fp`` that connect every close pair."""
+def edges(fps: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS, stars: bool = False) -> DataFrame:
+    """(u, v), u > v: links among distinct fingerprints ``fp`` that connect every close pair; ``stars`` as in ``linked``."""
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(radius))])
     keyed = fps.select("fp", F.explode(tables).alias("at")).select("at.t", "at.key", "fp")
-    return in_tiles(keyed, ["t", "key"], "fp", tile_rows).mapInArrow(linked(radius), "u long, v long").where("u <> v").distinct()
+    return in_tiles(keyed, ["t", "key"], "fp", tile_rows).mapInArrow(linked(radius, stars=stars), "u long, v long").where("u <> v").distinct()
 
 
 def in_tiles(keyed: DataFrame, bucket: list[str], name: str, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -266,6 +278,16 @@ def in_tiles(keyed: DataFrame, bucket: list[str], name: str, tile_rows: int = TI
 # ---- groups
 
 
+def folded(links: DataFrame) -> DataFrame:
+    """(u, v), u > v, with the groups of ``links`` (u, v), u > v: a node keeps the link to its smallest v, under which its other v go.
+
+    A node's v are held together, one per table and tile at most where links are ``stars``.
+    """
+    least = F.array_min("all")
+    seen = links.groupBy("u").agg(F.collect_set("v").alias("all"))
+    return seen.select(F.explode(F.transform("all", lambda v: F.struct(F.when(v == least, F.col("u")).otherwise(v).alias("u"), least.alias("v")))).alias("e")).select("e.*").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches; star contraction, one settled table a round."""
     links = settle(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -294,7 +316,7 @@ def hex_of(fp: Column) -> Column:
 def roots(fps: DataFrame, radius: int) -> DataFrame:
     """(fp, least, root): the smallest id of every distinct fingerprint, and the name of its group."""
     distinct = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = components(edges(distinct.select("fp"), radius))
+    groups = components(folded(edges(distinct.select("fp"), radius, stars=True)))
     return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 

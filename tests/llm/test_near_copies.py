@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import near_copies
+from plumbline.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -79,3 +79,43 @@ def test_candidates_are_close_fingerprints(spark, made):
         overlap = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
         assert overlap < 0.8 or root[a] == root[b]
         assert overlap > 0.0 or a not in root or root[a] != root.get(b)
+
+
+@pytest.mark.parametrize("copies", [150, 300])
+def test_groups_are_formed_from_few_links_per_text(spark, monkeypatch, copies):
+    """Near copies meet in many tables and tiles; the joins that form groups do not see each meeting."""
+    rng, seen = random.Random(6), []
+    words = [f"w{rng.randrange(3_000)}" for _ in range(200)]
+    docs = [(d, " ".join([*words[: (at := rng.randrange(200))], f"other{d}", *words[at + 1 :]])) for d in range(copies)]
+    docs += [(copies + d, " ".join(f"w{rng.randrange(3_000)}" for _ in range(50))) for d in range(20)]
+    components = near_copies.components
+
+    def counted(links):
+        seen.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    got = near_copies.representatives(spark.createDataFrame(docs, "doc_id long, text string"), tile_shingles=10_000).collect()
+    assert {r["doc_id"] for r in got} == firsts(docs)[0] == {0, *range(copies, copies + 20)}
+    assert len(seen) == 2 and max(seen) <= 2 * copies
+
+
+def test_folded_links_keep_groups(spark):
+    rng = random.Random(7)
+    pairs = [(u, v) for u, v in ((rng.randrange(300), rng.randrange(300)) for _ in range(200)) if u > v]
+    links = spark.createDataFrame(pairs, "u long, v long")
+    few = simhash.folded(links).collect()
+    assert all(r["u"] > r["v"] for r in few)
+    want, got = ({r["node"]: r["root"] for r in simhash.components(x).collect()} for x in (links, spark.createDataFrame(few)))
+    assert want == got
+
+
+@pytest.mark.parametrize("tile_rows", [20_000, 7])
+def test_stars_connect_what_close_fingerprints_connect(spark, tile_rows):
+    rng = random.Random(8)
+    base = [rng.getrandbits(62) for _ in range(40)]
+    fps = list({b ^ sum(1 << x for x in rng.sample(range(62), rng.randint(0, 6))) for b in base for _ in range(6)})
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    pairs, stars = (simhash.edges(table, 4, tile_rows, stars=s) for s in (False, True))
+    want, got = ({r["node"]: r["root"] for r in simhash.components(x).collect()} for x in (pairs, simhash.folded(stars)))
+    assert len(set(want.values())) > 20 and want == got
