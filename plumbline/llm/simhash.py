@@ -11,8 +11,8 @@ Only distinct fingerprints are compared, buckets send on a spanning forest inste
 pairs, and a bucket of more than ``TILE_ROWS`` fingerprints is cut into pairs of tiles that
 different tasks compare.  For groups a bucket sends each fingerprint's link to the smallest
 one that it reaches there; what all tables say of a fingerprint is then folded into one link, so
-that a group enters star contraction (on settled edge tables) with about one link per
-member, whatever the number of tables and tiles.
+that a group enters star contraction (on settled edge tables) with few links per
+member instead of one per table and tile.
 
 Defined results: a null or empty text has fingerprint zero, which links like any other;
 documents with a null id join groups but never name one, unless the group has no other
